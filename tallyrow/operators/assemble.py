@@ -71,6 +71,10 @@ def _is_list(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() == "array"
 
 
+def _at_least(values: Column, vocab: int) -> Column:
+    return F.filter(values, lambda x: x >= F.lit(vocab))
+
+
 def oob_stats(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     """Columns with ids at or above their vocab: count, smallest, largest, vocab."""
     targets = [(f.column, f.vocab, f.dim) for f in plan.int_features() if f.vocab > 0]
@@ -82,7 +86,7 @@ def oob_stats(df: DataFrame, plan: FeaturePlan) -> DataFrame:
         if column not in df.columns:
             continue
         values = head(F.col(column), dim) if _is_list(df, column) else F.array(F.col(column))
-        bad = F.filter(values, lambda x, v=vocab: x >= v)
+        bad = _at_least(values, vocab)
         parts.append(
             F.struct(
                 F.lit(column).alias("column_name"),

@@ -17,6 +17,7 @@ from tallyrow.functions.cleaning import (
 )
 from tallyrow.functions.clock import date_text, day_number, daypart, hour_of_day, second_of_day
 from tallyrow.functions.sequences import clipped_length, model_length, true_length
+from tallyrow.operators.blocks import block_catalog, rows_of_blocks, sample_blocks
 from tallyrow.operators.ordered import top_per_key
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles
 from tallyrow.plans.features import IntFeature, SequenceDomain
@@ -225,6 +226,32 @@ def fit_time_edges(df: DataFrame, domains: Sequence[SequenceDomain]) -> dict[str
     return {d.name: log_edges(*found.get(d.name, (0, None))) for d in domains}
 
 
+def bucket_fit_sample(
+    df: DataFrame,
+    domains: Sequence[SequenceDomain],
+    block: str,
+    row_key: str,
+    n_blocks: int = 8,
+    rows_per_block: int = 50_000,
+    diffs_per_block: int = 100_000,
+    diffs_per_domain: int = 5_000_000,
+    seed: int = 20260518,
+) -> DataFrame:
+    """Positive differences (domain, diff) from evenly spaced blocks, with sample sizes.
+
+    A sampling operator: within the limits everything is kept, beyond them a repeatable
+    uniform sample. :func:`fit_time_edges` uses all rows instead.
+    """
+    chosen = sample_blocks(block_catalog(df, block), n_blocks)
+    rows = rows_of_blocks(df, block, chosen)
+    first = top_per_key(rows, [block], [F.asc(row_key)], rows_per_block, [row_key])
+    diffs = seq_time_diffs(first, domains, 1, False, block, row_key)
+    draw = F.xxhash64(row_key, "domain", "diff", F.lit(seed))
+    part = reservoir_sample(diffs, ["domain", block], diffs_per_block, row_key, draw)
+    whole = reservoir_sample(part, ["domain"], diffs_per_domain, row_key, draw)
+    return whole.select("domain", "diff")
+
+
 def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[int] | None = None) -> DataFrame:
     """Long table (domain, fid, item) of positive side ids."""
     parts = [

@@ -20,7 +20,7 @@ def history_stream(
     bin_sec: int = HOUR,
     maturity: int = DAY,
     lateness_sec: int = 0,
-    files_per_batch: int = 1,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Read Parquet files as they come, count per (fid, value, bin of availability time).
 
@@ -30,10 +30,11 @@ def history_stream(
     """
     when = available_time(F.col("timestamp"), F.col("label_type"), F.col("label_time"), maturity)
     positive = (F.coalesce(F.col("label_type"), F.lit(0)) == 2).cast("bigint")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(source)
+        reader.parquet(source)
         .select(
             F.timestamp_seconds(when).alias("available"),
             positive.alias("positive"),
