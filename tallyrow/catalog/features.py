@@ -278,11 +278,11 @@ def _(spark, sf):
     vector, layout = assemble.assemble_dense(parts)
     pieces = F.array(
         *[
-            F.struct(F.lit(fid).cast("bigint").alias("fid"), F.slice(vector, offset + 1, length).alias("values"))
+            F.struct(F.lit(fid).cast("bigint").alias("fid"), F.slice("vector", offset + 1, length).alias("values"))
             for fid, offset, length in layout
         ]
     )
-    split = cleaned.select("event_id", F.explode(pieces).alias("p"))
+    split = cleaned.select("event_id", vector.alias("vector")).select("event_id", F.explode(pieces).alias("p"))
     return split.select("event_id", "p.fid", F.posexplode("p.values").alias("pos", "v")).select(
         "event_id", "fid", F.col("pos").cast("bigint").alias("pos"), r6("v").alias("v")
     )

@@ -12,7 +12,6 @@ from tallyrow.catalog.base import (
     query,
     r6,
     rows,
-    seqs,
     stored_seqs,
     with_base,
     with_seqs,
@@ -238,7 +237,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    catalog = schema.infer_catalog(seqs(spark, sf).select(*SEQ_COLUMNS))
+    catalog = schema.infer_catalog(stored_seqs(spark, sf, *SEQ_COLUMNS))
     return catalog.where("is_ts").select("section", F.col("fid").alias("ts_fid"))
 
 
@@ -262,6 +261,6 @@ FROM flagged"""
     ),
 )
 def _(spark, sf):
-    table = seqs(spark, sf).select(*_FEATURES)
+    table = stored_seqs(spark, sf, *_FEATURES)
     assert len(column_roles(table.schema)) == len(_FEATURES)
     return schema.infer_catalog(table)

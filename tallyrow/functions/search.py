@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 32
-
-
 def count_below(value: Column, edges: Sequence[float], inclusive: bool = False) -> Column:
     """Number of ``edges`` below ``value`` (``inclusive``: not above).
 
@@ -27,14 +24,18 @@ def count_below(value: Column, edges: Sequence[float], inclusive: bool = False)
     return tree(0, len(edges))
 
 
-def count_below_array(value: Column, cuts: Column) -> Column:
-    """Same for a sorted array column: whole blocks first, then inside one block."""
-    blocks = F.floor(F.size(cuts) / F.lit(BLOCK)).cast("int")
-    full = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))),
-            lambda i: (i <= blocks) & (F.get(cuts, i * F.lit(BLOCK) - F.lit(1)) < value),
-        )
-    )
-    inside = F.size(F.filter(F.slice(cuts, full * F.lit(BLOCK) + F.lit(1), BLOCK), lambda c: c < value))
-    return (full * F.lit(BLOCK) + inside).cast("int")
+def with_count_below(df: DataFrame, value: str, cuts: str, size: int, name: str) -> DataFrame:
+    """Add ``name``: how many of the sorted array column ``cuts`` are below ``value``.
+
+    The array holds ``size`` - 1 entries, ``size`` a power of two. One projection per halving
+    step keeps the binary search flat and inside generated code.
+    """
+    if size < 2 or size & (size - 1):
+        raise ValueError(f"size must be a power of two, got {size}")
+    df = df.withColumn(name, F.lit(0))
+    step = size // 2
+    while step:
+        probe = F.get(F.col(cuts), F.col(name) + F.lit(step - 1))
+        df = df.withColumn(name, F.col(name) + F.when(probe < F.col(value), F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return df

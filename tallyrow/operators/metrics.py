@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.functions.losses import bce, focal, sigmoid, softplus
-from tallyrow.functions.search import count_below, count_below_array
-from tallyrow.operators.ranks import CUTS, exact_quantiles
+from tallyrow.functions.search import count_below, with_count_below
+from tallyrow.operators.ranks import CUTS, cut_points, exact_quantiles
 from tallyrow.session import materialize
 
 _ALL = "_all"
@@ -39,13 +39,9 @@ def auc(
     rows = valid_scores(df, score).select(*keys, F.col(score).cast("double").alias("_x"), F.col(label).alias("_y"))
     if not keys:
         rows, keys = rows.withColumn(_ALL, F.lit(0)), [_ALL]
-    shares = [i / cuts for i in range(1, cuts)]
-    limits = materialize(
-        rows.groupBy(*keys).agg(F.percentile_approx("_x", shares, 4 * cuts).alias("_cuts"))
-    )
+    limits = materialize(rows.groupBy(*keys).agg(cut_points("_x", cuts).alias("_cuts")))
     counted = (
-        rows.join(limits, keys)
-        .select(*keys, "_x", "_y", count_below_array(F.col("_x"), F.col("_cuts")).alias("_range"))
+        with_count_below(rows.join(limits, keys), "_x", "_cuts", cuts, "_range")
         .groupBy(*keys, "_range", "_x")
         .agg(F.sum(F.col("_y")).cast("double").alias("_pos"), F.sum(1 - F.col("_y")).cast("double").alias("_neg"))
     )

@@ -13,22 +13,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrow.functions.search import count_below_array
+from tallyrow.functions.search import with_count_below
 from tallyrow.session import materialize
 
 CUTS = 256
 _ALL = "_all"
 
 
+def cut_points(value: str, cuts: int) -> Column:
+    """``cuts`` - 1 sorted values that split ``value`` into parts of similar weight."""
+    shares = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
+    return F.expr(f"percentile_approx(`{value}`, array({shares}), {4 * cuts})")
+
+
 def summaries(df: DataFrame, keys: Sequence[str], value: str, cuts: int = CUTS) -> DataFrame:
     """Per key: n, mean, min, max and sorted cut points. One pass with bounded state."""
-    shares = [i / cuts for i in range(1, cuts)]
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(value).alias("mean"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        F.percentile_approx(value, shares, 4 * cuts).alias("_cuts"),
+        cut_points(value, cuts).alias("_cuts"),
     )
 
 
@@ -51,9 +56,9 @@ def select_ranks(
     summary = materialize(
         summaries(rows, keys, value, cuts).withColumn("_ranks", F.array(*[r.cast("bigint") for r in ranks(F.col("n"))]))
     )
-    bucketed = rows.join(summary.select(*keys, "_cuts"), keys).select(
-        *keys, value, count_below_array(F.col(value), F.col("_cuts")).alias("_bucket")
-    )
+    bucketed = with_count_below(
+        rows.join(summary.select(*keys, "_cuts"), keys), value, "_cuts", cuts, "_bucket"
+    ).drop("_cuts")
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = (
         bucketed.groupBy(*keys, "_bucket")
@@ -61,27 +66,33 @@ def select_ranks(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(summary.select(*keys, "_ranks"), keys)
     )
-    wanted = totals.select(
-        *keys,
-        "_bucket",
-        "_start",
-        F.array_distinct(
-            F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")))
-        ).alias("_here"),
-    ).where(F.size("_here") > 0)
+    wanted = materialize(
+        totals.select(
+            *keys,
+            "_bucket",
+            "_start",
+            F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n"))).alias("_here"),
+        ).where(F.size("_here") > 0)
+    )
     counted = (
-        bucketed.join(wanted, [*keys, "_bucket"])
+        bucketed.join(wanted.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
         .groupBy(*keys, "_bucket", value)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_here").alias("_here"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     upto = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    end = F.col("_start") + F.sum("_n").over(upto)
-    hits = counted.select(*keys, value, "_n", "_here", end.alias("_end")).select(
-        *keys,
-        value,
-        F.explode(
-            F.filter("_here", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_n")))
-        ).alias("_rank"),
+    hits = (
+        counted.withColumn("_upto", F.sum("_n").over(upto))
+        .join(wanted, [*keys, "_bucket"])
+        .withColumn("_end", F.col("_start") + F.col("_upto"))
+        .select(
+            *keys,
+            value,
+            F.explode(
+                F.filter(
+                    F.array_distinct("_here"), lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_n"))
+                )
+            ).alias("_rank"),
+        )
     )
     found = hits.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value)))).alias("_at")

@@ -14,24 +14,30 @@ from tallyrow.operators.ordered import running, top_per_key
 RUN, STEP = "run_id", "step"
 
 
+def _leader(runs: DataFrame, score: Column, chunk_rows: int) -> DataFrame:
+    """Add ``_lead``: the best score so far and, negated, the first step that reached it."""
+    pair = F.struct(score.alias("score"), (-F.col(STEP)).alias("neg_step"))
+    return running(runs, RUN, STEP, {"_lead": ("max", pair)}, True, chunk_rows)
+
+
 def best_step(runs: DataFrame, metric: str = "val_auc", chunk_rows: int = 1 << 16) -> DataFrame:
     """Add ``best_so_far`` (this step included) and ``is_best`` (a strict improvement)."""
-    seen = running(runs, RUN, STEP, {"_prev": ("max", F.col(metric))}, False, chunk_rows)
-    better = F.col("_prev").isNull() | (F.col(metric) > F.col("_prev"))
-    return seen.select(
-        *runs.columns, F.greatest("_prev", metric).alias("best_so_far"), better.alias("is_best")
+    return _leader(runs, F.col(metric), chunk_rows).select(
+        *runs.columns,
+        F.col("_lead.score").alias("best_so_far"),
+        (F.col("_lead.neg_step") == -F.col(STEP)).alias("is_best"),
     )
 
 
-def _accepted(runs: DataFrame, score: str, delta: float, chunk_rows: int) -> DataFrame:
-    """Runs with ``_accepted``: the step number where the tracked best moved, else null."""
-    seen = running(runs, RUN, STEP, {"_prev": ("max", F.col(score))}, False, chunk_rows)
-    is_record = F.col("_prev").isNull() | (F.col(score) > F.col("_prev"))
+def _last_accepted(runs: DataFrame, score: Column, delta: float, chunk_rows: int) -> DataFrame:
+    """Add ``_last``: the latest step at which the tracked best moved."""
+    seen = _leader(runs.withColumn("_score", score), F.col("_score"), chunk_rows)
+    first = -F.col("_lead.neg_step")
     if delta == 0:
-        return seen.withColumn("_accepted", F.when(is_record, F.col(STEP)))
+        return seen.withColumn("_last", first)
     # With a delta only new maxima can be accepted, so the recurrence needs those alone.
-    records = seen.where(is_record).groupBy(RUN).agg(
-        F.sort_array(F.collect_list(F.struct(STEP, F.col(score).alias("score")))).alias("_records")
+    records = seen.where(first == F.col(STEP)).groupBy(RUN).agg(
+        F.sort_array(F.collect_list(F.struct(STEP, F.col("_score").alias("score")))).alias("_records")
     )
     start = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast("array<bigint>").alias("steps"))
 
@@ -46,7 +52,8 @@ def _accepted(runs: DataFrame, score: str, delta: float, chunk_rows: int) -> Dat
     steps = records.select(
         RUN, F.explode(F.aggregate("_records", start, accept)["steps"]).alias(STEP)
     ).withColumn("_accepted", F.col(STEP))
-    return runs.join(steps, [RUN, STEP], "left")
+    marked = runs.join(steps, [RUN, STEP], "left")
+    return running(marked, RUN, STEP, {"_last": ("max", F.col("_accepted"))}, True, chunk_rows)
 
 
 def early_stop_step(
@@ -61,8 +68,7 @@ def early_stop_step(
     if mode not in ("max", "min"):
         raise ValueError(f"unknown mode {mode!r}")
     score = F.col(metric) if mode == "max" else -F.col(metric)
-    tracked = _accepted(runs.withColumn("_score", score), "_score", delta, chunk_rows)
-    seen = running(tracked, RUN, STEP, {"_last": ("max", F.col("_accepted"))}, True, chunk_rows)
+    seen = _last_accepted(runs, score, delta, chunk_rows)
     waited = F.col(STEP) - F.col("_last")
     return seen.groupBy(RUN).agg(F.min(F.when(waited >= patience, F.col(STEP))).alias("stop_step"))
 

@@ -33,37 +33,33 @@ def _values(role: ColumnRole) -> Column:
     return column.cast("array<bigint>") if role.is_list else F.array(column.cast("bigint"))
 
 
-def _statistics(role: ColumnRole, ts_floor: int) -> Column:
+def _statistics(role: ColumnRole) -> Column:
     """One struct of aggregates per column; no row is multiplied."""
     none = F.lit(None).cast("bigint")
-    has_ids = role.section != USER_DENSE
-    top = F.max(F.array_max(_values(role))) if has_ids else none
+    top = F.max(F.array_max(_values(role))) if role.section != USER_DENSE else none
     length = F.max(list_size(F.col(role.column))) if role.is_list else F.lit(1)
-    positives = above = low = high = none
-    if role.letter:
-        values = F.coalesce(_values(role), F.array().cast("array<bigint>"))
-        late = F.filter(values, lambda x: x > ts_floor)
-        early = F.filter(values, lambda x: (x > 0) & (x <= ts_floor))
-        positives = F.sum(F.size(late) + F.size(early))
-        above = F.sum(F.size(late))
-        low, high = F.max(F.array_max(early)), F.min(F.array_min(late))
     return F.struct(
         F.lit(role.section).alias("section"),
         F.lit(role.fid).cast("bigint").alias("fid"),
         top.cast("bigint").alias("top"),
         length.cast("bigint").alias("length"),
-        F.coalesce(positives.cast("bigint"), F.lit(0)).alias("positives"),
-        F.coalesce(above.cast("bigint"), F.lit(0)).alias("above"),
-        low.cast("bigint").alias("low"),
-        high.cast("bigint").alias("high"),
     )
 
 
-def _median_above(floor: int) -> Column:
-    """Whether the median of the positives exceeds the floor, from four aggregates."""
-    twice, n = 2 * F.col("above"), F.col("positives")
-    tie = (twice == n) & (n > 0) & ((F.col("low") + F.col("high")) / 2.0 > F.lit(float(floor)))
-    return F.coalesce((twice > n) | tie, F.lit(False))
+def late_medians(df: DataFrame, roles: list[ColumnRole], floor: int) -> DataFrame:
+    """Per (section, fid), whether the median of the positive ids exceeds ``floor``.
+
+    Four aggregates decide it: half of the ids above, or the two middle ones around it.
+    """
+    found = id_values(df, roles).groupBy("section", "fid").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("id") > floor).alias("above"),
+        F.max(F.when(F.col("id") <= floor, F.col("id"))).alias("low"),
+        F.min(F.when(F.col("id") > floor, F.col("id"))).alias("high"),
+    )
+    twice = 2 * F.col("above")
+    tie = (twice == F.col("n")) & ((F.col("low") + F.col("high")) / 2.0 > F.lit(float(floor)))
+    return found.select("section", "fid", ((twice > F.col("n")) | tie).alias("late"))
 
 
 def id_values(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
@@ -112,7 +108,7 @@ def infer_catalog(
     roles = column_roles(df.schema)
     if not roles:
         raise ValueError("no feature columns found")
-    wide = df.agg(*[_statistics(r, ts_floor).alias(f"c{i}") for i, r in enumerate(roles)])
+    wide = df.agg(*[_statistics(r).alias(f"c{i}") for i, r in enumerate(roles)])
     stats = wide.select(F.explode(F.array(*[f"c{i}" for i in range(len(roles))])).alias("s")).select("s.*")
     vocab = F.when(F.col("top") > 0, F.col("top") + 1).otherwise(F.lit(1))
     dim = F.greatest(F.col("length"), F.lit(1))
@@ -127,12 +123,16 @@ def infer_catalog(
         stats = stats.join(cut.select(*keys, F.get("quantiles", F.lit(0)).alias("_len")), keys, "left")
         dim = F.greatest(F.coalesce(F.floor("_len").cast("bigint"), F.lit(1)), F.lit(1))
     is_seq = F.col("section").startswith("seq_")
+    lists = [r for r in roles if r.letter]
+    if lists:
+        stats = stats.join(late_medians(df, lists, ts_floor), keys, "left")
+    else:
+        stats = stats.withColumn("late", F.lit(False))
     # The first list of a domain that looks like timestamps is its time axis.
     first_ts = F.min(F.when(is_seq & F.col("late"), F.col("fid"))).over(W.partitionBy("section"))
     vocab = F.when(F.col("section") != USER_DENSE, vocab)
     return (
-        stats.withColumn("late", _median_above(ts_floor))
-        .withColumn("is_ts", F.coalesce(F.col("fid") == first_ts, F.lit(False)))
+        stats.withColumn("is_ts", F.coalesce(F.col("fid") == first_ts, F.lit(False)))
         .select(
             "section",
             "fid",
