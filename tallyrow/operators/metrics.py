@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,11 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.losses import bce, focal, sigmoid, softplus
 from tallyrow.functions.search import count_below, with_count_below
-from tallyrow.operators.ranks import CUTS, cut_points, exact_quantiles
-from tallyrow.session import materialize
-
-_ALL = "_all"
-
+from tallyrow.operators.ranks import CUTS, attach, cut_points, exact_quantiles, grouped, held
 
 def valid_scores(df: DataFrame, score: str = "logit") -> DataFrame:
     """Rows whose score is neither null nor NaN."""
@@ -37,11 +34,9 @@ def auc(
     """
     keys = list(keys)
     rows = valid_scores(df, score).select(*keys, F.col(score).cast("double").alias("_x"), F.col(label).alias("_y"))
-    if not keys:
-        rows, keys = rows.withColumn(_ALL, F.lit(0)), [_ALL]
-    limits = materialize(rows.groupBy(*keys).agg(cut_points("_x", cuts).alias("_cuts")))
+    limits = held(grouped(rows, keys, cut_points("_x", cuts).alias("_cuts")), keys)
     counted = (
-        with_count_below(rows.join(limits, keys), "_x", "_cuts", cuts, "_range")
+        with_count_below(attach(rows, limits, keys, ["_cuts"]), "_x", "_cuts", cuts, "_range")
         .groupBy(*keys, "_range", "_x")
         .agg(F.sum(F.col("_y")).cast("double").alias("_pos"), F.sum(1 - F.col("_y")).cast("double").alias("_neg"))
     )
@@ -55,14 +50,12 @@ def auc(
         F.sum("_neg").alias("_neg"),
     )
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    summed = (
-        ranges.withColumn("_before", F.coalesce(F.sum("_neg").over(before), F.lit(0.0)))
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col("_wins") + F.col("_pos") * F.col("_before")).alias("_wins"),
-            F.sum("_pos").alias("_p"),
-            F.sum("_neg").alias("_n"),
-        )
+    summed = grouped(
+        ranges.withColumn("_before", F.coalesce(F.sum("_neg").over(before), F.lit(0.0))),
+        keys,
+        F.sum(F.col("_wins") + F.col("_pos") * F.col("_before")).alias("_wins"),
+        F.coalesce(F.sum("_pos"), F.lit(0.0)).alias("_p"),
+        F.coalesce(F.sum("_neg"), F.lit(0.0)).alias("_n"),
     )
     both = (F.col("_p") > 0) & (F.col("_n") > 0)
     value = F.when(both, F.col("_wins") / (F.col("_p") * F.col("_n"))).otherwise(F.lit(one_class).cast("double"))
@@ -71,17 +64,13 @@ def auc(
         (F.col("_p") + F.col("_n")).cast("bigint").alias("n"),
         F.col("_p").cast("bigint").alias("n_pos"),
         value.alias("auc"),
-    ).drop(_ALL)
-
-
-def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+    )
 
 
 def logloss(df: DataFrame, keys: Sequence[str] = (), score: str = "logit", label: str = "label") -> DataFrame:
     """Mean binary cross-entropy from raw scores; infinite when nothing is left."""
     value = F.avg(bce(F.col(score), F.col(label).cast("double")))
-    return _grouped(
+    return grouped(
         valid_scores(df, score),
         keys,
         F.count(F.lit(1)).alias("n"),
@@ -128,8 +117,8 @@ def slice_report(df: DataFrame, columns: Sequence[str], categories: Sequence[str
 def eval_windows(df: DataFrame, primary: str, window: str = "window") -> DataFrame:
     """AUC and log loss per window, and how far each AUC is below that of ``primary``."""
     scores = auc(df, [window]).join(logloss(df, [window]).drop("n"), window)
-    reference = scores.where(F.col(window) == primary).agg(F.first("auc")).first()[0]
-    gap = F.lit(reference).cast("double") - F.col("auc")
+    reference = F.max(F.when(F.col(window) == primary, F.col("auc"))).over(W.partitionBy())  # a row per window
+    gap = reference - F.col("auc")
     return scores.select("*", F.when(F.col(window) != primary, gap).alias("gap"))
 
 
@@ -153,12 +142,14 @@ def bpr_loss(
     exist. Without both classes the loss is 0.
     """
 
-    def side(value: int, name: str) -> DataFrame:
+    def sample(value: int) -> DataFrame:
         rows = valid_scores(df).where(F.col("label") == value)
-        sample = rows.orderBy(draw, tie).limit(max_side).select("logit")
-        return sample.agg(F.collect_list("logit").alias(name))
+        return rows.orderBy(draw, tie).limit(max_side).select("label", "logit")
+
+    def side(value: int) -> Column:
+        return F.collect_list(F.when(F.col("label") == value, F.col("logit")))
 
-    both = side(1, "pos").withColumn("one", F.lit(1)).join(side(0, "neg").withColumn("one", F.lit(1)), "one")
+    both = sample(1).unionByName(sample(0)).agg(side(1).alias("pos"), side(0).alias("neg"))
     pairs = both.select(F.explode("pos").alias("p"), "neg").select("p", F.explode("neg").alias("q"))
     loss = softplus(-(F.col("p") - F.col("q") - F.lit(float(margin))))
     return pairs.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"))
@@ -171,14 +162,8 @@ def mean_bce(df: DataFrame, score: str = "logit", label: str = "label") -> DataF
 
 def blended(parts: Sequence[tuple[float, DataFrame]]) -> DataFrame:
     """Weighted sum of one-row losses."""
-    total = None
-    for i, (share, frame) in enumerate(parts):
-        one = frame.select(F.lit(1).alias("one"), (F.lit(float(share)) * F.col("loss")).alias(f"l{i}"))
-        total = one if total is None else total.join(one, "one")
-    value = F.lit(0.0)
-    for i in range(len(parts)):
-        value = value + F.col(f"l{i}")
-    return total.select(value.alias("loss"))
+    terms = [frame.select((F.lit(float(share)) * F.col("loss")).alias("loss")) for share, frame in parts]
+    return reduce(DataFrame.unionByName, terms).agg(F.sum("loss").alias("loss"))
 
 
 def combined_auc_loss(df: DataFrame, draw: Column, share: float = 0.5, margin: float = 0.0) -> DataFrame:

@@ -14,13 +14,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.functions.clock import floor_div
-from tallyrow.plans.fixed import HOUR
+
+SECOND_ROUND_ROWS = 4_000_000
 
 
 def number_rows(
-    df: DataFrame, key: str, time: str, ties: Sequence[str], name: str, slot_sec: int = HOUR
+    df: DataFrame, key: str, time: str, ties: Sequence[str], name: str, slot_sec: int = 60
 ) -> DataFrame:
-    """Add ``name``: 1-based position of each row inside ``key`` by (time, ties)."""
+    """Add ``name``: 1-based position of each row inside ``key`` by (time, ties).
+
+    A task sorts one ``slot_sec`` of one key; offsets have one row per key and used slot.
+    """
     slotted = df.withColumn("_slot", floor_div(F.col(time), slot_sec))
     before = W.partitionBy(key).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -128,9 +132,14 @@ def top_per_key(
     k: int,
     spread_on: Sequence[str],
     rank: str | None = None,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
-    """First ``k`` rows per key. Two rounds, so a hot key is first cut down in ``salts`` parts."""
+    """First ``k`` rows per key, in two rounds: a hot key is first cut down in many parts.
+
+    The number of parts is chosen so that the second round gets at most some million rows
+    of a key.
+    """
+    salts = salts or max(16, min(4096, SECOND_ROUND_ROWS // max(k, 1)))
     salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).alias("_salt")
     parts = W.partitionBy(*keys, "_salt").orderBy(*order)
     kept = (

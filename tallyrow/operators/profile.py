@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import (
@@ -27,6 +28,7 @@ from tallyrow.plans.fixed import (
     TIME_BUCKET_EDGES,
     VALUE_PERCENTILES,
 )
+from tallyrow.session import materialize
 
 
 def _is_list(df: DataFrame, column: str) -> bool:
@@ -269,7 +271,8 @@ def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[i
 
 def seq_topk_items(df: DataFrame, domains: Sequence[SequenceDomain], k: int = 50_000) -> DataFrame:
     """The ``k`` most frequent items per (domain, fid), ties by item, with the distinct count."""
-    freq = seq_items(df, domains).groupBy("domain", "fid", "item").agg(F.count(F.lit(1)).alias("freq"))
+    counted = seq_items(df, domains).groupBy("domain", "fid", "item").agg(F.count(F.lit(1)).alias("freq"))
+    freq = materialize(counted)
     keys = ["domain", "fid"]
     distinct = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
     top = top_per_key(freq, keys, [F.desc("freq"), F.asc("item")], k, ["item"], rank="item_rank")
@@ -315,11 +318,11 @@ def seq_item_overlap(
 def cvr_by_day(df: DataFrame) -> DataFrame:
     """Per UTC day. The shifted date is that of UTC midnight plus 8 h, hence the same date."""
     days = df.groupBy(day_number(F.col("timestamp")).alias("day")).agg(*_totals())
-    total = df.count()
+    total = F.sum("n_rows").over(W.partitionBy())  # one row per day
     return days.select(
         "*",
         _rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
-        (F.col("n_rows") / F.lit(max(total, 1))).alias("share"),
+        (F.col("n_rows") / total).alias("share"),
         date_text(F.col("day")).alias("date_utc"),
         date_text(F.floor((F.col("day") * 86400 + LOCAL_OFFSET) / 86400)).alias("date_local"),
         F.pmod(F.col("day") + 3, F.lit(7)).cast("bigint").alias("weekday"),

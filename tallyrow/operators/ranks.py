@@ -7,6 +7,7 @@ value. Apart from those few ranges nothing but counts is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from tallyrow.functions.search import with_count_below
 from tallyrow.session import materialize
 
 CUTS = 256
-_ALL = "_all"
 
 
 def cut_points(value: str, cuts: int) -> Column:
@@ -28,43 +28,43 @@ def cut_points(value: str, cuts: int) -> Column:
 
 def summaries(df: DataFrame, keys: Sequence[str], value: str, cuts: int = CUTS) -> DataFrame:
     """Per key: n, mean, min, max and sorted cut points. One pass with bounded state."""
-    return df.groupBy(*keys).agg(
+    return grouped(
+        df,
+        keys,
         F.count(F.lit(1)).alias("n"),
         F.avg(value).alias("mean"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         cut_points(value, cuts).alias("_cuts"),
-    )
+    ).where("n > 0")
 
 
 def select_ranks(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    ranks: Callable[[Column], list[Column]],
+    ranks: Callable[[Column], Column],
     cuts: int = CUTS,
 ) -> DataFrame:
     """Values at 0-based ``ranks`` of each key's sorted values.
 
-    ``ranks`` gets the row count and returns rank expressions. The result has the keys, n,
+    ``ranks`` gets the row count and returns an array of ranks. The result has the keys, n,
     mean, min, max and ``picked``, the values in the order of the ranks. Nulls are left out.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if not keys:
-        rows, keys = rows.withColumn(_ALL, F.lit(0)), [_ALL]
-    summary = materialize(
-        summaries(rows, keys, value, cuts).withColumn("_ranks", F.array(*[r.cast("bigint") for r in ranks(F.col("n"))]))
-    )
+    table = summaries(rows, keys, value, cuts).withColumn("_ranks", ranks(F.col("n")).cast("array<bigint>"))
+    summary = held(table, keys)
+    output = [*keys, "n", "mean", "min", "max"]
+    if not keys and not summary:
+        return table.select(*output, F.array(F.col("min")).alias("picked"))
     bucketed = with_count_below(
-        rows.join(summary.select(*keys, "_cuts"), keys), value, "_cuts", cuts, "_bucket"
+        attach(rows, summary, keys, ["_cuts"]), value, "_cuts", cuts, "_bucket"
     ).drop("_cuts")
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(summary.select(*keys, "_ranks"), keys)
+    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    totals = attach(
+        counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))), summary, keys, ["_ranks"]
     )
     wanted = materialize(
         totals.select(
@@ -94,18 +94,13 @@ def select_ranks(
             ).alias("_rank"),
         )
     )
-    found = hits.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value)))).alias("_at")
+    found = grouped(
+        hits, keys, F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value)))).alias("_at")
     )
-    result = summary.join(found, keys).select(
-        *keys,
-        "n",
-        "mean",
-        "min",
-        "max",
-        F.transform("_ranks", lambda r: F.try_element_at(F.col("_at"), r)).alias("picked"),
+    facts = ["n", "mean", "min", "max", "_ranks"]
+    return attach(found, summary, keys, facts).select(
+        *output, F.transform("_ranks", lambda r: F.try_element_at(F.col("_at"), r)).alias("picked")
     )
-    return result.drop(_ALL)
 
 
 def exact_quantiles(
@@ -113,20 +108,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per key as ``quantiles`` (array in order of ``shares``)."""
 
-    def bounds(n: Column) -> list[Column]:
-        out = []
-        for share in shares:
-            at = F.lit(float(share)) * (n - 1)
-            out += [F.floor(at), F.ceil(at)]
-        return out
+    wanted = number_array([float(s) for s in shares])
+
+    def place(share: Column, n: Column) -> Column:
+        return share * (n - 1)
+
+    def bounds(n: Column) -> Column:
+        return F.flatten(F.transform(wanted, lambda s: F.array(F.floor(place(s, n)), F.ceil(place(s, n)))))
+
+    def point(share: Column, i: Column) -> Column:
+        low, high = (F.get(F.col("picked"), 2 * i + offset) for offset in (0, 1))
+        at = place(share, F.col("n"))
+        return (low + (high - low) * (at - F.floor(at))).cast("double")
 
     picked = select_ranks(df, keys, value, bounds, cuts)
-    points = []
-    for i, share in enumerate(shares):
-        at = F.lit(float(share)) * (F.col("n") - 1)
-        low, high = F.get("picked", F.lit(2 * i)), F.get("picked", F.lit(2 * i + 1))
-        points.append((low + (high - low) * (at - F.floor(at))).cast("double"))
-    return picked.withColumn("quantiles", F.array(*points)).drop("picked")
+    return picked.withColumn("quantiles", F.transform(wanted, point)).drop("picked")
 
 
 def narrow_quantiles(

@@ -36,7 +36,7 @@ def _check_ratio(name: str, ratio: float) -> None:
 def row_cutoff(df: DataFrame, valid_ratio: float, column: str = "timestamp") -> int:
     """Timestamp at which the latest ``valid_ratio`` of the rows starts; ties go to validation."""
     _check_ratio("valid_ratio", valid_ratio)
-    row = select_ranks(df, [], column, lambda n: [n - _share(n, valid_ratio)]).first()
+    row = select_ranks(df, [], column, lambda n: F.array(n - _share(n, valid_ratio))).first()
     if row is None:
         raise ValueError("no timestamps to split")
     return row.picked[0]
@@ -53,9 +53,9 @@ def row_gap_cutoffs(
     _check_ratio("valid_ratio", valid_ratio)
     _check_ratio("gap_ratio", gap_ratio)
 
-    def cuts(n: Column) -> list[Column]:
+    def cuts(n: Column) -> Column:
         valid = n - _share(n, valid_ratio)
-        return [F.greatest(valid - _share(n, gap_ratio), F.lit(0)), valid]
+        return F.array(F.greatest(valid - _share(n, gap_ratio), F.lit(0)), valid)
 
     row = select_ranks(df, [], column, cuts).first()
     if row is None:
@@ -71,7 +71,7 @@ def row_gap_cutoffs(
         raise ValueError(f"need 3 distinct timestamps, found {u}")
     gap_at = max(0, u - max(2, int(u * (valid_ratio + gap_ratio))))
     valid_at = min(max(gap_at + 1, u - max(1, int(u * valid_ratio))), u - 1)
-    gap, valid = select_ranks(distinct, [], column, lambda n: [F.lit(gap_at), F.lit(valid_at)]).first().picked
+    gap, valid = select_ranks(distinct, [], column, lambda n: F.array(F.lit(gap_at), F.lit(valid_at))).first().picked
     if gap >= valid:
         raise ValueError("timestamps do not allow three slices")
     return gap, valid
