@@ -26,6 +26,47 @@ def cut_points(value: str, cuts: int) -> Column:
     return F.expr(f"percentile_approx(`{value}`, array({shares}), {4 * cuts})")
 
 
+def grouped(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregate per key, or over everything when there are no keys."""
+    return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+
+
+def number_array(values: Sequence[float]) -> Column:
+    """A literal array of numbers, built in one call."""
+
+    def text(v: float) -> str:
+        if isinstance(v, int):
+            return f"{v}L"
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+    return F.expr(f"array({', '.join(map(text, values))})")
+
+
+def held(table: DataFrame, keys: Sequence[str]) -> DataFrame | dict[str, Column]:
+    """Keep a small per-key table for several uses: written out, or one row as literals."""
+    if keys:
+        return materialize(table)
+    row = table.first()
+    if row is None:
+        return {}
+
+    def literal(name: str) -> Column:
+        value = row[name]
+        column = number_array(value) if isinstance(value, list) and value else F.lit(value)
+        return column.cast(table.schema[name].dataType)
+
+    return {name: literal(name) for name in table.columns}
+
+
+def attach(
+    df: DataFrame, table: DataFrame | dict[str, Column], keys: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Add columns of a held table: by equi-join on the keys, or as literals."""
+    if isinstance(table, DataFrame):
+        return df.join(table.select(*keys, *names), list(keys))
+    return df.withColumns({name: table[name] for name in names})
+
+
 def summaries(df: DataFrame, keys: Sequence[str], value: str, cuts: int = CUTS) -> DataFrame:
     """Per key: n, mean, min, max and sorted cut points. One pass with bounded state."""
     return grouped(
