@@ -19,7 +19,7 @@ from tallyrow.catalog.base import (
 )
 from tallyrow.functions import dense
 from tallyrow.functions import sequences as s
-from tallyrow.operators import assemble, blocks, profile, weights
+from tallyrow.operators import assemble, profile, training, weights
 from tallyrow.operators.ranks import exact_quantiles
 from tallyrow.plans.fixed import COUNT_FID, TIME_BUCKET_EDGES, TIME_OF_DAY_FID
 from tallyrow.plans.windows import local_day_number
@@ -376,3 +376,44 @@ def _(spark, sf):
         "event_id", r6(day).alias("w"), r6(weights.product(day, mature, recent)).alias("combined")
     )
 
+
+
+@query(
+    "training_table",
+    with_seqs(
+        CLEAN_SQL
+        + """, lens AS (SELECT event_id, """
+        + per_domain("CAST(least(len({item}), {L}) AS BIGINT) AS len_{d}", ", ")
+        + ", "
+        + per_domain(_BUCKETS, ", ")
+        + ", "
+        + per_domain("ln(1 + least(len({item}), {L})) + ln(1 + " + _SPREAD + ") AS stat_{d}", ", ")
+        + """, CAST(coalesce(label_type, 0) = 2 AS BIGINT) AS label, CAST(coalesce(label_type, 0) >= 1 AS BIGINT) AS label_click,
+  coalesce(user_int_feats_1, 0) <= 0 AS m1, coalesce(user_int_feats_2, 0) <= 0 AS m2,
+  CASE WHEN coalesce(user_int_feats_1, 0) <= 0 THEN 7 WHEN user_int_feats_1 < 8 THEN user_int_feats_1 ELSE 0 END AS r1,
+  CASE WHEN coalesce(user_int_feats_2, 0) <= 0 THEN 250 WHEN user_int_feats_2 < 251 THEN user_int_feats_2 ELSE 0 END AS r2
+  FROM seqs)
+SELECT event_id, label, label_click, concat_ws(',', r1, r2, u3a, u3b) AS user_int, concat_ws(',', i11, i12) AS item_int,
+  len_a + len_b + len_c + len_d AS seq_total_len, tb_a, tb_b, tb_c, tb_d, CAST(18 AS BIGINT) AS dense_len,
+  round(ln(1 + greatest(user_dense_feats_62[1], 0))
+    + ln(1 + ((r1 <> 0)::INT + (r2 <> 0)::INT + (u3a <> 0)::INT + (u3b <> 0)::INT)) + ln(1 + ((i11 <> 0)::INT + (i12 <> 0)::INT))
+    + stat_a + stat_b + stat_c + stat_d + sin(2 * pi() * h / 24) + cos(2 * pi() * h / 24) + m1::INT + m2::INT, 5) AS dense_sum
+FROM cleaned JOIN lens USING (event_id), LATERAL (SELECT CAST(("timestamp" // 3600) % 24 AS DOUBLE) AS h) x"""
+    ),
+)
+def _(spark, sf):
+    options = training.TableOptions(
+        routed_user=[1, 2, 3], count_features=True, seq_stats=True, hour_only=True
+    )
+    table, _layout = training.training_table(seqs(spark, sf), PLAN, "event_id", options)
+    return table.select(
+        "event_id",
+        "label",
+        "label_click",
+        joined(F.col("user_int")).alias("user_int"),
+        joined(F.col("item_int")).alias("item_int"),
+        "seq_total_len",
+        *[joined(F.col(f"{d.name}_time_bucket")).alias(f"tb_{d.letter}") for d in _DOMAINS],
+        F.size("user_dense").cast("bigint").alias("dense_len"),
+        F.round(F.aggregate("user_dense", F.lit(0.0), lambda a, x: a + x), 5).alias("dense_sum"),
+    )

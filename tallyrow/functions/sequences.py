@@ -84,6 +84,11 @@ def hashed_draw(row_key: Column, domain: str, seed: int) -> Callable[[Column], C
     return draw
 
 
+def domain_letters(names: Sequence[str]) -> set[str]:
+    """Domain letters of names given as ``c`` or ``seq_c``."""
+    return {n.removeprefix("seq_") for n in names}
+
+
 def mask_positions(values: Column, draw: Callable[[Column], Column], probability: float) -> Column:
     """Blank each position whose draw is below ``probability``; the length stays."""
     return F.transform(

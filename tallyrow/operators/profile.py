@@ -192,12 +192,12 @@ def seq_time_diffs(
         if d.ts_column is None:
             continue
         seen = F.slice(F.col(d.ts_column), 1, d.max_len) if truncate else F.col(d.ts_column)
-        parts.append(F.struct(F.lit(d.name).alias("domain"), F.filter(seen, lambda s: s > 0).alias("seen")))
+        parts.append(F.struct(F.lit(d.name).alias("domain"), seen.alias("seen")))
     long = df.select(*keep, "timestamp", F.explode(F.array(*parts)).alias("p")).select(
         *keep, "timestamp", "p.domain", F.explode("p.seen").alias("s")
     )
     diff = (F.col("timestamp") - F.col("s")).alias("diff")
-    return long.select(*keep, "domain", diff).where(F.col("diff") >= min_diff)
+    return long.where("s > 0").select(*keep, "domain", diff).where(F.col("diff") >= min_diff)
 
 
 def time_diff_quantiles(df: DataFrame, domains: Sequence[SequenceDomain]) -> DataFrame:
@@ -260,13 +260,13 @@ def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[i
         F.struct(
             F.lit(d.name).alias("domain"),
             F.lit(fid).cast("bigint").alias("fid"),
-            F.filter(F.col(d.column(fid)), lambda x: x > 0).alias("items"),
+            F.col(d.column(fid)).alias("items"),
         )
         for d in domains
         for fid in d.side_fids
         if fids is None or fid in fids
     ]
-    return _unpack(df, parts).select("domain", "fid", F.explode("items").alias("item"))
+    return _unpack(df, parts).select("domain", "fid", F.explode("items").alias("item")).where("item > 0")
 
 
 def seq_topk_items(df: DataFrame, domains: Sequence[SequenceDomain], k: int = 50_000) -> DataFrame:
