@@ -7,9 +7,11 @@ which are computed in chunks of steps, so a long run does not sit in one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.operators.ordered import running, top_per_key
+from tallyrow.session import materialize
 
 RUN, STEP = "run_id", "step"
 
@@ -84,7 +86,7 @@ def logloss_rebound(
         raise ValueError("patience must be positive")
     seen = running(runs, RUN, STEP, {"_low": ("min", F.col(metric))}, False, chunk_rows)
     rebound = F.coalesce(F.col(metric) > F.col("_low") + F.lit(float(delta)), F.lit(False))
-    flagged = seen.select(*runs.columns, rebound.alias("rebound"))
+    flagged = materialize(seen.select(*runs.columns, rebound.alias("rebound")))
     calm = {"_calm": ("max", F.when(~F.col("rebound"), F.col(STEP)))}
     islands = running(flagged, RUN, STEP, calm, True, chunk_rows)
     streak = F.col(STEP) - F.coalesce("_calm", F.lit(0))
@@ -122,8 +124,10 @@ def average_candidates(runs: DataFrame, tolerance: float = 0.001, k: int = 4, at
     with its best score.
     """
     once = runs.groupBy(RUN, STEP).agg(F.max("val_auc").alias("val_auc"))
-    best = once.groupBy(RUN).agg(F.max("val_auc").alias("_best"))
-    near = once.join(best, RUN).where(F.col("val_auc") >= F.col("_best") - F.lit(float(tolerance))).drop("_best")
-    top = top_per_key(near, [RUN], [F.desc("val_auc"), F.asc(STEP)], k, [STEP], rank="candidate_rank")
-    enough = top.groupBy(RUN).agg(F.max("candidate_rank").alias("_n")).where(F.col("_n") >= at_least)
-    return top.join(enough.select(RUN), RUN, "left_semi")
+    top = top_per_key(once, [RUN], [F.desc("val_auc"), F.asc(STEP)], k, [STEP], rank="candidate_rank")
+    # At most k rows per run are left, the best one among them.
+    of_run = W.partitionBy(RUN)
+    near = top.withColumn("_best", F.max("val_auc").over(of_run)).where(
+        F.col("val_auc") >= F.col("_best") - F.lit(float(tolerance))
+    )
+    return near.withColumn("_n", F.count(F.lit(1)).over(of_run)).where(F.col("_n") >= at_least).drop("_best", "_n")

@@ -42,12 +42,14 @@ KINDS = {
 }
 
 
-def compare(spark, connection, name: str, sf_dir: str) -> str | None:
-    """None when both agree, else what differs."""
+def compare(spark, connection, name: str, sf_dir: str, inspect=None) -> str | None:
+    """None when both agree, else what differs; ``inspect`` sees the DataFrame first."""
     from tallyrow.catalog import REGISTRY
 
     item = REGISTRY[name]
     df = item.run(spark, sf_dir)
+    if inspect:
+        inspect(df)
     got = [tuple(r) for r in df.collect()]
     if item.sql is None:
         return None if got else "no rows"
