@@ -247,13 +247,12 @@ def _(spark, sf):
     "dense_remap",
     with_base(
         """SELECT event_id, dense_rank() OVER (ORDER BY item_int_feats_11) - 1 AS i11,
-  CASE WHEN coalesce(user_int_feats_2, 0) = 0 THEN 0
-       ELSE ((user_int_feats_2 - 1) % 127 + 127) % 127 + 1 END AS u2 FROM impressions"""
+  CASE WHEN user_int_feats_2 > 0 THEN (user_int_feats_2 - 1) % 127 + 1 ELSE 0 END AS u2 FROM impressions"""
     ),
 )
 def _(spark, sf):
-    table = rows(spark, sf)
     columns = ["item_int_feats_11", "user_int_feats_2"]
+    table = rows(spark, sf).withColumns({x: c.clean_id(F.col(x)) for x in columns})
     codes = assemble.code_tables(table, columns, 128)
     return table.select(
         "event_id",

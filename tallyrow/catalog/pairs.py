@@ -12,8 +12,8 @@ _CAP = 128
 # user_int_feats_2 has more than 128 values and is hashed; the others are ranked densely.
 _CODES = """, codes AS (SELECT
   dense_rank() OVER (ORDER BY user_int_feats_1) - 1 AS user_int_feats_1,
-  CASE WHEN coalesce(user_int_feats_2, 0) = 0 THEN 0 ELSE ((user_int_feats_2 - 1) % 127 + 127) % 127 + 1 END AS user_int_feats_2,
-  dense_rank() OVER (ORDER BY CASE WHEN len(list_filter(user_int_feats_3, lambda v: v <> 0)) > 0 THEN user_int_feats_3[1] ELSE 0 END) - 1 AS user_int_feats_3,
+  CASE WHEN user_int_feats_2 > 0 THEN (user_int_feats_2 - 1) % 127 + 1 ELSE 0 END AS user_int_feats_2,
+  dense_rank() OVER (ORDER BY CASE WHEN user_int_feats_3[1] > 0 THEN user_int_feats_3[1] ELSE 0 END) - 1 AS user_int_feats_3,
   dense_rank() OVER (ORDER BY item_int_feats_11) - 1 AS item_int_feats_11,
   dense_rank() OVER (ORDER BY item_int_feats_12) - 1 AS item_int_feats_12, y AS label FROM impressions),
 sizes AS (SELECT max(user_int_feats_1) + 1 AS user_int_feats_1, CAST(128 AS BIGINT) AS user_int_feats_2,
@@ -53,12 +53,12 @@ _LABEL = [(c, "label") for c in _USER + _ITEM]
 
 @query("contingency", with_base(_CODES + _cells(_UI) + " SELECT * FROM cells"))
 def _(spark, sf):
-    coded, _sizes = pairs.encoded(rows(spark, sf), _USER + _ITEM, _CAP)
+    coded, _sizes = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
     return pairs.contingency(coded, _UI)
 
 
 def _measured(spark, sf, found):
-    coded, sizes = pairs.encoded(rows(spark, sf), _USER + _ITEM, _CAP)
+    coded, sizes = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
     return pairs.association(pairs.contingency(coded, found), sizes)
 
 
@@ -84,7 +84,7 @@ def _pairwise(name: str, found) -> None:
         with_base(_CODES + _cells(found) + _dims(found) + _STATS + " SELECT * FROM v ORDER BY cramers_v DESC, a, b LIMIT 50"),
     )
     def _(spark, sf):
-        return rounded(pairs.pairwise(rows(spark, sf), found, _CAP), "cramers_v", "mi")
+        return rounded(pairs.pairwise(rows(spark, sf), PLAN.int_features(), found, _CAP), "cramers_v", "mi")
 
 
 _pairwise("pairwise_user_user", _UU)
@@ -96,4 +96,4 @@ _pairwise("pairwise_user_item", _UI)
     with_base(_CODES + _cells(_LABEL) + _dims(_LABEL) + _STATS + " SELECT a AS column_name, v_a AS v, mi FROM v"),
 )
 def _(spark, sf):
-    return rounded(pairs.label_mi(rows(spark, sf), _USER + _ITEM, _CAP), "mi")
+    return rounded(pairs.label_mi(rows(spark, sf), PLAN.int_features(), _CAP), "mi")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrow.catalog.base import PLAN, per_domain, query, rounded, rows, seqs, stored_seqs, with_base, with_seqs
+from tallyrow.catalog.features import CLEAN_SQL
 from tallyrow.catalog.scans import MISSING_SQL, missing_report
 from tallyrow.operators import profile, windows
+from tallyrow.operators.assemble import clean_ids
 from tallyrow.plans.fixed import LENGTH_PERCENTILES, VALUE_PERCENTILES
 from tallyrow.plans.windows import audit_windows, local_epoch
 
@@ -231,13 +233,20 @@ def _(spark, sf):
     return rounded(profile.abs_ts_quantiles(rows(spark, sf)), "mean", *_L_NAMES)
 
 
-_VALUES = """, vals AS (
-  SELECT section, CAST(fid AS BIGINT) AS fid, v FROM impressions, LATERAL (VALUES ('user_int', 1, user_int_feats_1),
-    ('user_int', 2, user_int_feats_2), ('item_int', 11, item_int_feats_11), ('item_int', 12, item_int_feats_12)) x(section, fid, v)
-  WHERE v <> 0
-  UNION ALL SELECT 'user_int', 3, {list} FROM impressions WHERE len(list_filter(user_int_feats_3, lambda v: v <> 0)) > 0)"""
-_FIRST_SLOT = "user_int_feats_3[1]"
-_FIRST_NONZERO = "list_filter(user_int_feats_3, lambda v: v <> 0)[1]"
+_VALUES = (
+    CLEAN_SQL
+    + """, vals AS (
+  SELECT section, CAST(fid AS BIGINT) AS fid, v, "timestamp" FROM cleaned, LATERAL (VALUES ('user_int', 1, u1), ('user_int', 2, u2),
+    ('item_int', 11, i11), ('item_int', 12, i12)) x(section, fid, v) WHERE v <> 0
+  UNION ALL SELECT 'user_int', 3, {list}, "timestamp" FROM cleaned WHERE u3a <> 0 OR u3b <> 0)"""
+)
+_FIRST_SLOT = "u3a"
+_FIRST_NONZERO = "CASE WHEN u3a <> 0 THEN u3a ELSE u3b END"
+
+
+def _cleaned(spark, sf):
+    """The id profiles describe what the model sees: cleaned, clipped and truncated ids."""
+    return clean_ids(rows(spark, sf), PLAN)
 
 
 @query(
@@ -248,7 +257,7 @@ _FIRST_NONZERO = "list_filter(user_int_feats_3, lambda v: v <> 0)[1]"
     ),
 )
 def _(spark, sf):
-    report = profile.value_quantiles(rows(spark, sf), PLAN.int_features())
+    report = profile.value_quantiles(_cleaned(spark, sf), PLAN.int_features())
     return rounded(report, "mean", *_V_NAMES)
 
 
@@ -412,14 +421,11 @@ _DRIFT_COLUMNS = ["null_rate_diff", "mean_diff", *[f"{n}_diff" for n in _V_NAMES
     "train_test_drift",
     with_base(
         _VALUES.replace("{list}", _FIRST_NONZERO)
-        .replace("fid, v FROM impressions", f'fid, v, "timestamp" >= {_TEST_FROM} AS late FROM impressions')
-        .replace("[1] FROM impressions", f'[1], "timestamp" >= {_TEST_FROM} FROM impressions')
-        + f""", q AS (SELECT section, fid, late, avg(v) AS mean, {", ".join(f"quantile_cont(v, {p / 100}) AS {n}" for p, n in zip(VALUE_PERCENTILES, _V_NAMES))}
-  FROM vals GROUP BY 1, 2, 3),
-nulls AS (SELECT section, CAST(fid AS BIGINT) AS fid, "timestamp" >= {_TEST_FROM} AS late, avg(m::INT) AS null_rate FROM impressions,
-  LATERAL (VALUES ('user_int', 1, coalesce(user_int_feats_1, 0) <= 0), ('user_int', 2, coalesce(user_int_feats_2, 0) <= 0),
-    ('user_int', 3, coalesce(len(list_filter(user_int_feats_3, lambda v: v > 0)), 0) = 0),
-    ('item_int', 11, coalesce(item_int_feats_11, 0) <= 0), ('item_int', 12, coalesce(item_int_feats_12, 0) <= 0)) x(section, fid, m) GROUP BY ALL),
+        + f""", q AS (SELECT section, fid, "timestamp" >= {_TEST_FROM} AS late, avg(v) AS mean, {", ".join(f"quantile_cont(v, {p / 100}) AS {n}" for p, n in zip(VALUE_PERCENTILES, _V_NAMES))}
+  FROM vals GROUP BY ALL),
+nulls AS (SELECT section, CAST(fid AS BIGINT) AS fid, "timestamp" >= {_TEST_FROM} AS late, avg(m::INT) AS null_rate FROM cleaned,
+  LATERAL (VALUES ('user_int', 1, u1 = 0), ('user_int', 2, u2 = 0), ('user_int', 3, u3a = 0 AND u3b = 0),
+    ('item_int', 11, i11 = 0), ('item_int', 12, i12 = 0)) x(section, fid, m) GROUP BY ALL),
 j AS (SELECT * FROM q JOIN nulls USING (section, fid, late))
 SELECT section, fid, round(b.null_rate - a.null_rate, 6) AS null_rate_diff, round(b.mean - a.mean, 6) AS mean_diff,
   {", ".join(f"round(b.{n} - a.{n}, 6) AS {n}_diff" for n in _V_NAMES)}
@@ -427,7 +433,7 @@ FROM (SELECT * FROM j WHERE NOT late) a JOIN (SELECT * FROM j WHERE late) b USIN
     ),
 )
 def _(spark, sf):
-    table = rows(spark, sf)
+    table = _cleaned(spark, sf)
     train, test = table.where(F.col("timestamp") < _TEST_FROM), table.where(F.col("timestamp") >= _TEST_FROM)
     return rounded(profile.train_test_drift(train, test, PLAN.int_features()), *_DRIFT_COLUMNS)
 

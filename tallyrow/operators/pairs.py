@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrow.functions.cleaning import binary_label
+from tallyrow.functions.cleaning import binary_label, clean_id, clean_list, head, primary_first_slot
 from tallyrow.operators.assemble import code_tables, encode
 from tallyrow.operators.profile import _is_list
-from tallyrow.functions.cleaning import primary_first_slot
+from tallyrow.plans.features import IntFeature
 
 PAIRS_PER_PASS = 64
 
 
-def encoded(df: DataFrame, columns: Sequence[str], cap: int = 256) -> tuple[DataFrame, dict[str, int]]:
-    """Each column as codes below ``cap``, and the number of codes per column.
+def encoded(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> tuple[DataFrame, dict[str, int]]:
+    """Each feature as codes below ``cap``, and the number of codes per column.
 
-    Lists are reduced to slot 0 of rows with any non-zero slot, else 0. Adds ``label``.
+    Null and negative ids count as 0. Lists are cut to their dim and reduced to slot 0 of rows
+    with any non-zero slot, else 0. Adds ``label``.
     """
-    plain = df.select(
-        *[
-            (F.coalesce(primary_first_slot(F.col(c)), F.lit(0)) if _is_list(df, c) else F.col(c)).alias(c)
-            for c in columns
-        ],
-        binary_label(F.col("label_type")).alias("label"),
-    )
+
+    def value(f: IntFeature) -> Column:
+        if not _is_list(df, f.column):
+            return clean_id(F.col(f.column))
+        kept = clean_list(head(F.col(f.column), f.dim))
+        return F.coalesce(primary_first_slot(kept), F.lit(0).cast("bigint"))
+
+    columns = [f.column for f in features]
+    plain = df.select(*[value(f).alias(f.column) for f in features], binary_label(F.col("label_type")).alias("label"))
     tables = code_tables(plain, columns, cap)
     coded = plain.select(*[encode(c, tables.get(c), cap).alias(c) for c in columns], "label")
     return coded, {c: len(tables[c]) if c in tables else cap for c in columns}
@@ -93,18 +96,24 @@ def user_user_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
 
-def pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]], cap: int = 256, top: int | None = 50) -> DataFrame:
+def pairwise(
+    df: DataFrame,
+    features: Sequence[IntFeature],
+    pairs: Sequence[tuple[str, str]],
+    cap: int = 256,
+    top: int | None = 50,
+) -> DataFrame:
     """All pairs, strongest Cramér's V first; ``top`` None keeps all."""
-    columns = sorted({c for p in pairs for c in p})
-    coded, sizes = encoded(df, columns, cap)
+    used = {c for p in pairs for c in p}
+    coded, sizes = encoded(df, [f for f in features if f.column in used], cap)
     ranked = association(contingency(coded, pairs), sizes).orderBy(F.desc(F.round("cramers_v", 9)), "a", "b")
     return ranked if top is None else ranked.limit(top)
 
 
-def label_mi(df: DataFrame, columns: Sequence[str], cap: int = 256) -> DataFrame:
-    """Mutual information of each column with the conversion label."""
-    coded, sizes = encoded(df, columns, cap)
-    cells = contingency(coded, [(c, "label") for c in columns])
+def label_mi(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> DataFrame:
+    """Mutual information of each feature with the conversion label."""
+    coded, sizes = encoded(df, features, cap)
+    cells = contingency(coded, [(f.column, "label") for f in features])
     result = association(cells, {**sizes, "label": 2})
     return result.select(F.col("a").alias("column_name"), F.col("v_a").alias("v"), "mi").orderBy(
         F.desc(F.round("mi", 9)), "column_name"

@@ -269,9 +269,14 @@ def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[i
     return _unpack(df, parts).select("domain", "fid", F.explode("items").alias("item")).where("item > 0")
 
 
-def seq_topk_items(df: DataFrame, domains: Sequence[SequenceDomain], k: int = 50_000) -> DataFrame:
-    """The ``k`` most frequent items per (domain, fid), ties by item, with the distinct count."""
-    counted = seq_items(df, domains).groupBy("domain", "fid", "item").agg(F.count(F.lit(1)).alias("freq"))
+def seq_topk_items(
+    df: DataFrame, domains: Sequence[SequenceDomain], k: int = 50_000, fids: Sequence[int] | None = None
+) -> DataFrame:
+    """The ``k`` most frequent items per (domain, fid), ties by item, with the distinct count.
+
+    ``fids`` restricts the report, for instance to those the catalog flags as high-vocabulary.
+    """
+    counted = seq_items(df, domains, fids).groupBy("domain", "fid", "item").agg(F.count(F.lit(1)).alias("freq"))
     freq = materialize(counted)
     keys = ["domain", "fid"]
     distinct = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -435,7 +440,10 @@ def primary_values(
 
 
 def value_quantiles(df: DataFrame, features: Sequence[IntFeature], mode: str = "first_slot") -> DataFrame:
-    """Quantiles, mean, range and distinct count of the primary value per feature."""
+    """Quantiles, mean, range and distinct count of the primary value per feature.
+
+    Meant for cleaned ids; on raw ones negative values would count as values.
+    """
     keys = ["section", "fid"]
     values = primary_values(df, features, mode)
     spread = exact_quantiles(values, keys, "v", [p / 100 for p in VALUE_PERCENTILES])
@@ -444,17 +452,19 @@ def value_quantiles(df: DataFrame, features: Sequence[IntFeature], mode: str = "
 
 
 def value_cvr_signal(
-    df: DataFrame, features: Sequence[IntFeature], min_count: int = 100, top: int = 200
+    df: DataFrame, features: Sequence[IntFeature], min_count: int = 100, top: int = 200, scalar_only: bool = False
 ) -> DataFrame:
     """(section, fid, value) with the largest count · |rate − overall rate|.
 
     Lists count by their first non-zero value; rows without one count as value 0. Scalars
-    are taken as they are, null as 0.
+    are taken as they are, null as 0. ``scalar_only`` leaves lists out.
     """
     positive = binary_label(F.col("label_type"))
     overall = df.agg(F.avg(positive.cast("double"))).first()[0] or 0.0
     parts = []
     for f in features:
+        if scalar_only and _is_list(df, f.column):
+            continue
         column = F.col(f.column)
         value = primary_first_nonzero(column) if _is_list(df, f.column) else column
         parts.append(

@@ -480,9 +480,13 @@ def test_association_equals_definition_and_is_symmetric(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"a": rng.integers(0, 3, 500), "b": rng.integers(0, 40, 500), "label_type": rng.choice([0, 2], 500)})
     pdf["c"] = (pdf.a * 2 + (rng.random(500) < 0.2)) % 5
-    df = spark.createDataFrame(pdf)
+    names = {"a": "user_int_feats_1", "b": "user_int_feats_2", "c": "item_int_feats_3"}
+    features = [IntFeature("user_int", 1), IntFeature("user_int", 2), IntFeature("item_int", 3)]
+    df = spark.createDataFrame(pdf.rename(columns=names))
     found = [("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("c", "b")]
-    got = {(r.a, r.b): r for r in pairs.pairwise(df, found, 16, None).collect()}
+    asked = [(names[x], names[y]) for x, y in found]
+    short = {v: k for k, v in names.items()}
+    got = {(short[r.a], short[r.b]): r for r in pairs.pairwise(df, features, asked, 16, None).collect()}
     codes = {"a": (pdf.a, 3), "c": (pdf.c, 5), "b": (np.where(pdf.b > 0, (pdf.b - 1) % 15 + 1, 0), 16)}
     for pair in found:
         (x, vx), (y, vy) = codes[pair[0]], codes[pair[1]]
@@ -491,9 +495,20 @@ def test_association_equals_definition_and_is_symmetric(spark, monkeypatch):
     assert got["a", "b"].cramers_v == pytest.approx(got["b", "a"].cramers_v)
 
 
+def test_encoding_clamps_negatives_and_truncates_lists(spark):
+    rows = [(-4, [0, 3, 9]), (None, [0, 0, 9]), (5, None), (7, [2, -1])]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], "user_int_feats_1 bigint, user_int_feats_2 array<bigint>, label_type int")
+    coded, sizes = pairs.encoded(df, [IntFeature("user_int", 1), IntFeature("user_int", 2, 10, 2)], 8)
+    assert [(r[0], r[1]) for r in coded.collect()] == [(0, 0), (0, 0), (1, 0), (2, 1)]
+    assert sizes == {"user_int_feats_1": 3, "user_int_feats_2": 2}
+
+
 def test_association_of_constant_column(spark):
-    df = spark.createDataFrame([(1, i % 3, 0) for i in range(9)], "a bigint, b bigint, label_type int")
-    row = pairs.pairwise(df, [("a", "b")], 16).first()
+    df = spark.createDataFrame(
+        [(1, i % 3, 0) for i in range(9)], "user_int_feats_1 bigint, user_int_feats_2 bigint, label_type int"
+    )
+    features = [IntFeature("user_int", 1), IntFeature("user_int", 2)]
+    row = pairs.pairwise(df, features, [("user_int_feats_1", "user_int_feats_2")], 16).first()
     assert row.cramers_v == 0.0 and row.mi == pytest.approx(0.0)
 
 
