@@ -107,12 +107,13 @@ _SLICE_OUT = "slice, bucket, n, n_pos, round(n_pos / CAST(n AS DOUBLE), 6) AS po
         + " UNION ALL ".join(f"SELECT '{c}' AS slice, {c} AS v, label, logit FROM ok" for c in _SLICES)
         + """), edges AS (SELECT slice, list_sort(list_distinct([quantile_cont(v, 0.0), quantile_cont(v, 0.25),
     quantile_cont(v, 0.5), quantile_cont(v, 0.75), quantile_cont(v, 1.0)])) AS e FROM long GROUP BY 1),
-cut AS (SELECT l.slice, label, logit, CAST(len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS BIGINT) AS bucket
+placed AS (SELECT l.slice, label, logit, e, CAST(len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS BIGINT) AS bucket
   FROM long l JOIN edges USING (slice) WHERE len(e) >= 2),
+cut AS (SELECT slice, label, logit, bucket, CAST(floor(e[bucket + 1]) AS BIGINT) AS lower, CAST(floor(e[bucket + 2]) AS BIGINT) AS upper FROM placed),
 a AS ("""
         + _auc_sql("cut", "slice, bucket")
-        + f"""), m AS (SELECT slice, bucket, avg({_P}) AS pred_mean FROM cut GROUP BY 1, 2)
-SELECT {_SLICE_OUT}, round(pred_mean, 6) AS pred_mean FROM a JOIN m USING (slice, bucket)"""
+        + f"""), m AS (SELECT slice, bucket, min(lower) AS lower, min(upper) AS upper, avg({_P}) AS pred_mean FROM cut GROUP BY 1, 2)
+SELECT {_SLICE_OUT}, lower, upper, round(pred_mean, 6) AS pred_mean FROM a JOIN m USING (slice, bucket)"""
     ),
 )
 def _(spark, sf):
@@ -123,10 +124,10 @@ def _(spark, sf):
 @query(
     "slice_label_type",
     _diagnostics_sql(
-        ", cut AS (SELECT 'label_type_raw' AS slice, label_type_raw AS bucket, label, logit FROM diag WHERE logit IS NOT NULL), a AS ("
+        ", cut AS (SELECT 'label_type_raw' AS slice, label_type_raw AS bucket, CAST(NULL AS BIGINT) AS lower, CAST(NULL AS BIGINT) AS upper, label, logit FROM diag WHERE logit IS NOT NULL), a AS ("
         + _auc_sql("cut", "slice, bucket")
-        + f"""), m AS (SELECT slice, bucket, avg({_P}) AS pred_mean FROM cut GROUP BY 1, 2)
-SELECT {_SLICE_OUT}, round(pred_mean, 6) AS pred_mean FROM a JOIN m USING (slice, bucket)"""
+        + f"""), m AS (SELECT slice, bucket, min(lower) AS lower, min(upper) AS upper, avg({_P}) AS pred_mean FROM cut GROUP BY 1, 2)
+SELECT {_SLICE_OUT}, lower, upper, round(pred_mean, 6) AS pred_mean FROM a JOIN m USING (slice, bucket)"""
     ),
 )
 def _(spark, sf):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.losses import bce, focal, sigmoid, softplus
 from tallyrow.functions.search import count_below, with_count_below
-from tallyrow.operators.ranks import CUTS, attach, cut_points, exact_quantiles, grouped, held
+from tallyrow.operators.ranks import CUTS, attach, cut_points, exact_quantiles, grouped, held, number_array
 
 def valid_scores(df: DataFrame, score: str = "logit") -> DataFrame:
     """Rows whose score is neither null nor NaN."""
@@ -92,22 +92,29 @@ def slice_edges(df: DataFrame, columns: Sequence[str], parts: int = 4) -> dict[s
 def slice_report(df: DataFrame, columns: Sequence[str], categories: Sequence[str] = (), parts: int = 4) -> DataFrame:
     """Per slice and bucket: rows, positive share, AUC (null for one class), mean probability.
 
-    ``columns`` are cut at their quantiles, a value on an inner edge going up; columns with a
-    single value are left out. ``categories`` are used as they are.
+    ``columns`` are cut at their quantiles, a value on an inner edge going up; ``lower`` and
+    ``upper`` are the edges without fractions. Columns with a single value are left out.
+    ``categories`` are used as they are.
     """
     rows = valid_scores(df)
+
+    def entry(name: str, bucket: Column, lower: Column, upper: Column) -> Column:
+        fields = {"bucket": bucket, "lower": lower, "upper": upper}
+        return F.struct(F.lit(name).alias("slice"), *[v.cast("bigint").alias(k) for k, v in fields.items()])
+
     structs = []
-    if columns:
-        for name, edges in slice_edges(rows, columns, parts).items():
-            if len(edges) < 2:
-                continue
-            bucket = count_below(F.col(name).cast("double"), edges[1:-1], inclusive=True)
-            structs.append(F.struct(F.lit(name).alias("slice"), bucket.cast("bigint").alias("bucket")))
-    for name in categories:
-        structs.append(F.struct(F.lit(name).alias("slice"), F.col(name).cast("bigint").alias("bucket")))
+    for name, edges in (slice_edges(rows, columns, parts) if columns else {}).items():
+        if len(edges) < 2:
+            continue
+        bucket = count_below(F.col(name).cast("double"), edges[1:-1], inclusive=True)
+        bounds = number_array(edges)
+        structs.append(entry(name, bucket, F.get(bounds, bucket), F.get(bounds, bucket + 1)))
+    structs += [entry(name, F.col(name), F.lit(None), F.lit(None)) for name in categories]
     long = rows.select("label", "logit", F.explode(F.array(*structs)).alias("s")).select("label", "logit", "s.*")
     keys = ["slice", "bucket"]
     means = long.groupBy(*keys).agg(
+        F.min("lower").alias("lower"),
+        F.min("upper").alias("upper"),
         F.avg(F.col("label").cast("double")).alias("pos_rate"),
         F.avg(sigmoid(F.col("logit"))).alias("pred_mean"),
     )
