@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import (
     clean_and_clip,
-    clean_list,
     hash_bucket,
     head,
     is_missing,
@@ -19,7 +18,7 @@ from tallyrow.functions.cleaning import (
     route_missing,
 )
 from tallyrow.functions.sequences import seq_head
-from tallyrow.plans.features import FeaturePlan, IntFeature
+from tallyrow.plans.features import FeaturePlan, IntFeature, is_list
 from tallyrow.plans.fixed import LOG1P_DENSE_FIDS
 
 
@@ -37,9 +36,9 @@ def skipped_fids(plan: FeaturePlan, user: Iterable[int] = (), item: Iterable[int
     return sorted((set(user) | set(item)) - known)
 
 
-def cleaned_int(feature: IntFeature, is_list: bool, routed: bool = False) -> Column:
+def cleaned_int(feature: IntFeature, as_list: bool, routed: bool = False) -> Column:
     column = F.col(feature.column)
-    if is_list:
+    if as_list:
         return pad_ints(column, feature.dim, feature.vocab)
     return route_missing(column, feature.vocab) if routed else clean_and_clip(column, feature.vocab)
 
@@ -49,7 +48,7 @@ def clean_ids(df: DataFrame, plan: FeaturePlan, routed: Sequence[IntFeature] = (
     names = {f.column for f in routed}
     return df.withColumns(
         {
-            f.column: cleaned_int(f, _is_list(df, f.column), f.column in names)
+            f.column: cleaned_int(f, is_list(df, f.column), f.column in names)
             for f in plan.int_features()
             if f.column in df.columns
         }
@@ -67,10 +66,6 @@ def clean_sequences(df: DataFrame, plan: FeaturePlan, disabled: Iterable[int] =
     return df.withColumns(columns)
 
 
-def _is_list(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "array"
-
-
 def _at_least(values: Column, vocab: int) -> Column:
     return F.filter(values, lambda x: x >= F.lit(vocab))
 
@@ -85,7 +80,7 @@ def oob_stats(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     for column, vocab, dim in targets:
         if column not in df.columns:
             continue
-        values = head(F.col(column), dim) if _is_list(df, column) else F.array(F.col(column))
+        values = head(F.col(column), dim) if is_list(df, column) else F.array(F.col(column))
         bad = _at_least(values, vocab)
         parts.append(
             F.struct(
@@ -155,7 +150,7 @@ def encode(column: str, table: Sequence[int] | None, cap: int) -> Column:
 
 def assemble_ints(df: DataFrame, features: Sequence[IntFeature]) -> Column:
     """Scalars and padded lists of one side, one after the other (on cleaned columns)."""
-    parts = [F.col(f.column) if _is_list(df, f.column) else F.array(f.column) for f in features]
+    parts = [F.col(f.column) if is_list(df, f.column) else F.array(f.column) for f in features]
     return F.concat(*parts)
 
 
@@ -191,7 +186,3 @@ def block(fid: int, columns: Sequence[Column]) -> DenseBlock:
 def assemble_dense(blocks: Sequence[DenseBlock]) -> tuple[Column, list[tuple[int, int, int]]]:
     """The flat vector and its layout, both from the same list, so they cannot disagree."""
     return F.concat(*[b[2] for b in blocks]), _layout([(fid, dim) for fid, dim, _ in blocks])
-
-
-def clean_time_list(ts_list: Column, max_len: int) -> Column:
-    return clean_list(head(ts_list, max_len))

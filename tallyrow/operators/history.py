@@ -29,7 +29,7 @@ def available_time(ts: Column, label_type: Column, label_time: Column, maturity:
     return F.when(F.coalesce(label_type, F.lit(0)) == 2, known).otherwise(ts + F.lit(maturity))
 
 
-def _values(columns: dict[int, str]) -> Column:
+def history_values(columns: dict[int, str]) -> Column:
     """All (fid, value) a row contributes to; fid 0 stands for the whole table."""
     pairs = [(GLOBAL_FID, F.lit(0))] + [(fid, F.col(c)) for fid, c in sorted(columns.items())]
     return F.array(
@@ -44,7 +44,7 @@ def history_bins(df: DataFrame, columns: dict[int, str], when: Column, bin_sec:
     """Count and conversions per (fid, value, bin); hot values shrink before the shuffle."""
     positive = (F.coalesce(F.col("label_type"), F.lit(0)) == 2).cast("bigint")
     long = df.select(
-        floor_div(when, bin_sec).alias("bin"), positive.alias("positive"), F.explode(_values(columns)).alias("p")
+        floor_div(when, bin_sec).alias("bin"), positive.alias("positive"), F.explode(history_values(columns)).alias("p")
     ).select("p.fid", "p.value", "bin", "positive")
     return (
         long.where((F.col("fid") == GLOBAL_FID) | (F.col("value") > 0))
@@ -131,7 +131,7 @@ def history_lookup(
     )
     key = ["_bin", *ids.values()]
     tuples = rows.select(*key).distinct()
-    asked = tuples.select(*key, F.explode(_values(ids)).alias("p")).select(*key, "p.fid", "p.value")
+    asked = tuples.select(*key, F.explode(history_values(ids)).alias("p")).select(*key, "p.fid", "p.value")
     probes = (
         asked.where((F.col("fid") == GLOBAL_FID) | (F.col("value") > 0))
         .select("fid", "value", F.col("_bin").alias("bin"))

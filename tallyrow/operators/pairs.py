@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import binary_label, clean_id, clean_list, head, primary_first_slot
 from tallyrow.operators.assemble import code_tables, encode
-from tallyrow.operators.profile import _is_list
-from tallyrow.plans.features import IntFeature
+from tallyrow.plans.features import IntFeature, is_list
 
 PAIRS_PER_PASS = 64
 
@@ -25,7 +24,7 @@ def encoded(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> tu
     """
 
     def value(f: IntFeature) -> Column:
-        if not _is_list(df, f.column):
+        if not is_list(df, f.column):
             return clean_id(F.col(f.column))
         kept = clean_list(head(F.col(f.column), f.dim))
         return F.coalesce(primary_first_slot(kept), F.lit(0).cast("bigint"))

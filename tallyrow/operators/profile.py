@@ -21,7 +21,7 @@ from tallyrow.functions.sequences import clipped_length, model_length, true_leng
 from tallyrow.operators.blocks import block_catalog, rows_of_blocks, sample_blocks
 from tallyrow.operators.ordered import top_per_key
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles
-from tallyrow.plans.features import IntFeature, SequenceDomain
+from tallyrow.plans.features import IntFeature, SequenceDomain, is_list
 from tallyrow.plans.fixed import (
     LENGTH_PERCENTILES,
     LOCAL_OFFSET,
@@ -31,16 +31,12 @@ from tallyrow.plans.fixed import (
 from tallyrow.session import materialize
 
 
-def _is_list(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "array"
-
-
-def _unpack(df: DataFrame, structs: Sequence[Column], *keep: str) -> DataFrame:
+def unpack(df: DataFrame, structs: Sequence[Column], *keep: str) -> DataFrame:
     """One output row per struct; used to turn columns into rows."""
     return df.select(*keep, F.explode(F.array(*structs)).alias("_s")).select(*keep, "_s.*")
 
 
-def _rate(pos: Column, n: Column) -> Column:
+def rate(pos: Column, n: Column) -> Column:
     return F.when(n > 0, pos / n).otherwise(F.lit(0.0))
 
 
@@ -50,7 +46,7 @@ def _totals() -> list[Column]:
 
 
 def global_cvr(df: DataFrame) -> DataFrame:
-    return df.agg(*_totals()).select("*", _rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"))
+    return df.agg(*_totals()).select("*", rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"))
 
 
 # --- ids ---------------------------------------------------------------------------------
@@ -62,7 +58,7 @@ def id_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("id_column"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("id"))
         for c in columns
     ]
-    return _unpack(df, parts).groupBy("id_column", "id").agg(F.count(F.lit(1)).alias("freq"))
+    return unpack(df, parts).groupBy("id_column", "id").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def id_frequency(df: DataFrame, columns: Sequence[str] = ("user_id", "item_id")) -> DataFrame:
@@ -107,7 +103,7 @@ def missing_gap(df: DataFrame, features: Sequence[IntFeature]) -> DataFrame:
     counts = []
     for i, f in enumerate(features):
         column = F.col(f.column)
-        is_null = list_is_null(column) if _is_list(df, f.column) else scalar_is_null(column)
+        is_null = list_is_null(column) if is_list(df, f.column) else scalar_is_null(column)
         counts += [
             F.sum(is_null.cast("bigint")).alias(f"null_{i}"),
             F.sum(F.when(is_null, positive).otherwise(0)).cast("bigint").alias(f"pos_null_{i}"),
@@ -116,21 +112,21 @@ def missing_gap(df: DataFrame, features: Sequence[IntFeature]) -> DataFrame:
     rows = []
     for i, f in enumerate(features):
         n_null, pos_null = F.col(f"null_{i}"), F.col(f"pos_null_{i}")
-        cvr_null = _rate(pos_null, n_null)
-        cvr_set = _rate(F.col("pos") - pos_null, F.col("n") - n_null)
+        cvr_null = rate(pos_null, n_null)
+        cvr_set = rate(F.col("pos") - pos_null, F.col("n") - n_null)
         rows.append(
             F.struct(
                 F.lit(f.section).alias("section"),
                 F.lit(f.fid).cast("bigint").alias("fid"),
                 F.col("n").alias("n_total"),
                 n_null.alias("n_null"),
-                _rate(n_null, F.col("n")).alias("null_rate"),
+                rate(n_null, F.col("n")).alias("null_rate"),
                 cvr_null.alias("cvr_null"),
                 cvr_set.alias("cvr_notnull"),
                 (cvr_null - cvr_set).alias("cvr_gap"),
             )
         )
-    return _unpack(wide, rows).where("n_total > 0").orderBy(F.desc(F.abs("cvr_gap")), "section", "fid")
+    return unpack(wide, rows).where("n_total > 0").orderBy(F.desc(F.abs("cvr_gap")), "section", "fid")
 
 
 def missing_rates(df: DataFrame, features: Sequence[IntFeature]) -> DataFrame:
@@ -160,7 +156,7 @@ def seq_lengths(df: DataFrame, domains: Sequence[SequenceDomain], kind: str = "t
         return F.coalesce(true_length(ts_list, d.max_len if kind == "true_head" else None), F.lit(0))
 
     parts = [F.struct(F.lit(d.name).alias("domain"), length(d).cast("bigint").alias("length")) for d in domains]
-    return _unpack(df, parts, *keep)
+    return unpack(df, parts, *keep)
 
 
 def seq_len_quantiles(df: DataFrame, domains: Sequence[SequenceDomain], kind: str = "true") -> DataFrame:
@@ -266,7 +262,7 @@ def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[i
         for fid in d.side_fids
         if fids is None or fid in fids
     ]
-    return _unpack(df, parts).select("domain", "fid", F.explode("items").alias("item")).where("item > 0")
+    return unpack(df, parts).select("domain", "fid", F.explode("items").alias("item")).where("item > 0")
 
 
 def seq_topk_items(
@@ -313,7 +309,7 @@ def seq_item_overlap(
         F.sum("in_train").alias("n_train"),
         F.sum("in_test").alias("n_test"),
         both.alias("n_both"),
-        _rate(both, F.sum("in_test")).alias("test_share_seen"),
+        rate(both, F.sum("in_test")).alias("test_share_seen"),
     )
 
 
@@ -326,7 +322,7 @@ def cvr_by_day(df: DataFrame) -> DataFrame:
     total = F.sum("n_rows").over(W.partitionBy())  # one row per day
     return days.select(
         "*",
-        _rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
+        rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
         (F.col("n_rows") / total).alias("share"),
         date_text(F.col("day")).alias("date_utc"),
         date_text(F.floor((F.col("day") * 86400 + LOCAL_OFFSET) / 86400)).alias("date_local"),
@@ -338,7 +334,7 @@ def cvr_by_hour(df: DataFrame) -> DataFrame:
     hours = df.groupBy(hour_of_day(F.col("timestamp")).alias("hour_utc")).agg(*_totals())
     return hours.select(
         "*",
-        _rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
+        rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
         F.pmod(F.col("hour_utc") + 8, F.lit(24)).cast("bigint").alias("hour_local"),
     )
 
@@ -361,7 +357,7 @@ def local_cvr(df: DataFrame, offset: int = LOCAL_OFFSET) -> DataFrame:
         F.coalesce(*names).alias("bucket"),
         "n_rows",
         "n_pos",
-        _rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
+        rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),
     )
 
 
@@ -387,9 +383,9 @@ def clock_window_by_day(df: DataFrame, start: str, end: str, offset: int = LOCAL
         date_text(F.col("day")).alias("date_local"),
         "window_rows",
         "window_pos",
-        _rate(F.col("window_pos"), F.col("window_rows")).alias("cvr"),
-        _rate(F.col("day_pos"), F.col("day_rows")).alias("day_cvr"),
-        _rate(F.col("pre_pos"), F.col("pre_rows")).alias("pre_cvr"),
+        rate(F.col("window_pos"), F.col("window_rows")).alias("cvr"),
+        rate(F.col("day_pos"), F.col("day_rows")).alias("day_cvr"),
+        rate(F.col("pre_pos"), F.col("pre_rows")).alias("pre_cvr"),
     )
 
 
@@ -418,7 +414,7 @@ def primary_values(
 
     def value(f: IntFeature) -> Column:
         column = F.col(f.column)
-        if not _is_list(df, f.column):
+        if not is_list(df, f.column):
             value = F.when(column != 0, column)
         elif mode == "first_nonzero":
             value = primary_first_nonzero(column)
@@ -436,7 +432,7 @@ def primary_values(
         )
         for f in features
     ]
-    return _unpack(df, parts, *keep).where(F.col("v").isNotNull())
+    return unpack(df, parts, *keep).where(F.col("v").isNotNull())
 
 
 def value_quantiles(df: DataFrame, features: Sequence[IntFeature], mode: str = "first_slot") -> DataFrame:
@@ -463,10 +459,10 @@ def value_cvr_signal(
     overall = df.agg(F.avg(positive.cast("double"))).first()[0] or 0.0
     parts = []
     for f in features:
-        if scalar_only and _is_list(df, f.column):
+        if scalar_only and is_list(df, f.column):
             continue
         column = F.col(f.column)
-        value = primary_first_nonzero(column) if _is_list(df, f.column) else column
+        value = primary_first_nonzero(column) if is_list(df, f.column) else column
         parts.append(
             F.struct(
                 F.lit(f.section).alias("section"),
@@ -474,7 +470,7 @@ def value_cvr_signal(
                 F.coalesce(value, F.lit(0)).cast("bigint").alias("value"),
             )
         )
-    rows = _unpack(df.select("*", positive.alias("_positive")), parts, "_positive")
+    rows = unpack(df.select("*", positive.alias("_positive")), parts, "_positive")
     counts = rows.groupBy("section", "fid", "value").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("_positive").alias("n_pos")
     )

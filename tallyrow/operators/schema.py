@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyrow.functions.cleaning import list_size
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles
@@ -173,7 +172,3 @@ def plan_from_catalog(catalog: DataFrame, max_lens: dict[str, int] | None = None
 
 def infer_plan(df: DataFrame, max_lens: dict[str, int] | None = None, **shares: float) -> FeaturePlan:
     return plan_from_catalog(infer_catalog(df, **shares), max_lens)
-
-
-def is_list_column(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.ArrayType)

@@ -18,7 +18,7 @@ from tallyrow.functions.cleaning import binary_label
 from tallyrow.operators import assemble
 from tallyrow.operators.history import history_columns, history_lookup
 from tallyrow.plans import fixed
-from tallyrow.plans.features import FeaturePlan, SequenceDomain
+from tallyrow.plans.features import FeaturePlan, SequenceDomain, is_list
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class TableOptions:
 
 def nonzero_slots(df: DataFrame, features) -> Column:
     """Non-zero slots over the cleaned columns of one side."""
-    lists = [f.column for f in features if assemble._is_list(df, f.column)]
+    lists = [f.column for f in features if is_list(df, f.column)]
     scalars = [f.column for f in features if f.column not in lists]
     return dense.nonzero_count([F.col(c) for c in scalars], [F.col(c) for c in lists])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import binary_label
 from tallyrow.functions.clock import clock_text
-from tallyrow.operators.profile import _rate, _unpack, clock_window_by_day, seq_lengths
+from tallyrow.operators.profile import clock_window_by_day, seq_lengths, unpack
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles
 from tallyrow.operators.splits import window_rows
 from tallyrow.plans.features import SequenceDomain
@@ -108,7 +108,7 @@ def window_scoreboard(
     )
 
     ids = [F.struct(F.lit(c).alias("id_column"), F.col(f"{c}_id").alias("id")) for c in ("user", "item")]
-    counted = _unpack(rows, ids, "window").groupBy("window", "id_column", "id").agg(F.count(F.lit(1)).alias("freq"))
+    counted = unpack(rows, ids, "window").groupBy("window", "id_column", "id").agg(F.count(F.lit(1)).alias("freq"))
 
     def of(column: str, value: Column) -> Column:
         return F.when(F.col("id_column") == column, value)
@@ -122,7 +122,7 @@ def window_scoreboard(
         F.max(of("item", freq)).alias("item_max_freq"),
     )
 
-    facts = _unpack(
+    facts = unpack(
         df.sparkSession.range(1),
         [
             F.struct(

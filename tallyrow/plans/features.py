@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 USER_INT = "user_int"
@@ -118,6 +119,10 @@ class FeaturePlan:
         )
 
 
+def is_list(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.ArrayType)
+
+
 @dataclass(frozen=True)
 class ColumnRole:
     column: str

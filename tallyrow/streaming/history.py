@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrow.operators.history import GLOBAL_FID, _values, available_time
+from tallyrow.operators.history import GLOBAL_FID, history_values, available_time
 from tallyrow.plans.fixed import DAY, HOUR
 
 
@@ -38,7 +38,7 @@ def history_stream(
         .select(
             F.timestamp_seconds(when).alias("available"),
             positive.alias("positive"),
-            F.explode(_values(columns)).alias("p"),
+            F.explode(history_values(columns)).alias("p"),
         )
         .select("available", "positive", "p.fid", "p.value")
         .where((F.col("fid") == GLOBAL_FID) | (F.col("value") > 0))
