@@ -9,7 +9,7 @@ threshold (six standard errors and more) is dropped; the rest are confirmed on t
 Documents with equal shingle sets form one class, and only classes are compared. Buckets are never expanded into all
 pairs: each class is first tested against one centre (the class of its buckets that shares most buckets with others),
 and components are formed. Then only pairs of a bucket that are still in different components are tested, all of
-them, so the components are those of the whole link graph. A bucket of more than ``BLOCK`` classes is cut into blocks
+them, so the components are those of the whole link graph. A bucket of more than ``SMALL`` classes is cut into blocks
 that meet two by two, in groups of bounded size that hand on only the pairs with a good estimate.
 """
 
@@ -30,7 +30,8 @@ PERCENT = 85
 COARSE, FINE = 7, 9  # sketches of 2 ** 7 and 2 ** 9 registers
 MANTISSA = 10
 ROWS = 4
-BLOCK = 384
+BLOCK = 384  # classes in a block of a large bucket
+SMALL = 16  # classes of a bucket that is joined with itself
 ERRORS = 6.0
 
 
@@ -176,7 +177,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Promising pairs (a, b) of different roots in buckets of more than BLOCK classes.
+    """Promising pairs (a, b) of different roots in large buckets.
 
     The classes of a bucket are dealt to blocks by hash; every two blocks meet in one group. A pair is given only in
     the first of the bands that it shares.
@@ -268,11 +269,11 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     labelled = materialize(scored.join(roots, "node", "left").select("bucket", "node", "n", "size", F.coalesce("root", "node").alias("root")))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     open_ = labelled.join(mixed, "bucket")
-    small = open_.where(F.col("size") <= BLOCK)
+    small = open_.where(F.col("size") <= SMALL)
     left = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     right = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     apart = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb"))
-    close = _estimated(apart.select("a", "b").distinct(), texts).union(_meetings(open_.where(F.col("size") > BLOCK), texts)).distinct()
+    close = _estimated(apart.select("a", "b").distinct(), texts).union(_meetings(open_.where(F.col("size") > SMALL), texts)).distinct()
     more = _confirmed(materialize(close), texts)
     roots = materialize(components(materialize(linked.union(more))))
 
