@@ -246,7 +246,8 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     classes = materialize(classes.select("cls", "x.doc_id", "x.key", "x.n_shingles", "x.registers", F.monotonically_increasing_id().alias("node")))
 
     buckets = _buckets(classes)
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # written, so that the join is of plain exchanges, of which Spark splits the hot ones
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = materialize(buckets.join(shared, "bucket"))
 
     # texts and fine sketches of the classes that share a bucket

@@ -138,17 +138,18 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, spans): for each row with repeated edges, (first edge << 32 | edges) of runs of them, in any order."""
     places = materialize(_pieces_of(documents, window))
     counted = places.groupBy("mini").agg(F.count("*").alias("places"), F.min("piece").alias("low"), F.max("piece").alias("high"))
-    shared = counted.where("places > 1").select("mini", (F.col("low") == F.col("high")).alias("straight"))
+    # written, so that the joins below are of plain exchanges, of which Spark splits the hot ones
+    shared = materialize(counted.where("places > 1").select("mini", (F.col("low") == F.col("high")).alias("straight")))
     repeated = materialize(places.join(shared, "mini"))
 
     branching = repeated.where("not straight")
     distinct = materialize(branching.groupBy("mini", "piece").agg(F.count("*").alias("places"), F.min("row").alias("row")))
     opened = _opened(documents, distinct.select("row", "mini", "piece"), window).join(distinct.select("mini", "piece", "places"), ["mini", "piece"])
     edges = materialize(opened.select("mini", "piece", "places", F.posexplode("edges").alias("at", "edge")))
-    often = edges.groupBy("mini", "edge").agg(F.sum("places").alias("places")).where("places > 1").select("mini", "edge")
+    often = materialize(edges.groupBy("mini", "edge").agg(F.sum("places").alias("places")).where("places > 1").select("mini", "edge"))
     # a piece with several places is repeated as a whole; of the others, the edges that another piece has
     some = edges.where("places = 1").join(often, ["mini", "edge"]).groupBy("mini", "piece").agg(F.collect_list("at").alias("at"))
-    parts = distinct.select("mini", "piece", "places").join(some, ["mini", "piece"], "left").where("places > 1 or at is not null")
+    parts = materialize(distinct.select("mini", "piece", "places").join(some, ["mini", "piece"], "left").where("places > 1 or at is not null"))
     branched = branching.join(parts, ["mini", "piece"]).select("row", "start", "n", "at")
 
     def span(first: Column, n: Column) -> Column:
