@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tallyrow.llm.base import register, table
 from tallyrow.llm.bytescan import LOWER, SPACED, U64, Words, as_long, mix, windows, words
 from tallyrow.llm.components import components
+from tallyrow.llm.repeats import row_key
 from tallyrow.session import materialize
 
 SHINGLE = 5
@@ -101,7 +102,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, n_shingles, cls, registers); ``key`` hashes the text, ``cls`` and registers are null for an empty set."""
+    """(doc_id, key, n_shingles, cls, registers); ``key`` names the row, ``cls`` and registers are null for an empty set."""
 
     def scan(batches):
         for batch in batches:
@@ -116,7 +117,7 @@ def _sketched(documents: DataFrame) -> DataFrame:
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    return documents.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(
+    return documents.select("doc_id", row_key(documents).alias("key"), text.alias("text")).mapInArrow(
         scan, f"doc_id {id_type}, key bigint, n_shingles bigint, cls binary, registers binary"
     )
 
@@ -231,13 +232,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link_near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, key, cls) for every row.
+    """(doc_id, n_shingles, component_id, kept, key, root) for every row.
 
     Texts are compared as sets of distinct 5-word shingles after lower-casing A-Z; a text of fewer words is one shingle,
     and one without words, empty or null, has none and is linked with nothing: its component is its own id. Rows are
     linked when 100 * intersection >= 85 * union; ``component_id`` is the smallest id reachable. Repeated rows have
     equal sets and share a component; a null id is no candidate for ``component_id``, which is null only if every id of
-    the component is. ``kept`` marks rows whose id is the component's; other columns are ignored.
+    the component is. ``kept`` marks rows whose id is the component's; other columns are ignored. ``key`` hashes id and text, ``root`` numbers
+    the components and is null for rows without words.
     """
     rows = materialize(_sketched(documents))
     # null ids sort first, so they are set behind
@@ -251,10 +253,9 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     members = materialize(buckets.join(shared, "bucket"))
 
     # texts and fine sketches of the classes that share a bucket
-    wanted = classes.join(members.select("node").distinct(), "node").select("doc_id", "key", "node", "registers", F.col("n_shingles").alias("n"))
-    source = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    source = source.withColumn("text_key", F.xxhash64("text"))
-    matched = source.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
+    wanted = classes.join(members.select("node").distinct(), "node").select("key", "node", "registers", F.col("n_shingles").alias("n"))
+    source = documents.select(row_key(documents).alias("key"), F.col("text").cast("string").alias("text"))
+    matched = source.join(wanted, "key")
     texts = materialize(_finely(matched.select("node", "n", "text", "registers").dropDuplicates(["node"])))
 
     # one centre for each class: a base text shares more buckets than its variants do
@@ -280,12 +281,23 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
 
     by_node = classes.select("cls", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = by_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = by_node.join(smallest, "root").select(F.col("cls").alias("of"), "component_id")
+    by_class = by_node.join(smallest, "root").select(F.col("cls").alias("of"), "component_id", "root")
     found = rows.join(by_class, F.col("cls") == F.col("of"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", "cls")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", "root")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows, unchanged, that stand for their component: one row each, with the component's id.
+
+    Rows without words are components of their own; of rows equal in id and text one stays.
+    """
+    linked = link_near_duplicates(documents).where("kept")
+    chosen = linked.groupBy(F.coalesce("root", "key").alias("of"), F.col("root").isNull()).agg(F.min("key").alias("__key")).select("__key")
+    rows = documents.withColumn("__row", row_key(documents))
+    return rows.join(materialize(chosen), F.col("__row") == F.col("__key")).dropDuplicates(["__row"]).select(*documents.columns)
 
 
 @register("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_near_duplicates(table(spark, sf_dir, "documents")).drop("key", "cls")
+    return link_near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
