@@ -27,7 +27,8 @@ from tallyrow.session import materialize
 #: Target shares of the corpus' tokens by language, for the registered query and the pipeline.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 MOST_STEPS = 80
-CLOSE = 1e-4  # largest residual, as a share of all tokens, at which the fit ends
+CLOSE = 1e-4  # the fit ends at a largest residual of this share of all tokens,
+STILL = 5e-6  # or when a step changes no residual by more than this share
 
 #: (step size, least rate, one (residual, momentum) a step)
 Fit = tuple[float, float, list[tuple[np.ndarray, float]]]
@@ -113,7 +114,10 @@ def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_
             break
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         history.append(((ahead - target) / scale, (before - 1) / t))
+        last = total
         total, ahead, _ = _totals(profiles, (step, least, history), k)
+        if np.abs(total - last).max() / scale < STILL:
+            break
     return step, least, history
 
 

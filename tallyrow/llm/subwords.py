@@ -25,7 +25,7 @@ BUCKETS = WORDS + PAIRS + GRAMS
 DIM = 8
 EPOCHS = 6
 RATE = 0.4
-ROWS_PER_CLASS = 1_500
+SAMPLE_ROWS = 2_400  # labelled rows to learn from, the same number of each class
 FIXED = 1 << 20  # fixed-point scale of the scores
 U64, U32 = np.uint64, np.uint32
 
@@ -65,13 +65,14 @@ def _sparse(column: pa.Array):
             yield np.unique(found, return_counts=True)
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, classes: tuple, per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, by a hash of the id; an id labelled twice takes its largest label."""
+def sample(documents: DataFrame, labels: DataFrame, label: str, classes: tuple, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled ids, as many of each class, by a hash of the id; an id labelled twice takes its largest label."""
     spark = documents.sparkSession
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    per_class = max(1, rows // len(classes))
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids: list[tuple] = []
     for i, value in enumerate(classes):
-        chosen = rows.where(F.col("label") == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = marked.where(F.col("label") == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids += [(r.doc_id, i) for r in chosen.collect()]
     id_type = labels.schema["doc_id"].dataType.simpleString()
     return spark.createDataFrame(ids, f"doc_id {id_type}, label int")
@@ -87,22 +88,24 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
                     {
                         "label": pa.array([label], pa.int32()),
                         "buckets": pa.array([buckets.astype(np.int32).tobytes()], pa.binary()),
-                        "counts": pa.array([counts.astype(np.float32).tobytes()], pa.binary()),
+                        "counts": pa.array([np.minimum(counts, 65_535).astype(np.uint16).tobytes()], pa.binary()),
                     }
                 )
 
-    # at most ROWS_PER_CLASS rows a class, each of at most BUCKETS entries
+    # SAMPLE_ROWS rows at most, each of at most BUCKETS entries
     picked = documents.join(F.broadcast(chosen), "doc_id").select("text", "label")
-    rows = picked.mapInArrow(featurize, "label int, buckets binary, counts binary").collect()
-    data = sorted((r.label, bytes(r.buckets), bytes(r.counts)) for r in rows)
+    docs = []
+    for r in picked.mapInArrow(featurize, "label int, buckets binary, counts binary").toLocalIterator():
+        docs.append((r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.uint16)))
+    # an order that does not depend on how the rows were dealt
+    docs.sort(key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes()))
     k = len(classes)
-    seen = np.maximum(np.bincount([d[0] for d in data], minlength=k), 1) if data else np.ones(k)
+    seen = np.maximum(np.bincount([d[0] for d in docs], minlength=k), 1) if docs else np.ones(k)
     importance = np.asarray(shares) / (seen / seen.sum())
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, k), np.float32)
     bias = np.log(np.maximum(np.asarray(shares), 1e-6)).astype(np.float32)
-    docs = [(y, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for y, b, c in data]
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -111,7 +114,7 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
             done += 1
             if not len(buckets):
                 continue
-            share = counts / counts.sum()
+            share = (counts / counts.sum(dtype=np.float64)).astype(np.float32)
             own = vectors[buckets]
             mean = share @ own
             logits = mean @ layer + bias
@@ -161,10 +164,10 @@ def label_shares(labels: DataFrame, label: str, classes: tuple) -> list[float]:
     return [counts.get(c, 0) / total if total else 1 / len(classes) for c in classes]
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str, classes: tuple, per_class: int = ROWS_PER_CLASS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str, classes: tuple, rows: int = SAMPLE_ROWS) -> Model:
     """A model of ``label`` from the text of the documents that ``labels`` names."""
     labels = labels.select("doc_id", label)
-    return train(documents.select("doc_id", "text"), sample(documents, labels, label, classes, per_class), label_shares(labels, label, classes), classes)
+    return train(documents.select("doc_id", "text"), sample(documents, labels, label, classes, rows), label_shares(labels, label, classes), classes)
 
 
 def fold(doc_id: Column | str = "doc_id") -> Column:
