@@ -95,7 +95,7 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
     # SAMPLE_ROWS rows at most, each of at most BUCKETS entries
     picked = documents.join(F.broadcast(chosen), "doc_id").select("text", "label")
     docs = []
-    for r in picked.mapInArrow(featurize, "label int, buckets binary, counts binary").toLocalIterator():
+    for r in picked.mapInArrow(featurize, "label int, buckets binary, counts binary").repartition(4).toLocalIterator():
         docs.append((r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.uint16)))
     # an order that does not depend on how the rows were dealt
     docs.sort(key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes()))
