@@ -24,3 +24,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(documents: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``documents``."""
+    taken = {c.lower() for c in documents.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tallyrow.llm import subwords
-from tallyrow.llm.base import register, table
+from tallyrow.llm.base import free, register, table
 from tallyrow.llm.bytescan import SPACED, words
 from tallyrow.llm.repeats import row_key
 from tallyrow.session import materialize
@@ -178,7 +178,7 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float
             yield out.filter(pa.array(copies > 0))
 
     schema = StructType([*documents.schema.fields, StructField("rate", DoubleType()), StructField("copies", LongType())])
-    return documents.withColumn("__u", _draw(documents)).mapInArrow(scan, schema)
+    return documents.withColumn(free(documents, "__u"), _draw(documents)).mapInArrow(scan, schema)
 
 
 def by_language(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrow.llm.base import register, table
+from tallyrow.llm.base import free, register, table
 from tallyrow.llm.bytescan import LOWER, SPACED, U64, Words, as_long, mix, windows, words
 from tallyrow.llm.components import components
 from tallyrow.llm.repeats import row_key
@@ -292,10 +292,11 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Rows without words are components of their own; of rows equal in id and text one stays.
     """
+    row, key = free(documents, "__row"), free(documents, "__key")
     linked = link_near_duplicates(documents).where("kept")
-    chosen = linked.groupBy(F.coalesce("root", "key").alias("of"), F.col("root").isNull()).agg(F.min("key").alias("__key")).select("__key")
-    rows = documents.withColumn("__row", row_key(documents))
-    return rows.join(materialize(chosen), F.col("__row") == F.col("__key")).dropDuplicates(["__row"]).select(*documents.columns)
+    chosen = linked.groupBy(F.coalesce("root", "key").alias("of"), F.col("root").isNull()).agg(F.min("key").alias(key)).select(key)
+    rows = documents.withColumn(row, row_key(documents))
+    return rows.join(materialize(chosen), F.col(row) == F.col(key)).dropDuplicates([row]).select(*documents.columns)
 
 
 @register("op9_near_duplicates")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrow.llm.base import register, table
+from tallyrow.llm.base import free, register, table
 from tallyrow.llm.bytescan import SPACED, U64, Words, as_long, mix, windows, words
 from tallyrow.session import materialize
 
@@ -181,9 +181,10 @@ def _cleaned(batch_text: pa.Array, spans: list, window: int):
 
 
 def _joined(documents: DataFrame, window: int) -> DataFrame:
-    rows = documents.withColumn("__row", row_key(documents))
-    spans = repeated_spans(documents, window).select(F.col("row").alias("__key"), F.col("spans").alias("__spans"))
-    return rows.join(spans, F.col("__row") == F.col("__key"), "left").drop("__row", "__key")
+    row, key, found = (free(documents, n) for n in ("__row", "__key", "__spans"))
+    rows = documents.withColumn(row, row_key(documents))
+    spans = repeated_spans(documents, window).select(F.col("row").alias(key), F.col("spans").alias(found))
+    return rows.join(spans, F.col(row) == F.col(key), "left").drop(row, key)
 
 
 def repeat_report(documents: DataFrame, window: int = WINDOW) -> DataFrame:

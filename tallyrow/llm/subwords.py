@@ -24,6 +24,7 @@ GRAMS = 1 << 16
 BUCKETS = WORDS + PAIRS + GRAMS
 DIM = 8
 EPOCHS = 6
+LEAST_STEPS = 12_000  # small samples are seen more often
 RATE = 0.4
 SAMPLE_ROWS = 2_400  # labelled rows to learn from, the same number of each class
 FIXED = 1 << 20  # fixed-point scale of the scores
@@ -106,6 +107,7 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, k), np.float32)
     bias = np.log(np.maximum(np.asarray(shares), 1e-6)).astype(np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(docs)))) if docs else 0
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -141,6 +143,8 @@ def posteriors(model: Model, column: pa.Array) -> np.ndarray:
         total = np.zeros((len(w.rows), k), np.int64)
         n = np.zeros(len(w.rows), np.int64)
         for buckets, s, e in _features(w):
+            # an empty text at the end may begin behind the last feature
+            s, e = np.minimum(s, len(buckets)), np.minimum(e, len(buckets))
             n += e - s
             for c in range(k):
                 run = np.zeros(len(buckets) + 1, np.int64)
