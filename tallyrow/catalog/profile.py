@@ -274,9 +274,9 @@ def _(spark, sf):
     return profile.reservoir_sample(rows(spark, sf).select("event_id", "user_id"), ["user_id"], 10, "event_id", draw)
 
 
-_START, _END = "2024-01-29 09:49:51", "2024-01-29 14:49:07"
+_START, _END = "2024-01-29 10:00:00", "2024-01-29 15:00:00"
 _LO, _HI = local_epoch(_START), local_epoch(_END)
-_S_LO, _S_HI = 9 * 3600 + 49 * 60 + 51, 14 * 3600 + 49 * 60 + 7
+_S_LO, _S_HI = 10 * 3600, 15 * 3600
 _CLOCK = f""", sec AS (SELECT ("timestamp" + 28800) // 86400 AS day, ("timestamp" + 28800) % 86400 AS s, "timestamp" AS t, y FROM impressions),
 days AS (SELECT day, count(*) FILTER (s BETWEEN {_S_LO} AND {_S_HI}) AS window_rows,
   CAST(coalesce(sum(y) FILTER (s BETWEEN {_S_LO} AND {_S_HI}), 0) AS BIGINT) AS window_pos,
@@ -318,10 +318,10 @@ BOARD_WINDOWS = audit_windows(
     _START,
     _END,
     ["2024-01-28", "2024-01-27", "2024-01-26"],
-    {"inner_wide": ("11:29:18", "14:28:16"), "inner_narrow": ("12:14:59", "13:43:41")},
+    {"inner_wide": ("11:00:00", "14:00:00"), "inner_narrow": ("12:00:00", "13:00:00")},
 )
-# Where the target's time quantiles lie inside its window, and its sequence lengths.
-TIME_TARGETS = {1: 0.125, 5: 0.332, 25: 0.485, 50: 0.627, 75: 0.781, 95: 0.930, 99: 0.975}
+# Invented targets: times spread evenly over the window, and round sequence lengths.
+TIME_TARGETS = {p: p / 100 for p in (1, 5, 25, 50, 75, 95, 99)}
 LENGTH_TARGETS = {"seq_a": (6.8, 8.0), "seq_b": (3.1, 4.0), "seq_c": (5.5, 6.0), "seq_d": (5.2, 6.0)}
 
 

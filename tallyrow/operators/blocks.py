@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrow.operators.ordered import null_safe_join
+
 
 def with_file_block(df: DataFrame, name: str = "block") -> DataFrame:
     """Add the source file as block key (only on a DataFrame read straight from files)."""
@@ -47,16 +49,15 @@ def sample_ranks(n: int, k: int) -> list[int]:
     return [int(i * step) for i in range(k - 1)] + [n - 1]
 
 
-def sample_blocks(catalog: DataFrame, k: int, by: str = "filename", first: bool = False) -> DataFrame:
-    """Evenly spaced sample of ``k`` blocks, or the first ``k``."""
+def sample_blocks(catalog: DataFrame, k: int, by: str = "filename") -> DataFrame:
+    """Evenly spaced sample of ``k`` blocks."""
     ranked = ranked_blocks(catalog, by)
-    if first:
-        return ranked.where(F.col("block_rank") < k)
     return ranked.where(F.col("block_rank").isin(sample_ranks(catalog.count(), k)))
 
 
 def rows_of_blocks(df: DataFrame, block: str, blocks: DataFrame) -> DataFrame:
-    return df.join(blocks.select(F.col("block").alias(block)), block, "left_semi")
+    """The rows of the given blocks; a null block is a block like others."""
+    return null_safe_join(df, blocks.select(F.col("block").alias(block)), [block], "left_semi")
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def limit_blocks(blocks: DataFrame, last_train: int = 0, first_valid: int = 0) -
 
 def with_block_role(df: DataFrame, block: str, blocks: DataFrame) -> DataFrame:
     roles = blocks.select(F.col("block").alias(block), "role")
-    return df.join(roles, block)
+    return null_safe_join(df, roles, [block])
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:

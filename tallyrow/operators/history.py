@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions.clock import floor_div
 from tallyrow.plans.fixed import DAY, HOUR
+from tallyrow.operators.ordered import null_safe_join
 
 GLOBAL_FID = 0
 
@@ -117,7 +118,8 @@ def history_lookup(
 
     1. the distinct (ids, probe bin) of the rows; 2. of those the distinct (fid, value, bin);
     3. one running maximum per value over stored and probed bins (the cumulative counts
-    never fall); 4. equi-joins back to 1 and to the rows.
+    never fall); 4. equi-joins back to 1 and to the rows. A row without a time has the prior
+    and counts of 0.
     """
     if prior is None:
         prior = global_prior(store)
@@ -170,7 +172,7 @@ def history_lookup(
         cnt, pos = F.col(f"_cnt_{fid}"), F.col(f"_pos_{fid}")
         smoothed = F.when(cnt > 0, (pos + F.lit(float(strength)) * rate) / (cnt + F.lit(float(strength)))).otherwise(rate)
         features += [smoothed.alias(f"hist_rate_{fid}"), F.log1p(cnt).alias(f"hist_log_count_{fid}")]
-    return rows.join(wide.select(*key, *features), key).drop(*key)
+    return null_safe_join(rows, wide.select(*key, *features), key).drop(*key)
 
 
 def history_columns(fids: Sequence[int]) -> list[str]:

@@ -18,6 +18,13 @@ from tallyrow.functions.clock import floor_div
 SECOND_ROUND_ROWS = 4_000_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, where a null key equals a null key; ``keys`` come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def number_rows(
     df: DataFrame, key: str, time: str, ties: Sequence[str], name: str, slot_sec: int = 60
 ) -> DataFrame:
@@ -34,8 +41,7 @@ def number_rows(
     )
     inside = W.partitionBy(key, "_slot").orderBy(time, *ties)
     return (
-        slotted.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [key, "_slot"])
+        null_safe_join(slotted.withColumn("_local", F.row_number().over(inside)), offsets, [key, "_slot"])
         .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
         .drop("_slot", "_local", "_offset")
     )
@@ -111,11 +117,12 @@ def running(
         .orderBy(position)
         .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     )
-    joined = chunked.select(
+    ran = chunked.select(
         *df.columns,
         "_chunk",
         *[fold[kind](f"_v_{name}").over(frame).alias(f"_r_{name}") for name, (kind, _) in values.items()],
-    ).join(carried, [key, "_chunk"])
+    )
+    joined = null_safe_join(ran, carried, [key, "_chunk"])
     return joined.select(
         *df.columns,
         *[

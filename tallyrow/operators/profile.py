@@ -233,7 +233,7 @@ def bucket_fit_sample(
     rows_per_block: int = 50_000,
     diffs_per_block: int = 100_000,
     diffs_per_domain: int = 5_000_000,
-    seed: int = 20260518,
+    seed: int = 0,
 ) -> DataFrame:
     """Positive differences (domain, diff) from evenly spaced blocks, with sample sizes.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.functions import dense
 from tallyrow.functions import sequences as s
-from tallyrow.functions.cleaning import binary_label
+from tallyrow.functions.cleaning import binary_label, clean_and_clip
 from tallyrow.operators import assemble
 from tallyrow.operators.history import history_columns, history_lookup
 from tallyrow.plans import fixed
@@ -103,7 +103,13 @@ def training_table(
     table = df
     if options.history:
         h = options.history
-        table = history_lookup(table, h.store, h.columns, h.cutoff, h.strength, h.prior, h.bin_sec)
+        # the look-up sees the ids the model sees: one out of range has no history of its own
+        vocabs = {f.column: f.vocab for f in (*plan.user_int, *plan.item_int)}
+        ids = {fid: f"_history_{fid}" for fid in h.columns}
+        table = table.withColumns(
+            {ids[fid]: clean_and_clip(F.col(c), vocabs[c]) if vocabs.get(c) else F.col(c) for fid, c in h.columns.items()}
+        )
+        table = history_lookup(table, h.store, ids, h.cutoff, h.strength, h.prior, h.bin_sec).drop(*ids.values())
     raw = F.col("label_type") if labelled else F.lit(0)
     prepared = {
         "label": binary_label(raw),

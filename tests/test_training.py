@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrow.catalog.base import HISTORY_COLUMNS, PLAN
-from tallyrow.operators import history, weights
+from tallyrow.operators import blocks, history, ordered, weights
 from tallyrow.operators.training import HistoryOptions, TableOptions, training_table
 from tallyrow.plans import fixed
 from tallyrow.session import materialize
@@ -35,7 +35,10 @@ def test_layout_covers_the_vector_and_history_sits_where_it_says(spark, table):
     assert [length for _, _, length in layout] == [3, 1, 2, 8, 6, 5, 10, 14, 2, 3]
     assert got.where(F.size("user_dense") != sum(length for _, _, length in layout)).count() == 0
     offset, length = sizes[fixed.HISTORY_FID]
-    looked = history.history_lookup(table, store, HISTORY_COLUMNS).select(
+    # ids that the plan does not know (item_int_feats_11 goes up to 100 at a vocab of 90) have no history of their own
+    known = table.withColumns({c: F.when(F.col(c) < v, F.col(c)).otherwise(0) for c, v in (("item_int_feats_11", 90), ("item_int_feats_12", 10))})
+    assert table.where("item_int_feats_11 >= 90").count() > 0
+    looked = history.history_lookup(known, store, HISTORY_COLUMNS).select(
         "event_id", F.array(*history.history_columns([11, 12])).alias("want")
     )
     both = got.join(looked, "event_id").select(F.slice("user_dense", offset + 1, length).alias("have"), "want")
@@ -85,3 +88,20 @@ def test_fitted_edges_travel_with_the_plan(spark, tmp_path):
     assert plan == PLAN and found == edges
     write_plan(spark, PLAN, str(tmp_path / "bare"))
     assert read_plan(spark, str(tmp_path / "bare"))[1] is None
+
+
+def test_rows_without_a_time_or_block_stay(spark, table):
+    store = history.history_build(table, HISTORY_COLUMNS)
+    holes = table.withColumn("timestamp", F.when(F.col("event_id") % 10 != 0, F.col("timestamp")))
+    looked = history.history_lookup(holes, store, HISTORY_COLUMNS, prior=0.25)
+    assert looked.count() == table.count()
+    assert looked.where("timestamp is null and (hist_rate <> 0.25 or hist_log_count <> 0)").count() == 0
+
+    roles = spark.createDataFrame([(None, "train"), (1, "valid")], "block bigint, role string")
+    rows = spark.createDataFrame([(None,), (1,), (1,), (None,)], "b bigint")
+    assert blocks.with_block_role(rows, "b", roles).where("role is not null").count() == 4
+    assert blocks.rows_of_blocks(rows, "b", roles).count() == 4
+
+    events = spark.createDataFrame([(None, 5, 1), (None, 70, 2), (3, None, 3), (3, 1, 4)], "k bigint, t bigint, e bigint")
+    numbered = ordered.number_rows(events, "k", "t", ["e"], "pos")
+    assert sorted(map(tuple, numbered.select("e", "pos").collect())) == [(1, 1), (2, 2), (3, 1), (4, 2)]
