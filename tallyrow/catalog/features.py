@@ -118,7 +118,7 @@ diffs AS ("""
 )
 def _(spark, sf):
     table = stored_seqs(spark, sf, "event_id", "timestamp", "block_time", *[d.ts_column for d in _DOMAINS])
-    sample = profile.bucket_fit_sample(table, _DOMAINS, "block_time", "event_id")
+    sample = profile.bucket_fit_sample(table, _DOMAINS, "block_time", "event_id", 8)
     found = exact_quantiles(sample, ["domain"], "diff", [0.99])
     return found.select("domain", "n", r6(F.get("quantiles", F.lit(0))).alias("p99"))
 

@@ -35,6 +35,27 @@ def _(spark, sf):
     return runlog.early_stop_step(runs(spark, sf), patience=5)
 
 
+def _recurrence(metric: str, better: str) -> str:
+    """Early stopping step by step, as a recursive query."""
+    return with_runs(
+        f""", m AS MATERIALIZED (SELECT run_id, step, {metric} AS x FROM runs),
+e AS (SELECT run_id, step, x AS best, step AS moved FROM m WHERE step = 1
+  UNION ALL SELECT m.run_id, m.step, CASE WHEN {better} THEN x ELSE best END, CASE WHEN {better} THEN m.step ELSE moved END
+  FROM e JOIN m ON m.run_id = e.run_id AND m.step = e.step + 1)
+SELECT run_id, min(CASE WHEN step - moved >= 5 THEN step END) AS stop_step FROM e GROUP BY 1"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("early_stop_delta", _recurrence("val_auc", "x > best + 0.01::DOUBLE"))
+def _(spark, sf):
+    return runlog.early_stop_step(runs(spark, sf), patience=5, delta=0.01)
+
+
+@query("early_stop_min", _recurrence("val_logloss", "x < best - 0.005::DOUBLE"))
+def _(spark, sf):
+    return runlog.early_stop_step(runs(spark, sf), "val_logloss", 5, 0.005, "min")
+
+
 @query(
     "logloss_rebound",
     with_runs(

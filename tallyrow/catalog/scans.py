@@ -94,7 +94,7 @@ def _(spark, sf):
     return blocks.rows_of_blocks(table, "block_mix", chosen).select("event_id", "block_mix")
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", with_base('SELECT event_id, user_id, "timestamp" FROM impressions'))
 def _(spark, sf):
     return blocks.shuffled(rows(spark, sf).select("event_id", "user_id", "timestamp"), ["event_id"], seed=7)
 

@@ -140,26 +140,36 @@ def focal_loss(df: DataFrame, alpha: float = 0.1, gamma: float = 2.0, label: str
     return valid_scores(df).agg(F.avg(focal(F.col("logit"), F.col(label), alpha, gamma)).alias("loss"))
 
 
-def bpr_loss(
-    df: DataFrame, draw: Column, margin: float = 0.0, max_side: int = 256, tie: str = "event_id"
-) -> DataFrame:
-    """Mean pairwise ranking loss over up to ``max_side`` sampled positives and negatives.
+def pair_batches(df: DataFrame, row_key: str, rows: int = 512) -> Column:
+    """A batch number per row, from a hash of its key, so that batches hold about ``rows`` rows."""
+    return F.pmod(F.xxhash64(row_key), F.lit(max(1, -(-df.count() // rows))))
 
-    The sample per class is the ``max_side`` smallest draws, so at most ``max_side``² pairs
-    exist. Without both classes the loss is 0.
-    """
 
-    def sample(value: int) -> DataFrame:
-        rows = valid_scores(df).where(F.col("label") == value)
-        return rows.orderBy(draw, tie).limit(max_side).select("label", "logit")
+def bpr_loss(df: DataFrame, batch: Column, margin: float = 0.0) -> DataFrame:
+    """Mean over the batches of the pairwise ranking loss of all their (positive, negative) pairs.
+
+    Every row is in the batch that ``batch`` names; :func:`pair_batches` keeps batches small.
+    Pairs are summed inside the batch and never become rows. Batches without both classes
+    have no pair; without any pair the loss is 0.
+    """
 
     def side(value: int) -> Column:
         return F.collect_list(F.when(F.col("label") == value, F.col("logit")))
 
-    both = sample(1).unionByName(sample(0)).agg(side(1).alias("pos"), side(0).alias("neg"))
-    pairs = both.select(F.explode("pos").alias("p"), "neg").select("p", F.explode("neg").alias("q"))
-    loss = softplus(-(F.col("p") - F.col("q") - F.lit(float(margin))))
-    return pairs.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"))
+    batches = (
+        valid_scores(df)
+        .select("label", "logit", batch.alias("_batch"))
+        .groupBy("_batch")
+        .agg(side(1).alias("pos"), side(0).alias("neg"))
+        .where((F.size("pos") > 0) & (F.size("neg") > 0))
+    )
+
+    def against(p: Column) -> Column:
+        return F.aggregate("neg", F.lit(0.0), lambda a, q: a + softplus(-(p - q - F.lit(float(margin)))))
+
+    total = F.aggregate("pos", F.lit(0.0), lambda a, p: a + against(p))
+    loss = total / (F.size("pos") * F.size("neg"))
+    return batches.agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"))
 
 
 def mean_bce(df: DataFrame, score: str = "logit", label: str = "label") -> DataFrame:
@@ -173,13 +183,13 @@ def blended(parts: Sequence[tuple[float, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, terms).agg(F.sum("loss").alias("loss"))
 
 
-def combined_auc_loss(df: DataFrame, draw: Column, share: float = 0.5, margin: float = 0.0) -> DataFrame:
+def combined_auc_loss(df: DataFrame, batch: Column, share: float = 0.5, margin: float = 0.0) -> DataFrame:
     """(1 - share) · cross-entropy + share · pairwise ranking loss."""
     if not 0.0 <= share <= 1.0:
         raise ValueError(f"share must be in [0, 1], got {share}")
     if share == 0.0:
         return mean_bce(df)
-    return blended([(1.0 - share, mean_bce(df)), (share, bpr_loss(df, draw, margin))])
+    return blended([(1.0 - share, mean_bce(df)), (share, bpr_loss(df, batch, margin))])
 
 
 def multitask_loss(

@@ -203,9 +203,11 @@ def time_diff_quantiles(df: DataFrame, domains: Sequence[SequenceDomain]) -> Dat
     )
 
 
-def log_edges(n: int, p99: float | None, count: int = len(TIME_BUCKET_EDGES), lowest: int = 5) -> list[int]:
-    """Log-spaced edges from ``lowest`` to ``p99``; too little or too short data keeps the default."""
-    if n < 100 or p99 is None or p99 <= lowest:
+def log_edges(
+    n: int, p99: float | None, count: int = len(TIME_BUCKET_EDGES), lowest: int = 5, least_rows: int = 100
+) -> list[int]:
+    """Log-spaced edges from ``lowest`` to ``p99``; fewer than ``least_rows`` or too short differences keep the default."""
+    if n < least_rows or p99 is None or p99 <= lowest:
         return list(TIME_BUCKET_EDGES)
     ideal = np.rint(np.exp(np.linspace(np.log(lowest), np.log(p99), count)))
     ideal[0] = max(ideal[0], lowest)
@@ -229,25 +231,29 @@ def bucket_fit_sample(
     domains: Sequence[SequenceDomain],
     block: str,
     row_key: str,
-    n_blocks: int = 8,
-    rows_per_block: int = 50_000,
-    diffs_per_block: int = 100_000,
-    diffs_per_domain: int = 5_000_000,
+    n_blocks: int | None = None,
+    rows_per_block: int | None = None,
+    diffs_per_block: int | None = None,
+    diffs_per_domain: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Positive differences (domain, diff) from evenly spaced blocks, with sample sizes.
+    """Positive differences (domain, diff) from ``n_blocks`` evenly spaced blocks (None: all).
 
-    A sampling operator: within the limits everything is kept, beyond them a repeatable
-    uniform sample. :func:`fit_time_edges` uses all rows instead.
+    Every row of the chosen blocks counts. A limit that the caller sets keeps a repeatable
+    uniform sample, chosen by a hash and not by the order of the keys.
     """
-    chosen = sample_blocks(block_catalog(df, block), n_blocks)
-    rows = rows_of_blocks(df, block, chosen)
-    first = top_per_key(rows, [block], [F.asc(row_key)], rows_per_block, [row_key])
-    diffs = seq_time_diffs(first, domains, 1, False, block, row_key)
+    rows = df
+    if n_blocks is not None:
+        rows = rows_of_blocks(df, block, sample_blocks(block_catalog(df, block), n_blocks))
+    if rows_per_block is not None:
+        rows = reservoir_sample(rows, [block], rows_per_block, row_key, seed=seed)
+    diffs = seq_time_diffs(rows, domains, 1, False, block, row_key)
     draw = F.xxhash64(row_key, "domain", "diff", F.lit(seed))
-    part = reservoir_sample(diffs, ["domain", block], diffs_per_block, row_key, draw)
-    whole = reservoir_sample(part, ["domain"], diffs_per_domain, row_key, draw)
-    return whole.select("domain", "diff")
+    if diffs_per_block is not None:
+        diffs = reservoir_sample(diffs, ["domain", block], diffs_per_block, row_key, draw)
+    if diffs_per_domain is not None:
+        diffs = reservoir_sample(diffs, ["domain"], diffs_per_domain, row_key, draw)
+    return diffs.select("domain", "diff")
 
 
 def seq_items(df: DataFrame, domains: Sequence[SequenceDomain], fids: Sequence[int] | None = None) -> DataFrame:

@@ -31,31 +31,42 @@ def best_step(runs: DataFrame, metric: str = "val_auc", chunk_rows: int = 1 << 1
     )
 
 
-def _last_accepted(runs: DataFrame, score: Column, delta: float, chunk_rows: int) -> DataFrame:
-    """Add ``_last``: the latest step at which the tracked best moved."""
-    seen = _leader(runs.withColumn("_score", score), F.col("_score"), chunk_rows)
-    first = -F.col("_lead.neg_step")
-    if delta == 0:
-        return seen.withColumn("_last", first)
-    # With a delta only new maxima can be accepted, so the recurrence needs those alone.
-    records = seen.where(first == F.col(STEP)).groupBy(RUN).agg(
-        F.sort_array(F.collect_list(F.struct(STEP, F.col("_score").alias("score")))).alias("_records")
+def _stop_with_delta(seen: DataFrame, delta: float, patience: int, chunk_rows: int) -> DataFrame:
+    """(run, stop_step) where a score counts only if it beats the last accepted one by more than ``delta``.
+
+    Only new maxima can be accepted. They are folded in chunks of ``chunk_rows`` steps: a round takes
+    one chunk of every run that still goes on, and passes on its last accepted score and step.
+    """
+    lead = -F.col("_lead.neg_step") == F.col(STEP)
+    chunk = F.floor((F.col(STEP) - 1) / chunk_rows).alias("_chunk")
+    record = F.struct(F.col(STEP).cast("bigint").alias("at"), F.col("_score").cast("double").alias("score"))
+    pieces = materialize(
+        seen.where(lead).groupBy(RUN, chunk).agg(F.sort_array(F.collect_list(record)).alias("_records"))
+    )
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(None).cast("double").alias("best"), none.alias("at"), none.alias("stop"))
+    state = materialize(
+        seen.groupBy(RUN).agg(F.max(STEP).cast("bigint").alias("_steps")).withColumn("_state", start)
     )
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast("array<bigint>").alias("steps"))
 
     def accept(state: Column, record: Column) -> Column:
+        late = record["at"] - state["at"] > patience
+        stop = F.coalesce(state["stop"], F.when(late, state["at"] + patience))
         moved = state["best"].isNull() | (record["score"] > state["best"] + F.lit(delta))
-        after = F.struct(
-            record["score"].cast("double").alias("best"),
-            F.concat(state["steps"], F.array(record[STEP].cast("bigint"))).alias("steps"),
-        )
+        after = F.struct(record["score"].alias("best"), record["at"].alias("at"), stop.alias("stop"))
         return F.when(moved, after).otherwise(state)
 
-    steps = records.select(
-        RUN, F.explode(F.aggregate("_records", start, accept)["steps"]).alias(STEP)
-    ).withColumn("_accepted", F.col(STEP))
-    marked = runs.join(steps, [RUN, STEP], "left")
-    return running(marked, RUN, STEP, {"_last": ("max", F.col("_accepted"))}, True, chunk_rows)
+    for (number,) in pieces.select("_chunk").distinct().orderBy("_chunk").collect():
+        here = pieces.where(F.col("_chunk") == number).select(F.col(RUN).alias("_run"), "_records")
+        going = F.col(RUN).eqNullSafe(F.col("_run")) & F.col("_state.stop").isNull()
+        folded = F.when(F.col("_records").isNull(), F.col("_state")).otherwise(
+            F.aggregate("_records", F.col("_state"), accept)
+        )
+        state = materialize(state.join(here, going, "left").select(RUN, "_steps", folded.alias("_state")))
+    at_end = F.col("_state.at") + patience
+    return state.select(
+        RUN, F.coalesce("_state.stop", F.when(at_end <= F.col("_steps"), at_end)).alias("stop_step")
+    )
 
 
 def early_stop_step(
@@ -70,8 +81,10 @@ def early_stop_step(
     if mode not in ("max", "min"):
         raise ValueError(f"unknown mode {mode!r}")
     score = F.col(metric) if mode == "max" else -F.col(metric)
-    seen = _last_accepted(runs, score, delta, chunk_rows)
-    waited = F.col(STEP) - F.col("_last")
+    seen = _leader(runs.withColumn("_score", score), F.col("_score"), chunk_rows)
+    if delta > 0:
+        return _stop_with_delta(materialize(seen.select(RUN, STEP, "_score", "_lead")), delta, patience, chunk_rows)
+    waited = F.col(STEP) + F.col("_lead.neg_step")
     return seen.groupBy(RUN).agg(F.min(F.when(waited >= patience, F.col(STEP))).alias("stop_step"))
 
 

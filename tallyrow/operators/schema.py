@@ -32,9 +32,18 @@ def _values(role: ColumnRole) -> Column:
     return column.cast("array<bigint>") if role.is_list else F.array(column.cast("bigint"))
 
 
-def _statistics(role: ColumnRole) -> Column:
-    """One struct of aggregates per column; no row is multiplied."""
+def _statistics(role: ColumnRole, floor: int) -> Column:
+    """One struct of aggregates per column; no row is multiplied.
+
+    For behaviour lists also the number of positive ids, how many exceed ``floor``, and the ids next to it.
+    """
     none = F.lit(None).cast("bigint")
+    n = above = low = high = none
+    if role.letter:
+        ids = F.filter(_values(role), lambda x: x > 0)
+        late, early = F.filter(ids, lambda x: x > floor), F.filter(ids, lambda x: x <= floor)
+        n, above = F.sum(list_size(ids)), F.sum(list_size(late))
+        low, high = F.max(F.array_max(early)), F.min(F.array_min(late))
     top = F.max(F.array_max(_values(role))) if role.section != USER_DENSE else none
     length = F.max(list_size(F.col(role.column))) if role.is_list else F.lit(1)
     return F.struct(
@@ -42,23 +51,15 @@ def _statistics(role: ColumnRole) -> Column:
         F.lit(role.fid).cast("bigint").alias("fid"),
         top.cast("bigint").alias("top"),
         length.cast("bigint").alias("length"),
+        *[c.cast("bigint").alias(k) for k, c in (("n", n), ("above", above), ("low", low), ("high", high))],
     )
 
 
-def late_medians(df: DataFrame, roles: list[ColumnRole], floor: int) -> DataFrame:
-    """Per (section, fid), whether the median of the positive ids exceeds ``floor``.
-
-    Four aggregates decide it: half of the ids above, or the two middle ones around it.
-    """
-    found = id_values(df, roles).groupBy("section", "fid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("id") > floor).alias("above"),
-        F.max(F.when(F.col("id") <= floor, F.col("id"))).alias("low"),
-        F.min(F.when(F.col("id") > floor, F.col("id"))).alias("high"),
-    )
+def _late(floor: int) -> Column:
+    """Whether the median of the positive ids exceeds ``floor``: half of them above, or the middle two around it."""
     twice = 2 * F.col("above")
     tie = (twice == F.col("n")) & ((F.col("low") + F.col("high")) / 2.0 > F.lit(float(floor)))
-    return found.select("section", "fid", ((twice > F.col("n")) | tie).alias("late"))
+    return (twice > F.col("n")) | tie
 
 
 def id_values(df: DataFrame, roles: list[ColumnRole]) -> DataFrame:
@@ -107,7 +108,7 @@ def infer_catalog(
     roles = column_roles(df.schema)
     if not roles:
         raise ValueError("no feature columns found")
-    wide = df.agg(*[_statistics(r).alias(f"c{i}") for i, r in enumerate(roles)])
+    wide = df.agg(*[_statistics(r, ts_floor).alias(f"c{i}") for i, r in enumerate(roles)])
     stats = wide.select(F.explode(F.array(*[f"c{i}" for i in range(len(roles))])).alias("s")).select("s.*")
     vocab = F.when(F.col("top") > 0, F.col("top") + 1).otherwise(F.lit(1))
     dim = F.greatest(F.col("length"), F.lit(1))
@@ -122,11 +123,7 @@ def infer_catalog(
         stats = stats.join(cut.select(*keys, F.get("quantiles", F.lit(0)).alias("_len")), keys, "left")
         dim = F.greatest(F.coalesce(F.floor("_len").cast("bigint"), F.lit(1)), F.lit(1))
     is_seq = F.col("section").startswith("seq_")
-    lists = [r for r in roles if r.letter]
-    if lists:
-        stats = stats.join(late_medians(df, lists, ts_floor), keys, "left")
-    else:
-        stats = stats.withColumn("late", F.lit(False))
+    stats = stats.withColumn("late", _late(ts_floor))
     # The first list of a domain that looks like timestamps is its time axis.
     first_ts = F.min(F.when(is_seq & F.col("late"), F.col("fid"))).over(W.partitionBy("section"))
     vocab = F.when(F.col("section") != USER_DENSE, vocab)

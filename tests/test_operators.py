@@ -329,11 +329,11 @@ def test_losses_by_hand(spark):
     weight = np.array([0.1, 0.2, 0.2])
     assert metrics.weighted_bce(df, "w").first().loss == pytest.approx((weight * bce).sum())
     bpr = np.log1p(np.exp(-(2.0 - np.array([-1.0, 0.5]) - 0.25))).mean()
-    assert metrics.bpr_loss(df, F.col("event_id"), 0.25).first().loss == pytest.approx(bpr)
-    assert metrics.combined_auc_loss(df, F.col("event_id"), 0.4, 0.25).first().loss == pytest.approx(0.6 * bce.mean() + 0.4 * bpr)
-    assert metrics.bpr_loss(df.where("label = 1"), F.col("event_id")).first().loss == 0.0
+    assert metrics.bpr_loss(df, F.lit(0), 0.25).first().loss == pytest.approx(bpr)
+    assert metrics.combined_auc_loss(df, metrics.pair_batches(df, "event_id"), 0.4, 0.25).first().loss == pytest.approx(0.6 * bce.mean() + 0.4 * bpr)
+    assert metrics.bpr_loss(df.where("label = 1"), F.lit(0)).first().loss == 0.0
     with pytest.raises(ValueError):
-        metrics.combined_auc_loss(df, F.col("event_id"), 1.5)
+        metrics.combined_auc_loss(df, F.lit(0), 1.5)
 
 
 def test_slices_skip_single_values(spark):
@@ -549,6 +549,39 @@ def test_bucket_fit_sample_respects_limits(spark):
     assert profile.bucket_fit_sample(df, domain, "block", "id", 4).count() == 4 * 10 * 3
 
 
+def test_bucket_fit_sample_takes_all_rows_and_cuts_no_prefix(spark):
+    """One block of 120,000 rows, differences growing with the key: the former limits would all have been reached."""
+    df = spark.range(120_000).selectExpr("id", "id + 10 AS timestamp", "0 AS block", "array(9L) AS domain_a_seq_1")
+    domain = [SequenceDomain("a", {1: 0}, 1)]
+    whole = profile.bucket_fit_sample(df, domain, "block", "id")
+    assert whole.agg(F.count(F.lit(1)), F.max("diff")).first() == (120_000, 120_000)
+    part = profile.bucket_fit_sample(df, domain, "block", "id", rows_per_block=5_000)
+    n, mean, top = part.agg(F.count(F.lit(1)), F.avg("diff"), F.max("diff")).first()
+    assert n == 5_000 and 57_000 < mean < 63_000 and top > 119_000
+
+
+def test_pairwise_loss_uses_every_row(spark):
+    """Two batches of 2,000 rows; the pairs of a single extreme row shift the mean."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"event_id": range(4000), "label": rng.integers(0, 2, 4000), "logit": rng.normal(size=4000)})
+    pdf.loc[3999, ["label", "logit"]] = [1, -5000.0]
+    got = metrics.bpr_loss(spark.createDataFrame(pdf), F.col("event_id") % 2, 0.5).first().loss
+    want = []
+    for _, g in pdf.groupby(pdf.event_id % 2):
+        d = g.logit[g.label == 1].to_numpy()[:, None] - g.logit[g.label == 0].to_numpy()[None, :] - 0.5
+        want.append((np.maximum(-d, 0) + np.log1p(np.exp(-np.abs(d)))).mean())
+    assert got == pytest.approx(np.mean(want))
+    sizes = spark.createDataFrame(pdf).groupBy(metrics.pair_batches(spark.createDataFrame(pdf), "event_id", 500)).count()
+    assert sizes.count() == 8 and sizes.agg(F.sum("count")).first()[0] == 4000
+
+
+def test_early_stop_over_a_long_rise(spark):
+    """100,000 rising scores in chunks of 30,000; every tenth step is accepted, until the rise ends."""
+    df = spark.range(1, 100_101).selectExpr("1 AS run_id", "id AS step", "least(id, 100000) / 8.0D AS val_auc")
+    got = {p: runlog.early_stop_step(df, "val_auc", p, 1.2, chunk_rows=30_000).first().stop_step for p in (9, 10, 110)}
+    assert got == {9: 10, 10: 100_001, 110: None}
+
+
 def test_reservoir_sample_is_uniform_and_repeatable(spark):
     df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END AS k")
     first = profile.reservoir_sample(df, ["k"], 200, "id", seed=3)
