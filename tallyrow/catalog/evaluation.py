@@ -8,7 +8,7 @@ from tallyrow.catalog.base import PLAN, SEQ_SQL, per_domain, query, r6, rounded,
 from tallyrow.catalog.features import CLEAN_SQL, item_nonzero, user_nonzero
 from tallyrow.functions import sequences as s
 from tallyrow.functions.cleaning import binary_label
-from tallyrow.operators import metrics, scoring, splits, training, weights
+from tallyrow.operators import assemble, metrics, scoring, splits, training, weights
 from tallyrow.plans.windows import TimeWindow, local_epoch
 from tallyrow.session import materialize
 from tallyrow.sources import event_log

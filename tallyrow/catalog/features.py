@@ -98,8 +98,7 @@ SELECT domain, CAST(i AS BIGINT) AS pos,
     ),
 )
 def _(spark, sf):
-    table = stored_seqs(spark, sf, "timestamp", *[d.ts_column for d in _DOMAINS])
-    edges = profile.fit_time_edges(table, _DOMAINS)
+    edges = profile.fit_time_edges(seqs(spark, sf), _DOMAINS)
     frames = [(name, i, e) for name, found in edges.items() for i, e in enumerate(found)]
     return spark.createDataFrame(frames, "domain string, pos bigint, edge bigint")
 

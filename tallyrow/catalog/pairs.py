@@ -53,12 +53,12 @@ _LABEL = [(c, "label") for c in _USER + _ITEM]
 
 @query("contingency", with_base(_CODES + _cells(_UI) + " SELECT * FROM cells"))
 def _(spark, sf):
-    coded, _sizes = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
+    coded, _sizes, _folded = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
     return pairs.contingency(coded, _UI)
 
 
 def _measured(spark, sf, found):
-    coded, sizes = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
+    coded, sizes, _folded = pairs.encoded(rows(spark, sf), PLAN.int_features(), _CAP)
     return pairs.association(pairs.contingency(coded, found), sizes)
 
 
@@ -81,7 +81,7 @@ def _(spark, sf):
 def _pairwise(name: str, found) -> None:
     @query(
         name,
-        with_base(_CODES + _cells(found) + _dims(found) + _STATS + " SELECT * FROM v ORDER BY cramers_v DESC, a, b LIMIT 50"),
+        with_base(_CODES + _cells(found) + _dims(found) + _STATS + " SELECT *, 'user_int_feats_2' IN (a, b) AS folded FROM v ORDER BY cramers_v DESC, a, b LIMIT 50"),
     )
     def _(spark, sf):
         return rounded(pairs.pairwise(rows(spark, sf), PLAN.int_features(), found, _CAP), "cramers_v", "mi")

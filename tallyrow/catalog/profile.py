@@ -123,7 +123,7 @@ _DIFF_LONG = """SELECT 'seq_{d}' AS domain, "timestamp" - s AS diff
     ),
 )
 def _(spark, sf):
-    table = stored_seqs(spark, sf, "timestamp", *_TS_COLUMNS)
+    table = seqs(spark, sf)
     return rounded(profile.time_diff_quantiles(table, _DOMAINS), "mean", *_L_NAMES)
 
 
@@ -362,7 +362,13 @@ i AS (SELECT "window", count(*) AS item_unique, max(c) AS item_max_freq
   FROM (SELECT "window", item_id, count(*) AS c FROM inw GROUP BY 1, 2) GROUP BY 1),
 board AS (SELECT tot.*, u.* EXCLUDE ("window"), i.* EXCLUDE ("window"), n_pos / CAST(n_rows AS DOUBLE) AS cvr,
   time_q_l1 + seq_mean_rel_l1 + 0.25 * seq_p50_rel_l1 + 0.10 * greatest(0, 0.95 - user_singleton_share) AS oracle_distance,
-  n_rows >= 10 AS viable FROM tot JOIN u USING ("window") JOIN i USING ("window"))"""
+  n_rows >= 10 AS viable FROM tot JOIN u USING ("window") JOIN i USING ("window")),
+every AS (SELECT "window", w.start_local, w.end_local, coalesce(n_rows, 0) AS n_rows, coalesce(n_pos, 0) AS n_pos,
+  coalesce(user_unique, 0) AS user_unique, coalesce(user_max_freq, 0) AS user_max_freq, coalesce(item_unique, 0) AS item_unique,
+  coalesce(item_max_freq, 0) AS item_max_freq, coalesce(viable, false) AS viable, user_singleton_share, cvr,
+  coalesce(time_q_l1, 'infinity'::DOUBLE) AS time_q_l1, coalesce(seq_mean_rel_l1, 'infinity'::DOUBLE) AS seq_mean_rel_l1,
+  coalesce(seq_p50_rel_l1, 'infinity'::DOUBLE) AS seq_p50_rel_l1, coalesce(oracle_distance, 'infinity'::DOUBLE) AS oracle_distance
+  FROM w LEFT JOIN board USING ("window"))"""
 )
 _BOARD_FLOATS = ["time_q_l1", "seq_mean_rel_l1", "seq_p50_rel_l1", "user_singleton_share", "cvr", "oracle_distance"]
 
@@ -373,11 +379,11 @@ _BOARD_FLOATS = ["time_q_l1", "seq_mean_rel_l1", "seq_p50_rel_l1", "user_singlet
         _BOARD_SQL
         + ' SELECT "window", start_local, end_local, n_rows, n_pos, user_unique, user_max_freq, item_unique, item_max_freq, viable, '
         + ", ".join(f"round({c}, 6) AS {c}" for c in _BOARD_FLOATS)
-        + " FROM board"
+        + " FROM every"
     ),
 )
 def _(spark, sf):
-    return rounded(board(spark, sf).where("n_rows > 0"), *_BOARD_FLOATS)
+    return rounded(board(spark, sf), *_BOARD_FLOATS)
 
 
 @query(

@@ -18,6 +18,7 @@ from tallyrow.functions.cleaning import (
     route_missing,
 )
 from tallyrow.functions.sequences import seq_head
+from tallyrow.operators.ranks import number_array
 from tallyrow.plans.features import FeaturePlan, IntFeature, is_list
 from tallyrow.plans.fixed import LOG1P_DENSE_FIDS
 
@@ -144,8 +145,14 @@ def encode(column: str, table: Sequence[int] | None, cap: int) -> Column:
     value = F.coalesce(F.col(column), F.lit(0)).cast("bigint")
     if table is None:
         return hash_bucket(value, cap)
-    codes = F.array(*[F.lit(v).cast("bigint") for v in table])
-    return (F.array_position(codes, value) - 1).cast("bigint")
+    # halving search among the sorted values; every value of the column is one of them
+    codes, steps = number_array(table), [1 << i for i in reversed(range(len(table).bit_length()))]
+    found = F.aggregate(
+        number_array(steps),
+        F.lit(0).cast("bigint"),
+        lambda at, step: F.when(F.get(codes, (at + step - 1).cast("int")) < value, at + step).otherwise(at),
+    )
+    return found.cast("bigint")
 
 
 def assemble_ints(df: DataFrame, features: Sequence[IntFeature]) -> Column:

@@ -6,21 +6,24 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import binary_label, clean_id, clean_list, head, primary_first_slot
 from tallyrow.operators.assemble import code_tables, encode
 from tallyrow.plans.features import IntFeature, is_list
+from tallyrow.session import materialize
 
 PAIRS_PER_PASS = 64
 
 
-def encoded(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> tuple[DataFrame, dict[str, int]]:
-    """Each feature as codes below ``cap``, and the number of codes per column.
+def encoded(
+    df: DataFrame, features: Sequence[IntFeature], cap: int | None = 256
+) -> tuple[DataFrame, dict[str, int], list[str]]:
+    """Each feature as codes below ``cap``, the number of codes per column, and the folded columns.
 
     Null and negative ids count as 0. Lists are cut to their dim and reduced to slot 0 of rows
-    with any non-zero slot, else 0. Adds ``label``.
+    with any non-zero slot, else 0. Adds ``label``. A column of more than ``cap`` values is folded
+    by a hash; ``cap`` None keeps the ids themselves. The source is read once, the codes are stored.
     """
 
     def value(f: IntFeature) -> Column:
@@ -30,51 +33,68 @@ def encoded(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> tu
         return F.coalesce(primary_first_slot(kept), F.lit(0).cast("bigint"))
 
     columns = [f.column for f in features]
-    plain = df.select(*[value(f).alias(f.column) for f in features], binary_label(F.col("label_type")).alias("label"))
+    plain = materialize(
+        df.select(
+            *[F.coalesce(value(f), F.lit(0)).cast("bigint").alias(f.column) for f in features],
+            binary_label(F.col("label_type")).alias("label"),
+        )
+    )
+    if cap is None:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns]))
+        counts = plain.select(cells.alias("p")).select("p.*").distinct().groupBy("c").count()
+        return plain, {r["c"]: r["count"] for r in counts.collect()}, []
     tables = code_tables(plain, columns, cap)
-    coded = plain.select(*[encode(c, tables.get(c), cap).alias(c) for c in columns], "label")
-    return coded, {c: len(tables[c]) if c in tables else cap for c in columns}
+    coded = plain.select(*[encode(c, tables.get(c), cap).cast("int").alias(c) for c in columns], "label")
+    sizes = {c: len(tables[c]) if c in tables else cap for c in columns}
+    return materialize(coded), sizes, [c for c in columns if c not in tables]
 
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Non-empty cells (a, b, code_a, code_b, n) of all pairs.
 
-    Every row yields one cell per pair, but cells are few (at most cap² per pair), so partial
-    aggregation leaves little to shuffle. Pairs are handled in passes to bound its state.
+    Every row yields one cell per pair, grouped by a pair number and the codes; of folded codes there
+    are at most cap² per pair. Pairs are handled in passes to bound the state. Names come last.
     """
-    passes = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    numbered = list(enumerate(pairs))
+    passes = [numbered[i : i + PAIRS_PER_PASS] for i in range(0, len(numbered), PAIRS_PER_PASS)]
 
-    def one(batch: Sequence[tuple[str, str]]) -> DataFrame:
+    def one(batch: Sequence[tuple[int, tuple[str, str]]]) -> DataFrame:
         cells = [
             F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
+                F.lit(i).alias("pair"),
                 F.col(a).cast("bigint").alias("code_a"),
                 F.col(b).cast("bigint").alias("code_b"),
             )
-            for a, b in batch
+            for i, (a, b) in batch
         ]
         return (
             df.select(F.explode(F.array(*cells)).alias("c"))
             .select("c.*")
-            .groupBy("a", "b", "code_a", "code_b")
+            .groupBy("pair", "code_a", "code_b")
             .agg(F.count(F.lit(1)).alias("n"))
         )
 
-    return reduce(DataFrame.unionByName, [one(p) for p in passes])
+    def name(side: int) -> Column:
+        return F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair"))
+
+    whole = reduce(DataFrame.unionByName, [one(p) for p in passes])
+    return whole.select(name(0).alias("a"), name(1).alias("b"), "code_a", "code_b", "n")
 
 
 def association(cells: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Cramér's V and mutual information (nats) per pair from its non-empty cells.
 
-    Windows run over the cells of one pair, at most cap² of them.
+    Margins are aggregates joined back, so a pair with many cells does not sit in one task.
     """
-    pair = W.partitionBy("a", "b")
-    margins = cells.select(
-        "*",
-        F.sum("n").over(W.partitionBy("a", "b", "code_a")).alias("n_a"),
-        F.sum("n").over(W.partitionBy("a", "b", "code_b")).alias("n_b"),
-        F.sum("n").over(pair).alias("total"),
+    cells = materialize(cells)
+
+    def margin(name: str, *keys: str) -> DataFrame:
+        return cells.groupBy("a", "b", *keys).agg(F.sum("n").alias(name))
+
+    margins = (
+        cells.join(margin("n_a", "code_a"), ["a", "b", "code_a"])
+        .join(margin("n_b", "code_b"), ["a", "b", "code_b"])
+        .join(margin("total"), ["a", "b"])
     )
     n, n_a, n_b, total = (F.col(c).cast("double") for c in ("n", "n_a", "n_b", "total"))
     stats = margins.groupBy("a", "b").agg(
@@ -99,19 +119,21 @@ def pairwise(
     df: DataFrame,
     features: Sequence[IntFeature],
     pairs: Sequence[tuple[str, str]],
-    cap: int = 256,
+    cap: int | None = 256,
     top: int | None = 50,
 ) -> DataFrame:
-    """All pairs, strongest Cramér's V first; ``top`` None keeps all."""
+    """All pairs, strongest Cramér's V first; ``top`` None keeps all. ``folded``: a column was hashed."""
     used = {c for p in pairs for c in p}
-    coded, sizes = encoded(df, [f for f in features if f.column in used], cap)
-    ranked = association(contingency(coded, pairs), sizes).orderBy(F.desc(F.round("cramers_v", 9)), "a", "b")
+    coded, sizes, folded = encoded(df, [f for f in features if f.column in used], cap)
+    measured = association(contingency(coded, pairs), sizes)
+    hashed = F.col("a").isin(folded) | F.col("b").isin(folded) if folded else F.lit(False)
+    ranked = measured.withColumn("folded", hashed).orderBy(F.desc(F.round("cramers_v", 9)), "a", "b")
     return ranked if top is None else ranked.limit(top)
 
 
-def label_mi(df: DataFrame, features: Sequence[IntFeature], cap: int = 256) -> DataFrame:
+def label_mi(df: DataFrame, features: Sequence[IntFeature], cap: int | None = 256) -> DataFrame:
     """Mutual information of each feature with the conversion label."""
-    coded, sizes = encoded(df, features, cap)
+    coded, sizes, _folded = encoded(df, features, cap)
     cells = contingency(coded, [(f.column, "label") for f in features])
     result = association(cells, {**sizes, "label": 2})
     return result.select(F.col("a").alias("column_name"), F.col("v_a").alias("v"), "mi").orderBy(

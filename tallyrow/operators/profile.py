@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -448,9 +449,8 @@ def value_quantiles(df: DataFrame, features: Sequence[IntFeature], mode: str = "
     """
     keys = ["section", "fid"]
     values = primary_values(df, features, mode)
-    spread = exact_quantiles(values, keys, "v", [p / 100 for p in VALUE_PERCENTILES])
-    distinct = values.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
-    return named_quantiles(spread, VALUE_PERCENTILES).join(distinct, keys)
+    spread = exact_quantiles(values, keys, "v", [p / 100 for p in VALUE_PERCENTILES], distinct=True)
+    return named_quantiles(spread, VALUE_PERCENTILES)
 
 
 def value_cvr_signal(
@@ -501,19 +501,23 @@ def reservoir_sample(
 
 def train_test_drift(train: DataFrame, test: DataFrame, features: Sequence[IntFeature]) -> DataFrame:
     """Differences (test − train) of null rate and value quantiles per feature."""
-    keys = ["section", "fid"]
+    keys, both = ["section", "fid"], {"train": train, "test": test}
     names = [percentile_name(p) for p in VALUE_PERCENTILES]
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        spread = value_quantiles(df, features, "first_nonzero").select(
-            *keys, *[F.col(c).alias(f"{c}_{tag}") for c in ["mean", *names]]
+    def tagged(report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return reduce(
+            DataFrame.unionByName, [report(df).withColumn("side", F.lit(tag)) for tag, df in both.items()]
         )
-        nulls = missing_rates(df, features).select(*keys, F.col("null_rate").alias(f"null_rate_{tag}"))
-        return nulls.join(spread, keys, "left")
 
-    joined = side(train, "train").join(side(test, "test"), keys, "full")
-    return joined.select(
-        *keys,
-        *[(F.col(f"{c}_test") - F.col(f"{c}_train")).alias(f"{c}_diff") for c in ["null_rate", "mean", *names]],
-    )
+    # the side is a key, so that both tables go through one count
+    values = tagged(lambda df: primary_values(df, features, "first_nonzero"))
+    spread = exact_quantiles(values, ["side", *keys], "v", [p / 100 for p in VALUE_PERCENTILES])
+    nulls = tagged(lambda df: missing_rates(df, features)).select("side", *keys, "null_rate")
+    told = nulls.join(named_quantiles(spread, VALUE_PERCENTILES), ["side", *keys], "left")
 
+    def of(tag: str, name: str) -> Column:
+        return F.max(F.when(F.col("side") == tag, F.col(name)))
+
+    return told.groupBy(*keys).agg(
+        *[(of("test", c) - of("train", c)).alias(f"{c}_diff") for c in ["null_rate", "mean", *names]]
+    )

@@ -3,6 +3,9 @@
 Approximate cut points split each key's values into ranges of similar weight; counting the
 ranges tells which of them hold the wanted ranks, and only those are looked at value by
 value. Apart from those few ranges nothing but counts is shuffled.
+
+Whole numbers (seconds, ids, lengths) repeat, so their input is read once: rows are counted
+per value first, with partial aggregation, and the steps above run over the stored counts.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyrow.functions.search import with_count_below
 from tallyrow.session import materialize
@@ -68,12 +72,16 @@ def attach(
 
 
 def summaries(df: DataFrame, keys: Sequence[str], value: str, cuts: int = CUTS) -> DataFrame:
-    """Per key: n, mean, min, max and sorted cut points. One pass with bounded state."""
+    """Per key: n, mean, min, max and sorted cut points. One pass with bounded state.
+
+    A row stands for ``_w`` equal values.
+    """
     return grouped(
         df,
         keys,
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
+        F.coalesce(F.sum("_w"), F.lit(0)).alias("n"),
+        (F.sum(F.col(value).cast("double") * F.col("_w")) / F.sum("_w")).alias("mean"),
+        F.count(F.lit(1)).alias("n_distinct"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         cut_points(value, cuts).alias("_cuts"),
@@ -90,20 +98,27 @@ def select_ranks(
     """Values at 0-based ``ranks`` of each key's sorted values.
 
     ``ranks`` gets the row count and returns an array of ranks. The result has the keys, n,
-    mean, min, max and ``picked``, the values in the order of the ranks. Nulls are left out.
+    mean, min, max, ``picked``, the values in the order of the ranks, and for whole numbers
+    ``n_distinct``. Nulls are left out.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    counted_first = isinstance(df.schema[value].dataType, IntegralType)
+    if counted_first:
+        rows = materialize(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")))
+    else:
+        rows = rows.withColumn("_w", F.lit(1).cast("bigint"))
     table = summaries(rows, keys, value, cuts).withColumn("_ranks", ranks(F.col("n")).cast("array<bigint>"))
     summary = held(table, keys)
-    output = [*keys, "n", "mean", "min", "max"]
+    told = ["n", "mean", "min", "max", *(["n_distinct"] if counted_first else [])]
+    output = [*keys, *told]
     if not keys and not summary:
         return table.select(*output, F.array(F.col("min")).alias("picked"))
     bucketed = with_count_below(
         attach(rows, summary, keys, ["_cuts"]), value, "_cuts", cuts, "_bucket"
     ).drop("_cuts")
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_n"))
     totals = attach(
         counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))), summary, keys, ["_ranks"]
     )
@@ -118,7 +133,7 @@ def select_ranks(
     counted = (
         bucketed.join(wanted.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
         .groupBy(*keys, "_bucket", value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
     )
     upto = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     hits = (
@@ -138,16 +153,18 @@ def select_ranks(
     found = grouped(
         hits, keys, F.map_from_entries(F.collect_list(F.struct("_rank", F.col(value)))).alias("_at")
     )
-    facts = ["n", "mean", "min", "max", "_ranks"]
-    return attach(found, summary, keys, facts).select(
+    return attach(found, summary, keys, [*told, "_ranks"]).select(
         *output, F.transform("_ranks", lambda r: F.try_element_at(F.col("_at"), r)).alias("picked")
     )
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cuts: int = CUTS
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cuts: int = CUTS, distinct: bool = False
 ) -> DataFrame:
-    """Linearly interpolated quantiles per key as ``quantiles`` (array in order of ``shares``)."""
+    """Linearly interpolated quantiles per key as ``quantiles`` (array in order of ``shares``).
+
+    ``distinct`` keeps ``n_distinct``, which whole numbers come with.
+    """
 
     wanted = number_array([float(s) for s in shares])
 
@@ -163,7 +180,8 @@ def exact_quantiles(
         return (low + (high - low) * (at - F.floor(at))).cast("double")
 
     picked = select_ranks(df, keys, value, bounds, cuts)
-    return picked.withColumn("quantiles", F.transform(wanted, point)).drop("picked")
+    unasked = [] if distinct else ["n_distinct"]
+    return picked.withColumn("quantiles", F.transform(wanted, point)).drop("picked", *unasked)
 
 
 def narrow_quantiles(

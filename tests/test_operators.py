@@ -498,8 +498,8 @@ def test_association_equals_definition_and_is_symmetric(spark, monkeypatch):
 def test_encoding_clamps_negatives_and_truncates_lists(spark):
     rows = [(-4, [0, 3, 9]), (None, [0, 0, 9]), (5, None), (7, [2, -1])]
     df = spark.createDataFrame([(a, b, 0) for a, b in rows], "user_int_feats_1 bigint, user_int_feats_2 array<bigint>, label_type int")
-    coded, sizes = pairs.encoded(df, [IntFeature("user_int", 1), IntFeature("user_int", 2, 10, 2)], 8)
-    assert [(r[0], r[1]) for r in coded.collect()] == [(0, 0), (0, 0), (1, 0), (2, 1)]
+    coded, sizes, _ = pairs.encoded(df, [IntFeature("user_int", 1), IntFeature("user_int", 2, 10, 2)], 8)
+    assert sorted((r[0], r[1]) for r in coded.collect()) == [(0, 0), (0, 0), (1, 0), (2, 1)]  # stored rows have no order
     assert sizes == {"user_int_feats_1": 3, "user_int_feats_2": 2}
 
 
@@ -560,6 +560,33 @@ def test_bucket_fit_sample_takes_all_rows_and_cuts_no_prefix(spark):
     assert n == 5_000 and 57_000 < mean < 63_000 and top > 119_000
 
 
+def test_exact_codes_agree_with_dense_ones_over_many_passes(spark):
+    """66 pairs take two passes; ids themselves and dense codes give the same figures, folding is reported."""
+    names = [f"user_int_feats_{i}" for i in range(1, 13)]
+    df = spark.range(400).selectExpr(*[f"(id * {i + 3}) % {i + 2} AS {c}" for i, c in enumerate(names)], "2 * (id % 2) AS label_type")
+    features, asked = [IntFeature("user_int", i) for i in range(1, 13)], pairs.user_user_pairs(names)
+    exact = pairs.pairwise(df, features, asked, None, None).collect()
+    dense = {(r.a, r.b): r for r in pairs.pairwise(df, features, asked, 256, None).collect()}
+    assert len(exact) == len(dense) == 66
+    for r in exact:
+        other = dense[r.a, r.b]
+        assert (r.v_a, r.v_b, r.n_rows, r.folded) == (other.v_a, other.v_b, 400, False)
+        assert r.cramers_v == pytest.approx(other.cramers_v) and r.mi == pytest.approx(other.mi)
+    few = pairs.pairwise(df, features, asked, 4, None)
+    assert few.where("folded").count() == 66 - 3
+
+
+def test_whole_numbers_are_counted_once(spark):
+    """Quantiles of integers equal those of the same doubles, and come with the distinct count."""
+    df = spark.range(5000).selectExpr("id % 3 AS k", "(id * id) % 97 AS v").unionByName(spark.sql("SELECT 1L AS k, CAST(NULL AS BIGINT) AS v"))
+    shares = [0.0, 0.1, 0.5, 0.999, 1.0]
+    whole = {r.k: r for r in exact_quantiles(df, ["k"], "v", shares, distinct=True).collect()}
+    for r in exact_quantiles(df.withColumn("v", F.col("v").cast("double")), ["k"], "v", shares).collect():
+        assert (r.n, r.mean, r.min, r.max, r.quantiles) == (whole[r.k].n, pytest.approx(whole[r.k].mean), whole[r.k].min, whole[r.k].max, whole[r.k].quantiles)
+    assert {k: r.n_distinct for k, r in whole.items()} == {r.k: r.d for r in df.groupBy("k").agg(F.countDistinct("v").alias("d")).collect()}
+    assert exact_quantiles(df.where("k > 5"), [], "v", shares).collect() == []
+
+
 def test_pairwise_loss_uses_every_row(spark):
     """Two batches of 2,000 rows; the pairs of a single extreme row shift the mean."""
     rng = np.random.default_rng(3)
