@@ -62,8 +62,8 @@ SEQ_COLUMNS = [d.column(fid) for d in PLAN.domains for fid in sorted(d.vocabs)]
 HISTORY_COLUMNS = {11: "item_int_feats_11", 12: "item_int_feats_12"}
 
 
-def rows(spark: SparkSession, sf: str) -> DataFrame:
-    return impressions(spark, sf)
+def rows(spark: SparkSession, sf: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    return impressions(spark, sf, start, end)
 
 
 def seqs(spark: SparkSession, sf: str) -> DataFrame:

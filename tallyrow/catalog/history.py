@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyrow.catalog.base import HISTORY_COLUMNS, query, r6, rows, with_base
 from tallyrow.operators import history
 from tallyrow.plans.fixed import HOUR
-from tallyrow.session import scratch_dir
+from tallyrow.session import materialize, scratch_dir
 from tallyrow.streaming.history import history_stream
 
 def _ts():
@@ -60,12 +60,7 @@ def _(spark, sf):
     return history.history_build(rows(spark, sf), HISTORY_COLUMNS, "available")
 
 
-@query(
-    "history_lookup",
-    with_base(
-        _bins('"timestamp"')
-        + _CUMULATIVE
-        + """, prior AS (SELECT max(cum_pos) / CAST(max(cum_cnt) AS DOUBLE) AS p FROM store WHERE fid = 0),
+_LOOKED = """, prior AS (SELECT max(cum_pos) / CAST(max(cum_cnt) AS DOUBLE) AS p FROM store WHERE fid = 0),
 probe AS (SELECT event_id, "timestamp" - 86400 AS at, CAST(0 AS BIGINT) AS zero, item_int_feats_11 AS v11, item_int_feats_12 AS v12 FROM impressions),
 looked AS (SELECT event_id, coalesce(s0.cum_cnt, 0) AS c0, coalesce(s0.cum_pos, 0) AS p0,
     coalesce(s11.cum_cnt, 0) AS c11, coalesce(s11.cum_pos, 0) AS p11, coalesce(s12.cum_cnt, 0) AS c12, coalesce(s12.cum_pos, 0) AS p12
@@ -78,15 +73,30 @@ SELECT event_id, round(g, 6) AS hist_rate, round(ln(1 + c0), 6) AS hist_log_coun
   round(CASE WHEN c11 > 0 THEN (p11 + 20 * g) / (c11 + 20) ELSE g END, 6) AS hist_rate_11, round(ln(1 + c11), 6) AS hist_log_count_11,
   round(CASE WHEN c12 > 0 THEN (p12 + 20 * g) / (c12 + 20) ELSE g END, 6) AS hist_rate_12, round(ln(1 + c12), 6) AS hist_log_count_12
 FROM g"""
-    ),
-)
-def _(spark, sf):
+
+
+def _lookup_sql(when: str) -> str:
+    return with_base(_bins(when) + _CUMULATIVE + _LOOKED)
+
+
+def _looked(spark, sf, mode):
+    """The store is a written table, as a user of the look-up has it; the events are read once for it and once for the rows."""
     table = rows(spark, sf)
-    store = history.history_build(table, HISTORY_COLUMNS)
+    store = materialize(history.history_build(table, HISTORY_COLUMNS, mode))
     looked = history.history_lookup(table, store, HISTORY_COLUMNS)
     return looked.select("event_id", *[r6(c).alias(c) for c in history.history_columns([11, 12])])
 
 
+@query("history_lookup", _lookup_sql('"timestamp"'))
+def _(spark, sf):
+    return _looked(spark, sf, "timestamp_cutoff")
+
+
+@query("history_lookup_available", _lookup_sql(_WHEN))
+def _(spark, sf):
+    return _looked(spark, sf, "available")
+
+
 _LATENESS = 3 * 86400
 
 

@@ -78,6 +78,12 @@ def _(spark, sf):
     return missing_report(spark, sf)
 
 
+@query("missing_rates", f"SELECT section, fid, n_total, n_null, null_rate FROM ({MISSING_SQL}) x")
+def _(spark, sf):
+    unlabelled = rows(spark, sf).drop("label_type", "label_time")
+    return rounded(profile.missing_rates(unlabelled, PLAN.int_features()), "null_rate")
+
+
 _LEN_LONG = """SELECT 'seq_{d}' AS domain, '{kind}' AS kind, CAST({expr} AS BIGINT) AS length FROM seqs"""
 _LENGTH_KINDS = {
     "true": "len(list_filter({ts}, lambda v: v > 0))",
@@ -214,7 +220,7 @@ def _local_query(name: str, kind: str):
         ),
     )
     def _(spark, sf):
-        report = profile.local_cvr(rows(spark, sf)).where(F.col("kind") == kind).drop("kind")
+        report = profile.local_cvr(rows(spark, sf), kinds=[kind]).drop("kind")
         return rounded(report, "cvr")
 
 
@@ -223,6 +229,21 @@ _local_query("cvr_by_local_hour", "hour")
 _local_query("cvr_by_local_daypart", "daypart")
 
 
+@query(
+    "cvr_by_local_time",
+    with_base(
+        _LOCAL
+        + " UNION ALL ".join(
+            f""" SELECT '{kind}' AS kind, {bucket} AS bucket, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS n_pos,
+  round(avg(y), 6) AS cvr FROM parts GROUP BY ALL"""
+            for kind, bucket in _LOCAL_KINDS.items()
+        )
+    ),
+)
+def _(spark, sf):
+    return rounded(profile.local_cvr(rows(spark, sf)), "cvr")
+
+
 @query(
     "abs_ts_quantiles",
     with_base(
@@ -320,6 +341,47 @@ BOARD_WINDOWS = audit_windows(
     ["2024-01-28", "2024-01-27", "2024-01-26"],
     {"inner_wide": ("11:00:00", "14:00:00"), "inner_narrow": ("12:00:00", "13:00:00")},
 )
+_DETAIL_SQL = (
+    ", w AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{w.name}', {w.start}, {w.end})" for w in BOARD_WINDOWS)
+    + """) v("window", a, b)),
+inw AS (SELECT * FROM seqs JOIN w ON "timestamp" >= a AND "timestamp" < b)"""
+)
+
+
+@query(
+    "window_details",
+    with_seqs(
+        _DETAIL_SQL
+        + ", lens AS ("
+        + per_domain("""SELECT "window", 'seq_{d}' AS domain, CAST(least(len({ts}), {L}) AS BIGINT) AS length FROM inw""")
+        + """) SELECT "window", domain, count(*) AS n, round(avg(length), 6) AS mean, max(length) AS max,
+  round(quantile_cont(length, 0.5), 6) AS p50, round(quantile_cont(length, 0.95), 6) AS p95,
+  round(avg((length = 0)::INT), 6) AS empty_share FROM lens GROUP BY 1, 2"""
+    ),
+)
+def _(spark, sf):
+    details = windows.window_details(seqs(spark, sf), BOARD_WINDOWS, _DOMAINS)
+    return rounded(details, "mean", "p50", "p95", "empty_share")
+
+
+_TIME_SHARES = (1, 5, 25, 50, 75, 95, 99)
+
+
+@query(
+    "window_time_quantiles",
+    with_seqs(
+        _DETAIL_SQL
+        + """ SELECT "window", count(*) AS n, """
+        + _quantiles_sql('("timestamp" - a) / CAST(b - a AS DOUBLE)', _TIME_SHARES)
+        + """ FROM inw GROUP BY 1"""
+    ),
+)
+def _(spark, sf):
+    report = windows.window_time_quantiles(rows(spark, sf), BOARD_WINDOWS, _TIME_SHARES)
+    return rounded(report, *[profile.percentile_name(p) for p in _TIME_SHARES])
+
+
 # Invented targets: times spread evenly over the window, and round sequence lengths.
 TIME_TARGETS = {p: p / 100 for p in (1, 5, 25, 50, 75, 95, 99)}
 LENGTH_TARGETS = {"seq_a": (6.8, 8.0), "seq_b": (3.1, 4.0), "seq_c": (5.5, 6.0), "seq_d": (5.2, 6.0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrow.catalog.base import query, rows, with_base
-from tallyrow.operators import blocks, splits
+from tallyrow.operators import blocks, splits, windows
 from tallyrow.plans.windows import TimeWindow, local_epoch
 
 def _ts():
@@ -82,6 +82,21 @@ def _(spark, sf):
     return blocks.limit_blocks(roles, 5, 3).select("block", "block_rank", "role", "n_rows")
 
 
+@query(
+    "block_time_split",
+    with_base(
+        """, cat AS (SELECT block_mix AS block, count(*) AS n_rows, min("timestamp") AS lo, max("timestamp") AS hi FROM impressions GROUP BY 1),
+n AS (SELECT count(*) AS n FROM cat),
+r AS (SELECT cat.*, row_number() OVER (ORDER BY hi, block) > n - greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) AS valid FROM cat, n),
+s AS (SELECT CAST(sum(n_rows) FILTER (NOT valid) AS BIGINT) AS train_rows, min(lo) FILTER (NOT valid) AS train_min, max(hi) FILTER (NOT valid) AS train_max,
+  CAST(sum(n_rows) FILTER (valid) AS BIGINT) AS valid_rows, min(lo) FILTER (valid) AS valid_min, max(hi) FILTER (valid) AS valid_max FROM r)
+SELECT *, train_max - valid_min AS overlap_sec FROM s"""
+    ),
+)
+def _(spark, sf):
+    return windows.block_time_split(rows(spark, sf), "block_mix", 0.2)
+
+
 _VALID = (local_epoch("2024-01-25"), local_epoch("2024-01-28"))
 _TRAIN = (local_epoch("2024-01-05"), local_epoch("2024-01-24"))
 
@@ -95,7 +110,7 @@ WHERE ("timestamp" >= {_TRAIN[0]} AND "timestamp" < {_TRAIN[1]}) OR ("timestamp"
 )
 def _(spark, sf):
     split = splits.FixedSplit(*_VALID, train_max=_TRAIN[1], train_min=_TRAIN[0])
-    table = rows(spark, sf).select("event_id", "timestamp")
+    table = rows(spark, sf, split.train_min, split.valid_max).select("event_id", "timestamp")
     train = split.train(table).withColumn("role", F.lit("train"))
     valid = split.valid(table).withColumn("role", F.lit("valid"))
     return train.unionByName(valid).select("event_id", "role")
@@ -119,7 +134,8 @@ SELECT event_id, name AS "window", {_TRAIN_MAX} <= a AS clean FROM impressions J
     ),
 )
 def _(spark, sf):
-    inside = splits.window_rows(rows(spark, sf), _WINDOWS)
+    earliest, latest = min(w.start for w in _WINDOWS), max(w.end for w in _WINDOWS)
+    inside = splits.window_rows(rows(spark, sf, earliest, latest), _WINDOWS)
     clean = [w.name.replace(" ", "_") for w in _WINDOWS if splits.is_clean_window(w, _TRAIN_MAX)]
     return inside.select("event_id", "window", F.col("window").isin(clean).alias("clean"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyrow.functions.clock import floor_div
 from tallyrow.plans.fixed import DAY, HOUR
 from tallyrow.operators.ordered import null_safe_join
+from tallyrow.session import materialize
 
 GLOBAL_FID = 0
 
@@ -132,7 +133,8 @@ def history_lookup(
         }
     )
     key = ["_bin", *ids.values()]
-    tuples = rows.select(*key).distinct()
+    # written once: both the probes and the answers of a tuple come from it
+    tuples = materialize(rows.select(*key).distinct())
     asked = tuples.select(*key, F.explode(history_values(ids)).alias("p")).select(*key, "p.fid", "p.value")
     probes = (
         asked.where((F.col("fid") == GLOBAL_FID) | (F.col("value") > 0))

@@ -346,22 +346,31 @@ def cvr_by_hour(df: DataFrame) -> DataFrame:
     )
 
 
-def local_cvr(df: DataFrame, offset: int = LOCAL_OFFSET) -> DataFrame:
-    """Rows and conversion rate by local date, hour and daypart in one pass (grouping sets)."""
+def local_cvr(
+    df: DataFrame, offset: int = LOCAL_OFFSET, kinds: Sequence[str] = ("day", "hour", "daypart")
+) -> DataFrame:
+    """Rows and conversion rate by local date, hour and daypart, as far as ``kinds`` names them.
+
+    Several kinds share one pass (grouping sets); a single one is a plain grouping without row expansion.
+    """
     ts = F.col("timestamp")
-    base = df.select(
-        date_text(day_number(ts, offset)).alias("by_day"),
-        F.format_string("hour_%02d", hour_of_day(ts, offset)).alias("by_hour"),
-        daypart(ts, offset).alias("by_daypart"),
-        "label_type",
-    )
-    names = ["by_day", "by_hour", "by_daypart"]
-    sets = [[F.col(n)] for n in names]
-    grouped = base.groupingSets(sets, *names).agg(*_totals(), F.grouping_id().alias("_g"))
-    kind = F.when(F.col("_g") == 3, "day").when(F.col("_g") == 5, "hour").otherwise("daypart")
+    buckets = {
+        "day": date_text(day_number(ts, offset)),
+        "hour": F.format_string("hour_%02d", hour_of_day(ts, offset)),
+        "daypart": daypart(ts, offset),
+    }
+    if not kinds or set(kinds) - set(buckets):
+        raise ValueError(f"unknown kinds {list(kinds)!r}")
+    base = df.select(*[buckets[k].alias(k) for k in kinds], "label_type")
+    if len(kinds) == 1:
+        grouped, kind = base.groupBy(kinds[0]).agg(*_totals()), F.lit(kinds[0])
+    else:
+        kept = [F.when(F.grouping(k) == 0, k) for k in kinds]
+        grouped = base.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(*_totals(), F.coalesce(*kept).alias("kind"))
+        kind = F.col("kind")
     return grouped.select(
         kind.alias("kind"),
-        F.coalesce(*names).alias("bucket"),
+        F.coalesce(*kinds).alias("bucket"),
         "n_rows",
         "n_pos",
         rate(F.col("n_pos"), F.col("n_rows")).alias("cvr"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrow.functions.cleaning import binary_label
 from tallyrow.functions.clock import clock_text
-from tallyrow.operators.profile import clock_window_by_day, seq_lengths, unpack
+from tallyrow.operators.blocks import block_catalog
+from tallyrow.operators.profile import clock_window_by_day, named_quantiles, seq_lengths, unpack
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles
 from tallyrow.operators.splits import window_rows
 from tallyrow.plans.features import SequenceDomain
@@ -49,6 +51,66 @@ def window_backtest_summary(
     )
 
 
+def block_time_split(df: DataFrame, block: str, valid_ratio: float = 0.05) -> DataFrame:
+    """One row: how far the latest ``valid_ratio`` of the blocks overlap the rest in time.
+
+    Blocks are ordered by their latest time, ties by the block itself; at least one validates. With a single block
+    the training side is empty and its columns null.
+    """
+    catalog = block_catalog(df, block)
+    ranked = catalog.select(
+        "*",
+        F.row_number().over(W.orderBy("max_ts", "block")).alias("_rank"),
+        F.count(F.lit(1)).over(W.partitionBy()).alias("_n"),
+    )
+    valid = F.col("_rank") > F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(valid_ratio))))
+
+    def over(side: Column, fn, column: str) -> Column:
+        return fn(F.when(side, F.col(column)))
+
+    split = ranked.agg(
+        *[
+            over(side, fn, column).alias(f"{name}_{short}")
+            for name, side in (("train", ~valid), ("valid", valid))
+            for short, fn, column in (("rows", F.sum, "n_rows"), ("min", F.min, "min_ts"), ("max", F.max, "max_ts"))
+        ]
+    )
+    return split.select("*", (F.col("train_max") - F.col("valid_min")).alias("overlap_sec"))
+
+
+def window_details(df: DataFrame, windows: Sequence[TimeWindow], domains: Sequence[SequenceDomain]) -> DataFrame:
+    """Per window and domain: rows, mean, median, p95 and maximum of the clipped length, share of empty lists.
+
+    A window without rows has no line. Lengths are counted value by value, so only counts are shuffled.
+    """
+    lengths = seq_lengths(window_rows(df, windows), domains, "clipped", "window")
+    keys = ["window", "domain"]
+    counted = lengths.groupBy(*keys, "length").agg(F.count(F.lit(1)).alias("_n"))
+    n, value = F.sum("_n"), F.col("length")
+    spread = counted.groupBy(*keys).agg(
+        n.alias("n"),
+        (F.sum(value * F.col("_n")) / n).alias("mean"),
+        F.max(value).alias("max"),
+        F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)), F.col("_n")).alias("quantiles"),
+        (F.sum(F.when(value == 0, F.col("_n")).otherwise(0)) / n).alias("empty_share"),
+    )
+    return named_quantiles(spread, [50, 95])
+
+
+def window_time_quantiles(df: DataFrame, windows: Sequence[TimeWindow], percentiles: Sequence[float]) -> DataFrame:
+    """Per window: rows, and exact percentiles of the position inside it (0 the start, 1 the end)."""
+    length = F.lit(None).cast("double")
+    start = F.lit(None).cast("bigint")
+    for w in windows:
+        here = F.col("window") == w.name
+        start = F.when(here, F.lit(w.start)).otherwise(start)
+        length = F.when(here, F.lit(float(max(1, w.end - w.start)))).otherwise(length)
+    position = (F.col("timestamp") - start) / length
+    rows = window_rows(df, windows).select("window", position.alias("_at"))
+    spread = exact_quantiles(rows, ["window"], "_at", [p / 100 for p in percentiles])
+    return named_quantiles(spread.select("window", "n", "quantiles"), percentiles)
+
+
 def _mean_of(parts: Sequence[Column]) -> Column:
     total = parts[0]
     for part in parts[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +33,26 @@ def _ints(*values: Column) -> Column:
     return F.array(*[v.cast("bigint") for v in values])
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One impression per event, all columns but the behaviour lists. No shuffle."""
+def _bound(second: int, dtype: T.DataType) -> Column:
+    """A second as a literal of the log's own time type, so that the comparison reaches the scan."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.lit(str(datetime.fromtimestamp(second, timezone.utc).replace(tzinfo=None))).cast(dtype)
+    return F.timestamp_seconds(F.lit(second))
+
+
+def impressions(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One impression per event, all columns but the behaviour lists. No shuffle.
+
+    ``start`` and ``end`` keep ``start <= timestamp < end`` (epoch seconds); they are compared with the stored
+    time, so the scan skips what lies outside.
+    """
     events = scan_impressions(spark, f"{sf_dir}/events.parquet")
-    t = epoch_seconds(F.col("ts"), events.schema["ts"].dataType).cast("bigint")
+    stored = events.schema["ts"].dataType
+    if start is not None:
+        events = events.where(F.col("ts") >= _bound(start, stored))
+    if end is not None:
+        events = events.where(F.col("ts") < _bound(end, stored))
+    t = epoch_seconds(F.col("ts"), stored).cast("bigint")
     k = F.get_json_object("props", "$.k").cast("bigint")
     event_id, user_id, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
 
@@ -73,8 +91,10 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def impressions_with_sequences(spark: SparkSession, sf_dir: str, chunk_rows: int = 1 << 16) -> DataFrame:
-    """Impressions plus, per domain, what the user did in the 64 events before."""
+def impressions_with_sequences(
+    spark: SparkSession, sf_dir: str, chunk_rows: int = 1 << 16, look_back: int = LOOK_BACK
+) -> DataFrame:
+    """Impressions plus, per domain, what the user did in the ``look_back`` events before (FIXTURES.md, B2)."""
     rows = impressions(spark, sf_dir)
     lists = {}
     for letter, kind, ts_fid, item_fid in DOMAINS:
@@ -82,7 +102,7 @@ def impressions_with_sequences(spark: SparkSession, sf_dir: str, chunk_rows: int
         lists[f"domain_{letter}_seq_{ts_fid}"] = F.when(hit, F.col("timestamp"))
         lists[f"domain_{letter}_seq_{item_fid}"] = F.when(hit, F.col("item_id"))
     return preceding_lists(
-        rows, "user_id", "timestamp", ["event_id"], lists, LOOK_BACK, chunk_rows=chunk_rows
+        rows, "user_id", "timestamp", ["event_id"], lists, look_back, chunk_rows=chunk_rows
     )
 
 
