@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyrow.catalog.base import PLAN, joined, per_domain, query, r6, rows, seqs, with_base, with_seqs
+from tallyrow.catalog.features import BUCKET_LIST
 from tallyrow.functions import cleaning as c
 from tallyrow.functions import sequences as s
 from tallyrow.operators import assemble
@@ -21,7 +22,7 @@ _U3 = "user_int_feats_3"
     with_base(f'SELECT event_id, "timestamp" FROM impressions WHERE "timestamp" >= {_LO} AND "timestamp" < {_HI}'),
 )
 def _(spark, sf):
-    return filter_time(rows(spark, sf), _LO, _HI).select("event_id", "timestamp")
+    return filter_time(rows(spark, sf, _LO, _HI), _LO, _HI).select("event_id", "timestamp")
 
 
 @query(
@@ -308,26 +309,35 @@ def _(spark, sf):
     )
 
 
+_DRAW = "((event_id * 7919 + (i - 1) * 104729 + ascii('{d}') * 31) % 10007) / 10007.0::DOUBLE < 0.25"
+_MASKED = (
+    "array_to_string(list_transform({values}, lambda v, i: CASE WHEN " + _DRAW + " THEN 0 ELSE v END), ',') AS {name}_{d}"
+)
+
+
 @query(
     "id_mask",
     with_seqs(
-        """, m AS (SELECT event_id, domain_a_seq_40[1:8] AS ids, domain_a_seq_39[1:8] AS ts FROM seqs)
-SELECT event_id,
-  array_to_string(list_transform(ids, lambda v, i: CASE WHEN ((event_id * 7919 + (i - 1) * 104729 + 17) % 10007) / 10007.0::DOUBLE < 0.25 THEN 0 ELSE v END), ',') AS ids,
-  array_to_string(list_transform(ts, lambda v, i: CASE WHEN ((event_id * 7919 + (i - 1) * 104729 + 17) % 10007) / 10007.0::DOUBLE < 0.25 THEN 0 ELSE v END), ',') AS ts
-FROM m"""
+        "SELECT event_id, "
+        + per_domain(_MASKED.replace("{values}", "{item}[1:{L}]").replace("{name}", "ids"), ", ")
+        + ", "
+        + per_domain(_MASKED.replace("{values}", BUCKET_LIST).replace("{name}", "tb"), ", ")
+        + " FROM seqs"
     ),
 )
 def _(spark, sf):
-    def draw(position):
-        mixed = F.col("event_id") * 7919 + position.cast("bigint") * 104729 + 17
-        return (mixed % 10007).cast("double") / F.lit(10007.0)
-
-    ids, ts = c.head(F.col("domain_a_seq_40"), 8), c.head(F.col("domain_a_seq_39"), 8)
-    return seqs(spark, sf).select(
-        "event_id",
-        joined(s.mask_positions(ids, draw, 0.25)).alias("ids"),
-        joined(s.mask_positions(ts, draw, 0.25)).alias("ts"),
-    )
+    """Ids and recency buckets of every domain, masked alike; SQL cannot repeat the default draw, which a unit test covers."""
+    columns = []
+    for d in PLAN.domains:
 
+        def draw(position, letter=d.letter):
+            mixed = F.col("event_id") * 7919 + position.cast("bigint") * 104729 + ord(letter) * 31
+            return (mixed % 10007).cast("double") / F.lit(10007.0)
 
+        ids = c.head(F.col(d.column(d.side_fids[0])), d.max_len)
+        buckets = s.time_buckets(F.col("timestamp"), F.col(d.ts_column), d.max_len)
+        columns += [
+            joined(s.mask_positions(values, draw, 0.25)).alias(f"{name}_{d.letter}")
+            for name, values in (("ids", ids), ("tb", buckets))
+        ]
+    return seqs(spark, sf).select("event_id", *columns)

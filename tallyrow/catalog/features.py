@@ -66,10 +66,12 @@ def _(spark, sf):
     return profile.seq_time_diffs(seqs(spark, sf), _DOMAINS, 0, False, "event_id")
 
 
-_BUCKETS = (
-    "array_to_string(list_transform({ts}[1:{L}], lambda v: CASE WHEN v = 0 THEN 0 ELSE "
-    'least(len(list_filter(' + _EDGES + ', lambda b: b < greatest("timestamp" - v, 0))), 62) + 1 END), \',\') AS tb_{d}'
+#: The recency buckets of domain {d} as a list.
+BUCKET_LIST = (
+    "list_transform({ts}[1:{L}], lambda v: CASE WHEN v = 0 THEN 0 ELSE "
+    'least(len(list_filter(' + _EDGES + ', lambda b: b < greatest("timestamp" - v, 0))), 62) + 1 END)'
 )
+_BUCKETS = f"array_to_string({BUCKET_LIST}, ',') AS tb_{{d}}"
 
 
 @query("time_bucket", with_seqs("SELECT event_id, " + per_domain(_BUCKETS, ", ") + " FROM seqs"))

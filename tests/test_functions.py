@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyrow.functions import cleaning as c
@@ -166,6 +167,17 @@ def test_mask_keeps_length_and_is_shared(spark):
     assert 200 < dropped < 400
 
 
+def test_draw_is_the_chained_hash_of_row_domain_position_and_seed(spark):
+    def chained(row):
+        seed = 42
+        for data in (row.to_bytes(8, "little"), b"seq_a", (3).to_bytes(4, "little"), (11).to_bytes(4, "little")):
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed % (1 << 52) / (1 << 52)
+
+    got = spark.range(20).select("id", s.hashed_draw(F.col("id"), "seq_a", 11)(F.lit(3)).alias("x")).collect()
+    assert [r.x for r in got] == [chained(r.id) for r in got]
+
+
 def test_clock_parts(spark):
     ts = 1_706_493_000  # 2024-01-29 01:50:00 UTC, a Monday; 09:50:00 local
     t = F.col("t")

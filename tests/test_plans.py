@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrow.catalog import REGISTRY
@@ -26,6 +27,18 @@ def test_time_filter_reaches_the_scan(spark, sf_dir, tmp_path):
     assert "ReadSchema: struct<event_id:bigint,timestamp:bigint>" in plan
 
 
+@pytest.mark.parametrize("name", ["filter_time_range", "split_fixed_window", "aux_windows"])
+def test_registered_splits_push_their_bounds(spark, sf_dir, name):
+    scans = [line for line in plan_of(REGISTRY[name].run(spark, sf_dir)).splitlines() if "PushedFilters" in line]
+    assert scans and all("GreaterThanOrEqual(ts," in line and "LessThan(ts," in line for line in scans)
+
+
+def test_one_kind_of_local_rate_expands_no_rows(spark, sf_dir, tmp_path):
+    table = stored(spark, sf_dir, tmp_path)
+    assert "Expand" not in plan_of(profile.local_cvr(table, kinds=["hour"]))
+    assert "Expand" in plan_of(profile.local_cvr(table))
+
+
 def test_split_reads_one_column_and_pushes_the_cut(spark, sf_dir, tmp_path):
     table = stored(spark, sf_dir, tmp_path)
     cut = splits.row_cutoff(table, 0.1)
