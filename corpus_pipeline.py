@@ -11,6 +11,8 @@ from tallyrow.llm import contamination, mixing, neardup, quality, repeats
 from tallyrow.llm.base import table
 from tallyrow.session import materialize
 
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it learns from the labelled rows of ``documents``."""
@@ -18,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates."""
-    return neardup.one_of_each(docs)
+    """Keeps one document of each component of near-duplicates, linked from a similarity of 0.8 on."""
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Near-duplicate components with HyperMinHash sketches.
 
 A shingle's hash picks a register by its first bits; the register keeps the smallest rest as a leading-zero count and
-``MANTISSA`` bits after the leading one. Bands of ``ROWS`` of 128 registers give the candidates: at the linking
-similarity of 0.85 a pair misses all bands with probability (1 - 0.85 ** 4) ** 32 = 6e-11, so no pair is lost in
-practice. Candidates get a finer sketch of 512 registers. A pair whose collision-corrected estimate is far below the
+``MANTISSA`` bits after the leading one. Bands of ``ROWS`` of 128 registers give the candidates: at a linking
+similarity of 0.85 a pair misses all bands with probability (1 - 0.85 ** 4) ** 32 = 6e-11, at 0.8 with 5e-8, so no pair
+is lost in practice. Candidates get a finer sketch of 512 registers. A pair whose collision-corrected estimate is far below the
 threshold (six standard errors and more) is dropped; the rest are confirmed on the full shingle sets, from the whole texts.
 
 Documents with equal shingle sets form one class, and only classes are compared. Buckets are never expanded into all
@@ -77,20 +77,20 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(packed[band] ^ mix(band.astype(U64)))
 
 
-def promising(equal: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def promising(equal: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of sizes n and m may be similar, by the equal ones of the registers that either of them fills.
 
     Equal registers without a shared minimum are expected in 0.1699 * 2 ** (p - r) * phi registers, with
     phi = 4 q / (1 + q) ** 2 for the ratio q of the sizes. A filled register is a draw without replacement from
-    the union, whose size at the threshold is (n + m) / 1.85, which gives the standard error.
+    the union, whose size at the threshold p is (n + m) / (1 + p), which gives the standard error.
     """
-    p = PERCENT / 100
+    p = percent / 100
     q = np.minimum(n, m) / np.maximum(n, m)
     chance = 0.1699 * 2.0 ** (FINE - MANTISSA) * 4 * q / (1 + q) ** 2
     used = np.maximum(used, 1)
     jaccard = (equal - chance) / used
     left = np.maximum(1 - used * (1 + p) / (n + m), 0.0)
-    return (jaccard >= p - ERRORS * np.sqrt(p * (1 - p) / used * left) - 3 / used) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    return (jaccard >= p - ERRORS * np.sqrt(p * (1 - p) / used * left) - 3 / used) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -153,12 +153,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n_shingles", "registers").mapInArrow(scan, "bucket bigint, node bigint, n bigint")
 
 
-def _fits(a: str, b: str) -> Column:
+def _fits(a: str, b: str, percent: int) -> Column:
     """Sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose fine sketches leave them a chance."""
 
     def scan(batches):
@@ -169,7 +169,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             filled = left > 0
             equal = ((left == right) & filled).sum(axis=1)
             used = (filled | (right > 0)).sum(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(promising(equal, used, np.asarray(batch.column(4)), np.asarray(batch.column(5)))))
+            yield batch.select([0, 1]).filter(pa.array(promising(equal, used, np.asarray(batch.column(4)), np.asarray(batch.column(5)), percent)))
 
     one = texts.select(F.col("node").alias("a"), F.col("fine").alias("fa"), F.col("n").alias("na"))
     two = texts.select(F.col("node").alias("b"), F.col("fine").alias("fb"), F.col("n").alias("nb"))
@@ -177,7 +177,7 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(scan, "a bigint, b bigint")
 
 
-def _meetings(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _meetings(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Promising pairs (a, b) of different roots in large buckets.
 
     The classes of a bucket are dealt to blocks by hash; every two blocks meet in one group. A pair is given only in
@@ -196,12 +196,12 @@ def _meetings(members: DataFrame, texts: DataFrame) -> DataFrame:
             filled = fine > 0
             for i in rows:
                 js = others[(root[others] != root[i]) & ((first != second) | (node[others] > node[i]))]
-                js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+                js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
                 if not len(js):
                     continue
                 equal = ((fine[js] == fine[i]) & filled[i]).sum(axis=1)
                 used = (filled[js] | filled[i]).sum(axis=1)
-                for j in js[promising(equal, used, n[js], np.full(len(js), n[i]))]:
+                for j in js[promising(equal, used, n[js], np.full(len(js), n[i]), percent)]:
                     a, b = coarse[i].view(U64), coarse[j].view(U64)
                     band = np.flatnonzero((a == b) & (a > 0))[:1]
                     if int(mix(a[band] ^ mix(band.astype(U64)))[0]) == here:
@@ -218,25 +218,25 @@ def _meetings(members: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "first", "second").applyInArrow(meet, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar."""
 
     def scan(batches):
         for batch in batches:
             sets = [[s for w in words(batch.column(i), SPACED, LOWER) for s in shingle_sets(w)] for i in (2, 3)]
-            yield batch.select([0, 1]).filter(pa.array([similar(x, y) for x, y in zip(*sets)], pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_()))
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(scan, "a bigint, b bigint")
 
 
-def link_near_duplicates(documents: DataFrame) -> DataFrame:
+def link_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, key, root) for every row.
 
     Texts are compared as sets of distinct 5-word shingles after lower-casing A-Z; a text of fewer words is one shingle,
     and one without words, empty or null, has none and is linked with nothing: its component is its own id. Rows are
-    linked when 100 * intersection >= 85 * union; ``component_id`` is the smallest id reachable. Repeated rows have
+    linked when 100 * intersection >= percent * union; ``component_id`` is the smallest id reachable. Repeated rows have
     equal sets and share a component; a null id is no candidate for ``component_id``, which is null only if every id of
     the component is. ``kept`` marks rows whose id is the component's; other columns are ignored. ``key`` hashes id and text, ``root`` numbers
     the components and is null for rows without words.
@@ -262,9 +262,9 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     score = members.groupBy("node").agg((F.sum("size") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("score"))
     scored = materialize(members.join(score, "node"))
     centres = scored.groupBy("bucket").agg(F.max_by("node", "score").alias("centre"), F.max("score").alias("top"), F.max_by("n", "score").alias("nc"))
-    offers = scored.join(centres, "bucket").where((F.col("node") != F.col("centre")) & _fits("n", "nc"))
+    offers = scored.join(centres, "bucket").where((F.col("node") != F.col("centre")) & _fits("n", "nc", percent))
     stars = offers.groupBy(F.col("node").alias("a")).agg(F.max_by("centre", "top").alias("b"))
-    linked = materialize(_confirmed(_estimated(stars, texts), texts))
+    linked = materialize(_confirmed(_estimated(stars, texts, percent), texts, percent))
 
     # what is still apart inside a bucket, pair by pair
     roots = materialize(components(linked))
@@ -274,9 +274,9 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     small = open_.where(F.col("size") <= SMALL)
     left = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     right = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    apart = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb"))
-    close = _estimated(apart.select("a", "b").distinct(), texts).union(_meetings(open_.where(F.col("size") > SMALL), texts)).distinct()
-    more = _confirmed(materialize(close), texts)
+    apart = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", percent))
+    close = _estimated(apart.select("a", "b").distinct(), texts, percent).union(_meetings(open_.where(F.col("size") > SMALL), texts, percent)).distinct()
+    more = _confirmed(materialize(close), texts, percent)
     roots = materialize(components(materialize(linked.union(more))))
 
     by_node = classes.select("cls", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -287,13 +287,13 @@ def link_near_duplicates(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", "root")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows, unchanged, that stand for their component: one row each, with the component's id.
 
     Rows without words are components of their own; of rows equal in id and text one stays.
     """
     row, key = free(documents, "__row"), free(documents, "__key")
-    linked = link_near_duplicates(documents).where("kept")
+    linked = link_near_duplicates(documents, percent).where("kept")
     chosen = linked.groupBy(F.coalesce("root", "key").alias("of"), F.col("root").isNull()).agg(F.min("key").alias(key)).select(key)
     rows = documents.withColumn(row, row_key(documents))
     return rows.join(materialize(chosen), F.col(row) == F.col(key)).dropDuplicates([row]).select(*documents.columns)
@@ -301,4 +301,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
 @register("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
+    return link_near_duplicates(table(spark, sf_dir, "documents"), PERCENT).drop("key", "root")
