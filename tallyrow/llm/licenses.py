@@ -1,8 +1,9 @@
 """License scan with ordered signature rules.
 
 Hand-written patterns of license names are put into sentence forms, which gives some hundreds of rules, ordered
-by priority: an explicit identifier or grant comes before a bare name. A rule is only tried on a text that holds
-its keyword. Of all detections, one whose interval lies inside the interval of a detection of higher priority
+by priority: an explicit identifier or grant comes before a bare name. The rules are matched on a copy of the text in
+which white space, with the comment leaders around a line break, is one blank; places are given in the text itself. A
+rule is only tried on a copy that holds one of its keywords, which are derived from its pattern. Of all detections, one whose interval lies inside the interval of a detection of higher priority
 (or of the same priority and longer) is dropped; what stays gives labels and score.
 
 The base phrases are searched apart from the rules, word by word, and their labels always stay.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as sre, _parser
 
 import numpy as np
 import pyarrow as pa
@@ -25,83 +27,87 @@ from tallyrow.llm.bytescan import ALNUM, LOWER, words
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 _V = r"(?:,? ?(?:version|v\.?|ver\.?) ?)?"
-#: label: (pattern of the name, pattern of the SPDX identifier, pattern of the address, keyword)
+#: label: (pattern of the name, pattern of the SPDX identifier, pattern of the address)
 NAMES = {
-    "apache-1.1": (rf"apache (?:software )?license{_V} ?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1", "apache"),
-    "apache-2.0": (rf"apache (?:software )?license{_V} ?2(?:\.0)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0", "apache"),
-    "mit": (r"(?:mit|expat) license", r"mit", r"opensource\.org/licenses?/mit", "mit"),
-    "mit-0": (r"mit no attribution license", r"mit-0", r"opensource\.org/licenses?/mit-0", "mit"),
-    "x11": (r"x11 license", r"x11", r"opensource\.org/licenses?/x11", "x11"),
-    "bsd-2-clause": (r"(?:simplified|freebsd|2-clause|two-clause) bsd license", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause", "bsd"),
-    "bsd-3-clause": (r"(?:new|modified|revised|3-clause|three-clause) bsd license", r"bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause", "bsd"),
-    "bsd-4-clause": (r"(?:original|4-clause|four-clause) bsd license", r"bsd-4-clause", r"directory\.fsf\.org/wiki/license:bsd_4clause", "bsd"),
-    "0bsd": (r"zero[- ]clause bsd license", r"0bsd", r"opensource\.org/licenses?/0bsd", "bsd"),
-    "isc": (r"isc license", r"isc", r"opensource\.org/licenses?/isc", "isc"),
-    "gpl-1.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0", ""),
-    "gpl-2.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", ""),
-    "gpl-3.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3\.0", ""),
-    "lgpl-2.0": (rf"(?:gnu )?(?:library general public license|lgpl){_V} ?2(?:\.0)?", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0", ""),
-    "lgpl-2.1": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", ""),
-    "lgpl-3.0": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0", ""),
-    "agpl-3.0": (rf"(?:gnu )?(?:affero general public license|agpl){_V} ?3(?:\.0)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl-3\.0", ""),
-    "gfdl-1.2": (rf"(?:gnu )?free documentation license{_V} ?1\.2", r"gfdl-1\.2(?:-only|-or-later)?", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2", "documentation"),
-    "gfdl-1.3": (rf"(?:gnu )?free documentation license{_V} ?1\.3", r"gfdl-1\.3(?:-only|-or-later)?", r"gnu\.org/licenses/fdl-1\.3", "documentation"),
-    "mpl-1.1": (rf"mozilla public license{_V} ?1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1", "public license"),
-    "mpl-2.0": (rf"mozilla public license{_V} ?2(?:\.0)?", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0", "public license"),
-    "epl-1.0": (rf"eclipse public license{_V} ?1(?:\.0)?", r"epl-1\.0", r"eclipse\.org/legal/epl-v10", "eclipse"),
-    "epl-2.0": (rf"eclipse public license{_V} ?2(?:\.0)?", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)", "eclipse"),
-    "cddl-1.0": (rf"common development and distribution license{_V} ?1(?:\.0)?", r"cddl-1\.0", r"opensource\.org/licenses?/cddl-1\.0", ""),
-    "cpl-1.0": (rf"common public license{_V} ?1(?:\.0)?", r"cpl-1\.0", r"opensource\.org/licenses?/cpl1\.0", ""),
-    "eupl-1.2": (rf"european union public licen[cs]e{_V} ?1\.2", r"eupl-1\.2", r"joinup\.ec\.europa\.eu/[a-z/]{0,40}eupl", "european"),
-    "artistic-2.0": (rf"artistic license{_V} ?2(?:\.0)?", r"artistic-2\.0", r"opensource\.org/licenses?/artistic-2\.0", "artistic"),
-    "bsl-1.0": (rf"boost software license{_V} ?1(?:\.0)?", r"bsl-1\.0", r"boost\.org/license_1_0", "boost"),
-    "busl-1.1": (rf"business source license{_V} ?1\.1", r"busl-1\.1", r"mariadb\.com/bsl11", "source license"),
-    "zlib": (r"zlib(?:/libpng)? license", r"zlib", r"opensource\.org/licenses?/zlib", "zlib"),
-    "unlicense": (r"the unlicense", r"unlicense", r"unlicense\.org", "unlicense"),
-    "wtfpl": (r"do what the fuck you want to public license", r"wtfpl", r"wtfpl\.net", "public license"),
-    "psf-2.0": (rf"python software foundation license{_V} ?2", r"psf-2\.0", r"docs\.python\.org/3/license", "python"),
-    "ofl-1.1": (rf"sil open font license{_V} ?1\.1", r"ofl-1\.1", r"scripts\.sil\.org/ofl", "open"),
-    "odbl-1.0": (rf"open database license{_V} ?1(?:\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl", "open"),
-    "odc-by-1.0": (rf"open data commons attribution license{_V} ?1(?:\.0)?", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by", "open"),
-    "ms-pl": (r"microsoft public license", r"ms-pl", r"opensource\.org/licenses?/ms-pl", "public license"),
-    "cc0-1.0": (rf"(?:creative commons zero|cc0){_V}(?: ?1\.0)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero", ""),
-    "cc-by-2.0": (r"(?:cc[ -]by|creative commons attribution) 2\.0", r"cc-by-2\.0", r"creativecommons\.org/licenses/by/2\.0", ""),
-    "cc-by-3.0": (r"(?:cc[ -]by|creative commons attribution) 3\.0", r"cc-by-3\.0", r"creativecommons\.org/licenses/by/3\.0", ""),
-    "cc-by-4.0": (r"(?:cc[ -]by|creative commons attribution) 4\.0", r"cc-by-4\.0", r"creativecommons\.org/licenses/by/4\.0", ""),
-    "cc-by-sa-3.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike) 3\.0", r"cc-by-sa-3\.0", r"creativecommons\.org/licenses/by-sa/3\.0", ""),
-    "cc-by-sa-4.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike) 4\.0", r"cc-by-sa-4\.0", r"creativecommons\.org/licenses/by-sa/4\.0", ""),
-    "cc-by-nd-4.0": (r"(?:cc[ -]by-nd|creative commons attribution-noderiv(?:ative)?s) 4\.0", r"cc-by-nd-4\.0", r"creativecommons\.org/licenses/by-nd/4\.0", ""),
-    "cc-by-nc-3.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial) 3\.0", r"cc-by-nc-3\.0", r"creativecommons\.org/licenses/by-nc/3\.0", ""),
-    "cc-by-nc-4.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial) 4\.0", r"cc-by-nc-4\.0", r"creativecommons\.org/licenses/by-nc/4\.0", ""),
-    "cc-by-nc-sa-4.0": (r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike) 4\.0", r"cc-by-nc-sa-4\.0", r"creativecommons\.org/licenses/by-nc-sa/4\.0", ""),
-    "cc-by-nc-nd-4.0": (r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv(?:ative)?s) 4\.0", r"cc-by-nc-nd-4\.0", r"creativecommons\.org/licenses/by-nc-nd/4\.0", ""),
+    "apache-1.1": (rf"apache (?:software )?license{_V} ?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
+    "apache-2.0": (rf"apache (?:software )?license{_V} ?2(?:\.0)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
+    "mit": (r"(?:mit|expat) license", r"mit", r"opensource\.org/licenses?/mit"),
+    "mit-0": (r"mit no attribution license", r"mit-0", r"opensource\.org/licenses?/mit-0"),
+    "x11": (r"x11 license", r"x11", r"opensource\.org/licenses?/x11"),
+    "bsd-2-clause": (r"(?:simplified|freebsd|2-clause|two-clause) bsd license", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
+    "bsd-3-clause": (r"(?:new|modified|revised|3-clause|three-clause) bsd license", r"bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause"),
+    "bsd-4-clause": (r"(?:original|4-clause|four-clause) bsd license", r"bsd-4-clause", r"directory\.fsf\.org/wiki/license:bsd_4clause"),
+    "0bsd": (r"zero[- ]clause bsd license", r"0bsd", r"opensource\.org/licenses?/0bsd"),
+    "isc": (r"isc license", r"isc", r"opensource\.org/licenses?/isc"),
+    "gpl-1.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
+    "gpl-2.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    "gpl-3.0": (rf"(?:gnu )?(?:general public license|gpl){_V} ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3\.0"),
+    "lgpl-2.0": (rf"(?:gnu )?(?:library general public license|lgpl){_V} ?2(?:\.0)?", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
+    "lgpl-2.1": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    "lgpl-3.0": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
+    "agpl-3.0": (rf"(?:gnu )?(?:affero general public license|agpl){_V} ?3(?:\.0)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl-3\.0"),
+    "gfdl-1.2": (rf"(?:gnu )?free documentation license{_V} ?1\.2", r"gfdl-1\.2(?:-only|-or-later)?", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
+    "gfdl-1.3": (rf"(?:gnu )?free documentation license{_V} ?1\.3", r"gfdl-1\.3(?:-only|-or-later)?", r"gnu\.org/licenses/fdl-1\.3"),
+    "mpl-1.1": (rf"mozilla public license{_V} ?1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
+    "mpl-2.0": (rf"mozilla public license{_V} ?2(?:\.0)?", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    "epl-1.0": (rf"eclipse public license{_V} ?1(?:\.0)?", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
+    "epl-2.0": (rf"eclipse public license{_V} ?2(?:\.0)?", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    "cddl-1.0": (rf"common development and distribution license{_V} ?1(?:\.0)?", r"cddl-1\.0", r"opensource\.org/licenses?/cddl-1\.0"),
+    "cpl-1.0": (rf"common public license{_V} ?1(?:\.0)?", r"cpl-1\.0", r"opensource\.org/licenses?/cpl1\.0"),
+    "eupl-1.2": (rf"european union public licen[cs]e{_V} ?1\.2", r"eupl-1\.2", r"joinup\.ec\.europa\.eu/[a-z/]{0,40}eupl"),
+    "artistic-2.0": (rf"artistic license{_V} ?2(?:\.0)?", r"artistic-2\.0", r"opensource\.org/licenses?/artistic-2\.0"),
+    "bsl-1.0": (rf"boost software license{_V} ?1(?:\.0)?", r"bsl-1\.0", r"boost\.org/license_1_0"),
+    "busl-1.1": (rf"business source license{_V} ?1\.1", r"busl-1\.1", r"mariadb\.com/bsl11"),
+    "zlib": (r"zlib(?:/libpng)? license", r"zlib", r"opensource\.org/licenses?/zlib"),
+    "unlicense": (r"the unlicense", r"unlicense", r"unlicense\.org"),
+    "wtfpl": (r"do what the fuck you want to public license", r"wtfpl", r"wtfpl\.net"),
+    "psf-2.0": (rf"python software foundation license{_V} ?2", r"psf-2\.0", r"docs\.python\.org/3/license"),
+    "ofl-1.1": (rf"sil open font license{_V} ?1\.1", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
+    "odbl-1.0": (rf"open database license{_V} ?1(?:\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    "odc-by-1.0": (rf"open data commons attribution license{_V} ?1(?:\.0)?", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
+    "ms-pl": (r"microsoft public license", r"ms-pl", r"opensource\.org/licenses?/ms-pl"),
+    "cc0-1.0": (rf"(?:creative commons zero|cc0){_V}(?: ?1\.0)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
+    "cc-by-2.0": (r"(?:cc[ -]by|creative commons attribution) 2\.0", r"cc-by-2\.0", r"creativecommons\.org/licenses/by/2\.0"),
+    "cc-by-3.0": (r"(?:cc[ -]by|creative commons attribution) 3\.0", r"cc-by-3\.0", r"creativecommons\.org/licenses/by/3\.0"),
+    "cc-by-4.0": (r"(?:cc[ -]by|creative commons attribution) 4\.0", r"cc-by-4\.0", r"creativecommons\.org/licenses/by/4\.0"),
+    "cc-by-sa-3.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike) 3\.0", r"cc-by-sa-3\.0", r"creativecommons\.org/licenses/by-sa/3\.0"),
+    "cc-by-sa-4.0": (r"(?:cc[ -]by-sa|creative commons attribution-sharealike) 4\.0", r"cc-by-sa-4\.0", r"creativecommons\.org/licenses/by-sa/4\.0"),
+    "cc-by-nd-4.0": (r"(?:cc[ -]by-nd|creative commons attribution-noderiv(?:ative)?s) 4\.0", r"cc-by-nd-4\.0", r"creativecommons\.org/licenses/by-nd/4\.0"),
+    "cc-by-nc-3.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial) 3\.0", r"cc-by-nc-3\.0", r"creativecommons\.org/licenses/by-nc/3\.0"),
+    "cc-by-nc-4.0": (r"(?:cc[ -]by-nc|creative commons attribution-noncommercial) 4\.0", r"cc-by-nc-4\.0", r"creativecommons\.org/licenses/by-nc/4\.0"),
+    "cc-by-nc-sa-4.0": (r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike) 4\.0", r"cc-by-nc-sa-4\.0", r"creativecommons\.org/licenses/by-nc-sa/4\.0"),
+    "cc-by-nc-nd-4.0": (r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv(?:ative)?s) 4\.0", r"cc-by-nc-nd-4\.0", r"creativecommons\.org/licenses/by-nc-nd/4\.0"),
 }
-#: form: (pattern around {name}, {spdx} or {url}; priority; score; keyword, a text of the pattern)
+#: form: (pattern around {name}, {spdx} or {url}, priority, score)
 FORMS = {
-    "identifier": (r"spdx-license-identifier: {{0,4}}{spdx}(?![a-z0-9.-])", 60, 1.0, "spdx-license-identifier"),
-    "grant": (r"(?:dual-|re)?licen[cs]ed (?:to you )?under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95, "ed under"),
-    "release": (r"(?:released|distributed|published|provided|(?:made )?available) under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95, "under"),
-    "address": (r"{url}(?![a-z0-9-])", 40, 0.9, "/"),
-    "name": (r"(?<![a-z0-9-]){name}(?![a-z0-9-])", 30, 0.8, "{keyword}"),
+    "identifier": (r"spdx-license-identifier: {{0,4}}{spdx}(?![a-z0-9.-])", 60, 1.0),
+    "grant": (r"(?:dual-|re)?licen[cs]ed (?:to you )?under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95),
+    "release": (r"(?:released|distributed|published|provided|(?:made )?available) under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95),
+    "address": (r"{url}(?![a-z0-9-])", 40, 0.9),
+    "name": (r"(?<![a-z0-9-]){name}(?![a-z0-9-])", 30, 0.8),
 }
-#: label: (pattern, priority, score, keyword)
+#: label: (pattern, priority, score)
 SINGLE = {
-    "gpl": (r"(?:gnu general public license|gnu gpl)", 20, 0.6, "gnu g"),
-    "lgpl": (r"(?:gnu (?:lesser|library) general public license|gnu lgpl)", 22, 0.6, "gnu l"),
-    "agpl": (r"(?:gnu affero general public license|gnu agpl)", 22, 0.6, "gnu a"),
-    "gfdl": (r"gnu free documentation license", 20, 0.6, "gnu f"),
-    "apache": (r"apache (?:software )?license", 20, 0.6, "apache"),
-    "bsd": (r"bsd(?:-style)? license", 20, 0.6, "bsd"),
-    "mpl": (r"mozilla public license", 20, 0.6, "mozilla"),
-    "epl": (r"eclipse public license", 20, 0.6, "eclipse"),
-    "creative-commons": (r"creative commons (?:attribution|license)", 10, 0.5, "creative commons"),
-    "public-domain": (r"(?:released|dedicated|placed|put) (?:in)?to the public domain", 40, 0.9, "public domain"),
-    "proprietary": (r"(?:proprietary and confidential|confidential and proprietary)", 40, 0.9, "proprietary"),
-    "copyright": (r"(?:copyright (?:\(c\)|©) ?[0-9]{4}|\(c\) copyright)", 10, 0.3, "copyright"),
-    "reserved": (r"all rights reserved", 10, 0.5, "rights reserved"),
+    "gpl": (r"(?:gnu general public license|gnu gpl)", 20, 0.6),
+    "lgpl": (r"(?:gnu (?:lesser|library) general public license|gnu lgpl)", 22, 0.6),
+    "agpl": (r"(?:gnu affero general public license|gnu agpl)", 22, 0.6),
+    "gfdl": (r"gnu free documentation license", 20, 0.6),
+    "apache": (r"apache (?:software )?license", 20, 0.6),
+    "bsd": (r"bsd(?:-style)? license", 20, 0.6),
+    "mpl": (r"mozilla public license", 20, 0.6),
+    "epl": (r"eclipse public license", 20, 0.6),
+    "creative-commons": (r"creative commons (?:attribution|license)", 10, 0.5),
+    "public-domain": (r"(?:released|dedicated|placed|put) (?:in)?to the public domain", 40, 0.9),
+    "proprietary": (r"(?:proprietary and confidential|confidential and proprietary)", 40, 0.9),
+    "copyright": (r"(?:copyright (?:\(c\)|©) ?[0-9]{4}|\(c\) copyright)", 10, 0.3),
+    "reserved": (r"all rights reserved", 10, 0.5),
 }
-#: A text without any of these holds no rule's match.
-GATES = (b"licen", b"gpl", b"cc0", b"cc by", b"cc-by", b"commons", b"copyright", b"public domain", b"proprietary", b"rights reserved", b".org/", b".net/", b".com/", b".eu/")
+_BREAK = rb"[\r\n][\t\x0b\x0c ]*+(?://[/!]*+|/\*++!?|\*++(?!/)|#++!?|;++|--++|%++|[>|][>| \t]*+|\"++|'|!++|<!--++|\.\.(?=[\t ])|(?:dnl|rem)(?=[\t ]))"
+_EDGE = rb"[*#|](?<=[\t ].)[*#|]*+(?=[\t\x0b\x0c ]*+[\r\n])"
+#: Comment leaders at the begin of a line, and the right edge of a box of them.
+LEADERS = re.compile(rb"%b|%b" % (_BREAK, _EDGE))
+#: White space that is not just one blank.
+RUN = re.compile(rb"[\t-\r ](?:[\t-\r ]++|(?<! ))")
 
 
 @dataclass(frozen=True)
@@ -110,30 +116,71 @@ class Signature:
     pattern: bytes
     priority: int
     score: float
-    keyword: bytes
+    keywords: frozenset[bytes]
+
+
+def keywords(items) -> frozenset[bytes]:
+    """Texts of which every match of a parsed pattern holds at least one; empty if there are none."""
+    best: frozenset[bytes] = frozenset()
+    run = b""
+    for op, value in [*items, (None, None)]:
+        found: frozenset[bytes] = frozenset()
+        if op is sre.LITERAL:
+            run += bytes([value])
+            continue
+        if op is sre.SUBPATTERN:
+            found = keywords(value[3])
+        elif op is sre.BRANCH:
+            each = [keywords(branch) for branch in value[1]]
+            found = frozenset().union(*each) if all(each) else found
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+            found = keywords(value[2])
+        for option in (frozenset([run] if run else []), found):
+            if min(map(len, option), default=0) > min(map(len, best), default=0):
+                best = option
+        run = b""
+    return best
 
 
 def signatures() -> tuple[Signature, ...]:
     """All rules, highest priority first."""
-    out = [Signature(label, p.encode(), priority, score, k.encode()) for label, (p, priority, score, k) in SINGLE.items()]
-    for label, (name, spdx, url, keyword) in NAMES.items():
-        for pattern, priority, score, own in FORMS.values():
-            filled = pattern.format(name=f"(?:{name})", spdx=f"(?:{spdx})", url=f"(?:{url})")
-            out.append(Signature(label, filled.encode(), priority, score, own.format(keyword=keyword).encode()))
+    rules = [(label, p, priority, score) for label, (p, priority, score) in SINGLE.items()]
+    for label, (name, spdx, url) in NAMES.items():
+        for pattern, priority, score in FORMS.values():
+            rules.append((label, pattern.format(name=f"(?:{name})", spdx=f"(?:{spdx})", url=f"(?:{url})"), priority, score))
+    out = [Signature(label, p.encode(), priority, score, keywords(_parser.parse(p.encode()))) for label, p, priority, score in rules]
     return tuple(sorted(out, key=lambda s: (-s.priority, s.label, s.pattern)))
 
 
+def folded(text: bytes) -> tuple[bytes, bytes]:
+    """A copy of the text's length in which comment leaders are blanks, and one in which white space is one blank."""
+    flat = text.replace(b"\xc2\xa0", b"  ")
+    if b"\n" in flat or b"\r" in flat:
+        flat = LEADERS.sub(lambda m: b" " * len(m[0]), flat)
+    return flat, RUN.sub(b" ", flat)
+
+
+def places(flat: bytes, at: np.ndarray) -> np.ndarray:
+    """Places in ``flat`` of places in its copy with one blank for each run."""
+    runs = np.array([m.span() for m in RUN.finditer(flat)], np.int64).reshape(-1, 2)
+    gone = np.cumsum(runs[:, 1] - runs[:, 0] - 1)
+    return at + np.concatenate([[0], gone])[np.searchsorted(runs[:, 1] - gone, at, side="right")]
+
+
 def detections(text: bytes, rules) -> list[tuple[int, int, int, float, str]]:
     """(start, end, priority, score, label) of what is left after suppression; ``text`` is in lower case."""
-    if not any(gate in text for gate in GATES):
-        return []
-    has: dict[bytes, bool] = {}
+    flat, plain = folded(text)
+    has: dict[frozenset[bytes], bool] = {}
     found = []
     for rule, pattern in rules:
-        if rule.keyword not in has:
-            has[rule.keyword] = rule.keyword in text
-        if has[rule.keyword]:
-            found += [(m.start(), m.end(), rule.priority, rule.score, rule.label) for m in pattern.finditer(text)]
+        if rule.keywords not in has:
+            has[rule.keywords] = not rule.keywords or any(k in plain for k in rule.keywords)
+        if has[rule.keywords]:
+            found += [(m.start(), m.end(), rule.priority, rule.score, rule.label) for m in pattern.finditer(plain)]
+    if found and len(plain) != len(text):
+        starts = places(flat, np.array([d[0] for d in found])).tolist()
+        ends = (places(flat, np.array([d[1] for d in found]) - 1) + 1).tolist()
+        found = [(start, end, *d[2:]) for start, end, d in zip(starts, ends, found)]
     return suppressed(found)
 
 

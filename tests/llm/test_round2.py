@@ -1,9 +1,10 @@
 """Cases of the second review, each of which a shorter way through the operators loses."""
 
-import pytest
+import re
+from re import _constants as sre, _parser
 
 import corpus_pipeline
-from tallyrow.llm import neardup
+from tallyrow.llm import licenses, neardup
 
 COLUMNS = "doc_id long, text string"
 
@@ -33,3 +34,55 @@ def test_pipeline_links_from_80_percent(spark, sf_dir):
     want = sorted({min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group})
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()) == want == [1, 4]
     assert neardup.link_near_duplicates(docs).where("kept").count() == 5
+
+
+def alternatives(items):
+    """Every text of a parsed pattern, with its optional parts there and left out."""
+    texts = [""]
+    for op, value in items:
+        if op is sre.LITERAL:
+            more = [chr(value)]
+        elif op is sre.IN:
+            more = [chr(v) for o, v in value if o is sre.LITERAL][:3] or [chr(v[0]) for o, v in value if o is sre.RANGE][:1]
+        elif op is sre.SUBPATTERN:
+            more = alternatives(value[3])
+        elif op is sre.BRANCH:
+            more = [t for branch in value[1] for t in alternatives(branch)]
+        elif op is sre.MAX_REPEAT:
+            more = [t * n for n in sorted({value[0], max(value[0], 1)}) for t in alternatives(value[2])]
+        else:
+            continue
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_license_rules_with_and_without_keywords_and_wrapped():
+    rules = [(r, re.compile(r.pattern)) for r in licenses.signatures()]
+    for rule, pattern in rules:
+        assert rule.keywords
+        texts = {t.encode("latin-1") for t in alternatives(_parser.parse(rule.pattern))}
+        assert texts
+        for t in texts:
+            assert pattern.fullmatch(t) and any(k in t for k in rule.keywords), (rule, t)
+        for t in (min(texts), max(texts), max(texts, key=len)):
+            for blank in (b" ", b"\n", b"\r\n # ", b"\n//\t", b"  *\n *  ", b"\xc2\xa0 ", b"\n\n"):
+                wrapped = t.replace(b" ", blank)
+                want = [(2, 2 + len(wrapped), rule.priority, rule.score, rule.label)]
+                assert licenses.detections(b"x " + wrapped + b" y", [(rule, pattern)]) == want, (rule, wrapped)
+
+
+def test_licenses_that_gates_lost(spark):
+    texts = [
+        ("Licensed to you under the MIT License", "mit"),
+        ("the Expat License", "mit"),
+        ("see wtfpl.net for it", "wtfpl"),
+        ("/* Apache License,\n# Version 2.0", "apache-2.0"),
+        ("under the Apache\nLicense", "apache"),
+        (" * GNU General\n * Public License v3 ", "gpl,gpl-3.0"),
+        ("put into\n\n\t the   public  domain", "public-domain"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], COLUMNS)
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [found[i].labels for i in range(len(texts))] == [labels for _, labels in texts]
+    assert found[0].score == 0.95
+    assert texts[5][0].encode()[found[5].spans[0].start : found[5].spans[0].end] == b"GNU General\n * Public License v3"
