@@ -2,9 +2,10 @@
 
 The page is cut into blocks at block-level tags. The first pass decides what it can from the density of stop words,
 the length and the density of links, and from the element a block stands in: menus, headers, footers, sidebars,
-notices, adverts, forms and comments are bad. Short blocks, and long ones without clear evidence, stay ambiguous. In
+notices, adverts, forms and comments are bad, also where they are an ``article`` of their own. Short blocks, and long ones without clear evidence, stay ambiguous. In
 the second pass these inherit the label of the nearest decided neighbour of their region, where an ``article`` or
-``main`` element is a region of its own; one without any decided block is good inside such an element.
+``main`` element is a region of its own; one without any decided block is good inside such an element. Blocks outside
+of all regions are judged by the same rules as those inside.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ STOP_WORDS = frozenset(
     "por porque sin sobre su sus también tanto una uno unos y ya".split()
 )
 
-#: Elements whose text is no text of the page.
-SILENT = frozenset("script style noscript template svg math canvas iframe object audio video head title textarea select option button datalist".split())
+#: Elements whose text is no text of the page: code, controls, drawings, and what only browsers without them show.
+SILENT = frozenset("script style noscript template svg canvas iframe audio video head title textarea select option button datalist annotation annotation-xml".split())
+#: Elements that leave a head open; all others, and text, begin the body.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 #: Raw elements: no tags inside.
 RAW = frozenset("script style textarea title noscript iframe template".split())
 #: Elements that are never main text.
@@ -98,6 +101,9 @@ def blocks(page: str) -> list[Block]:
         if tag < 0:
             tag = end
         if tag > at:
+            if stack and stack[-1][0] == "head" and not page[at:tag].isspace():
+                stack.pop()
+                silent, outside, region = stack[-1][1:] if stack else (False, False, 0)
             if not silent:
                 text = html.unescape(page[at:tag]) if "&" in page[at:tag] else page[at:tag]
                 current.pieces.append(text)
@@ -129,6 +135,9 @@ def blocks(page: str) -> list[Block]:
             behind = whole.end() - 1 if whole else behind
             attributes = page[match.end() : behind]
         at = behind + 1
+        if not closing and name not in IN_HEAD and stack and stack[-1][0] == "head":
+            stack.pop()
+            silent, outside, region = stack[-1][1:] if stack else (False, False, 0)
         if name in BLOCKS:
             close()
         elif name == "br":
@@ -155,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             if name in REGIONS:
                 regions += 1
                 inner = regions
-            stack.append((name, silent or name in SILENT, outside or name in OUTSIDE or (name not in REGIONS and name not in ("body", "html") and _marked(attributes)), inner))
+            stack.append((name, silent or name in SILENT, outside or name in OUTSIDE or (name not in ("main", "body", "html") and _marked(attributes)), inner))
         silent, outside, region = stack[-1][1:] if stack else (False, False, 0)
         if name in BLOCKS:
             close()
@@ -170,7 +179,6 @@ def main_text(page: str) -> str:
         text = " ".join("".join(block.pieces).split())
         if text:
             found.append((block, text))
-    any_region = any(b.region for b, _ in found)
     label: list[bool | None] = []
     for block, text in found:
         tokens = [_EDGE.sub("", t).lower() for t in text.split()]
@@ -178,8 +186,6 @@ def main_text(page: str) -> str:
         links = block.linked / len(text)
         if block.outside:
             label.append(False)
-        elif any_region and not block.region:
-            label.append(False)
         elif links > MOST_LINKS and (block.links > 1 or not block.region):
             label.append(False)
         elif len(text) >= SHORT and stops >= LEAST_STOP_WORDS:

@@ -4,7 +4,7 @@ import re
 from re import _constants as sre, _parser
 
 import corpus_pipeline
-from tallyrow.llm import licenses, neardup
+from tallyrow.llm import licenses, maintext, neardup
 
 COLUMNS = "doc_id long, text string"
 
@@ -86,3 +86,28 @@ def test_licenses_that_gates_lost(spark):
     assert [found[i].labels for i in range(len(texts))] == [labels for _, labels in texts]
     assert found[0].score == 0.95
     assert texts[5][0].encode()[found[5].spans[0].start : found[5].spans[0].end] == b"GNU General\n * Public License v3"
+
+
+LONG = "This is the text of the page, which is long enough and has the stop words that a main text has, as it is to be kept."
+OTHER = "And this is the other text of the page, of which it is to be said that it has the stop words and is not a part of it."
+
+
+def test_main_text_outside_of_articles():
+    teaser = f"<aside><article><p>{OTHER}</p></article></aside>"
+    comment = f'<article class="comment"><p>{OTHER}</p></article>'
+    assert maintext.main_text(f"<body><div><p>{LONG}</p></div>{teaser}</body>") == LONG
+    assert maintext.main_text(f"<body><div><p>{LONG}</p></div>{comment}{comment}</body>") == LONG
+    assert maintext.main_text(f"<body><article><p>{LONG}</p></article><div><p>{OTHER}</p></div></body>") == f"{LONG}\n{OTHER}"
+    assert maintext.main_text(f"<body><div><p>{LONG}</p></div></body>") == LONG
+    assert maintext.main_text(f'<main class="banner"><p>{LONG}</p></main>') == LONG
+
+
+def test_main_text_without_end_of_head():
+    for begin in ("<body>", "<p>", "<div><p>", "<main>", "<b>", ""):
+        assert maintext.main_text(f"<html><head><title>T</title><meta charset=x>\n<script>a</script>{begin}{LONG}") == LONG
+    assert maintext.main_text(f"<head><title>{OTHER}</title><style>p</style></head><body><p>{LONG}</p>") == LONG
+
+
+def test_main_text_keeps_formulas_and_objects():
+    page = f"<article><p>{LONG} <math><mi>x</mi><annotation>tex</annotation></math> <object>shown</object></p></article>"
+    assert maintext.main_text(page) == f"{LONG} x shown"
