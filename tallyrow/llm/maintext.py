@@ -57,7 +57,8 @@ MARKS = frozenset(
     "respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_QUOTED = re.compile(r"""(?:[^>"']+|"[^"]{0,10000}"|'[^']{0,10000}')*+>""")
+#: The end of a tag, or an attribute: its name and, behind "=", a quote or a value without quotes.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(["'])|[^\s>]*+))?+)""", re.A)
 _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -82,6 +83,26 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, last: dict[str, int], dead: set[int]) -> int:
+    """The place of the ">" that ends the tag whose name ends at ``at``; the page's length if it ends first; -1 for an open quote.
+
+    A quoted value of any length may hold ">"; quotes elsewhere than behind "=" are plain characters. ``last`` has the last
+    place of each quote, ``dead`` the begins of values from which an open quote is reached: none is followed twice.
+    """
+    opened = []
+    while match := _ATTRIBUTE.match(page, at):
+        if match[1]:
+            return match.end() - 1
+        at = match.end()
+        if match[2]:
+            opened.append(at)
+            if at in dead or at > last[match[2]]:
+                dead.update(opened)
+                return -1
+            at = page.find(match[2], at) + 1
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Unclosed elements end with the one around them, or with the page."""
     out: list[Block] = []
@@ -89,6 +110,7 @@ def blocks(page: str) -> list[Block]:
     silent, outside, region, regions, link = False, False, 0, 0, 0
     current = Block(False, 0)
     at, end = 0, len(page)
+    last, dead = {quote: page.rfind(quote) for quote in "\"'"}, set()
 
     def close() -> None:
         nonlocal current
@@ -131,8 +153,10 @@ def blocks(page: str) -> list[Block]:
         if behind < 0:
             break  # the page was cut inside a tag
         if '"' in (attributes := page[match.end() : behind]) or "'" in attributes:
-            whole = _QUOTED.match(page, match.end())  # a quoted value may hold ">"; a quote left open may not
-            behind = whole.end() - 1 if whole else behind
+            whole = _tag_end(page, match.end(), last, dead)  # a quoted value may hold ">"; a quote left open may not
+            if whole == end:
+                break
+            behind = behind if whole < 0 else whole
             attributes = page[match.end() : behind]
         at = behind + 1
         if not closing and name not in IN_HEAD and stack and stack[-1][0] == "head":

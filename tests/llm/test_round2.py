@@ -1,6 +1,7 @@
 """Cases of the second review, each of which a shorter way through the operators loses."""
 
 import re
+import time
 from re import _constants as sre, _parser
 
 import corpus_pipeline
@@ -111,3 +112,20 @@ def test_main_text_without_end_of_head():
 def test_main_text_keeps_formulas_and_objects():
     page = f"<article><p>{LONG} <math><mi>x</mi><annotation>tex</annotation></math> <object>shown</object></p></article>"
     assert maintext.main_text(page) == f"{LONG} x shown"
+
+
+def test_main_text_behind_long_attributes():
+    for n in (10, 9_990, 10_010, 3_000_000):
+        for quote, other in ("\"'", "'\""):
+            value = f"<svg {other}a>b{other}>" + "x" * n
+            page = f"<body><div data-x={quote}{value}{quote} class=ad><p>{OTHER}</p></div><p title=it's lang = {quote}>{quote}>{LONG}</p></body>"
+            assert maintext.main_text(page) == LONG
+    assert maintext.main_text(f"<article><p class=\"a>{LONG}</p></article>") == LONG
+    assert maintext.main_text(f'<article><p>{LONG}</p><a title="x > y"') == LONG
+
+
+def test_main_text_of_many_open_quotes_takes_linear_time():
+    begin = time.perf_counter()
+    for tag in ('<a b=">" ', "<a b='\">\"' ", '<a b=">'):
+        maintext.main_text(tag * 100_000 + "<a b='>")
+    assert time.perf_counter() - begin < 30
