@@ -1,16 +1,21 @@
 """Soft-membership mixing of a corpus to target token shares.
 
 A classifier trained on a labelled table gives every document its posteriors over the domains. A document with n tokens
-and posteriors p adds rate * n * p to the expected token totals of the domains. The rates, none below ``least``, are fitted
-by projected gradient with momentum on the squared distance of the totals from their targets, each coordinate scaled by
-1 / n. The gradient of a document is p times the vector of residuals, so its rate follows from p and the residuals of the
-steps so far: a step is one distributed sum over (n, p), the driver holds one vector of the domains' size a step, and no
-rate is stored before the end.
+and posteriors p adds rate * n * p to the expected token totals of the domains. The rates, none below ``least``, minimise
+the squared distance of the totals from their targets and, with a weight too small to matter for it, their own distance
+from 1. So rates are max(least, 1 + p . x) for a vector x with one number a domain, and x is fitted by gradient steps that
+are preconditioned by the sum of n p p' over the rows off the bound; a domain moves as fast however rare it is. Each step
+is one distributed sum over (n, p) for some lengths of the step, of which the best is taken; no rate is stored.
+
+The fit ends at the targets, or where the gradient vanishes because the bound or the posteriors keep them out of reach.
+What is lacking then is part of the fit and is logged.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +32,24 @@ from tallyrow.session import materialize
 #: Target shares of the corpus' tokens by language, for the registered query and the pipeline.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 MOST_STEPS = 80
-CLOSE = 1e-4  # the fit ends at a largest residual of this share of all tokens,
-STILL = 5e-6  # or when a step changes no residual by more than this share
+CLOSE = 1e-4  # the targets are met at a largest residual of this share of all tokens
+FLAT = 1e-7  # the gradient vanishes below this share of all tokens
+PULL = 1e-10  # weight of the rates' distance from 1, in all tokens
+LENGTHS = 4.0 ** -np.arange(12)
 
-#: (step size, least rate, one (residual, momentum) a step)
-Fit = tuple[float, float, list[tuple[np.ndarray, float]]]
+log = logging.getLogger(__name__)
 
 
-def rates(p: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, look-ahead rate) of documents with posteriors ``p`` after the steps of ``fit``."""
-    step, least, history = fit
-    rate = np.full(len(p), max(1.0, least))
-    ahead = rate
-    for residual, momentum in history:
-        new = np.maximum(least, ahead - step * (p @ residual))
-        ahead = new + momentum * (new - rate)
-        rate = new
-    return rate, ahead
+class Fit(NamedTuple):
+    least: float
+    x: np.ndarray
+    #: what each domain has above its target, as a share of all tokens aimed at
+    residual: np.ndarray
+
+
+def rates(p: np.ndarray, fit: Fit) -> np.ndarray:
+    """Rates of documents with posteriors ``p``."""
+    return np.maximum(fit.least, 1 + p @ fit.x)
 
 
 def _profiles(documents: DataFrame, model: subwords.Model) -> DataFrame:
@@ -70,55 +76,58 @@ def _unpacked(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, k)
 
 
-def _totals(profiles: DataFrame, fit: Fit, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected domain totals of the rates and of the look-ahead rates, and the sum of n p p'."""
+def _totals(profiles: DataFrame, xs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the vectors: a potential whose gradient are the domain totals, these totals, and the sum of n p p' off the bound."""
+    count, k = xs.shape
 
     def scan(batches):
-        out = np.zeros((2 + k, k))
+        out = np.zeros((count, 1 + k + k * k))
         for batch in batches:
             p = _unpacked(batch.column(1), k)
             n = np.asarray(batch.column(0)).astype(np.float64)
-            rate, ahead = rates(p, fit)
-            out[0] += (rate * n) @ p
-            out[1] += (ahead * n) @ p
-            out[2:] += (p * n[:, None]).T @ p
+            for i, x in enumerate(xs):
+                free_rate = 1 + p @ x
+                rate = np.maximum(least, free_rate)
+                out[i, 0] += n @ (rate * free_rate - rate * rate / 2)
+                out[i, 1 : 1 + k] += (rate * n) @ p
+                out[i, 1 + k :] += ((p * (n * (free_rate >= least))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(out.size), pa.int32()), "x": pa.array(out.ravel())})
 
     rows = profiles.select("n_tokens", "p").mapInArrow(scan, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((2 + k) * k)
+    out = np.zeros(count * (1 + k + k * k))
     for r in rows:
         out[r["at"]] = r["x"]
-    out = out.reshape(-1, k)
-    return out[0], out[1], out[2:]
+    out = out.reshape(count, -1)
+    return out[:, 0], out[:, 1 : 1 + k], out[:, 1 + k :].reshape(count, k, k)
 
 
 def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_steps: int = MOST_STEPS) -> Fit:
-    """The steps towards totals in the given shares.
+    """The rates with totals in the given shares, or as near to them as can be.
 
     The total aimed at is the smallest at which no domain has to shrink, so with ``least`` 1 every document stays.
     """
     k = len(shares)
-    start, _, second = _totals(profiles, (0.0, least, []), k)
-    tokens = second.sum()
+    x = np.zeros(k)
+    potential, total, second = (out[0] for out in _totals(profiles, x[None], least))
+    tokens = total.sum()
     if not tokens:
-        return 0.0, least, []
+        return Fit(least, x, np.zeros(k))
     wanted = shares > 0
-    target = shares * (start[wanted] / shares[wanted]).max() if wanted.any() else start
+    target = shares * (total[wanted] / shares[wanted]).max() if wanted.any() else total
     scale = target.sum() or 1.0
-    # curvature of the scaled problem
-    step = scale / max(float(np.linalg.eigvalsh(second)[-1]), 1e-9)
-    history: list[tuple[np.ndarray, float]] = []
-    total, ahead, t = start, start, 1.0
+    pull = PULL * scale
     for _ in range(most_steps):
-        if np.abs(total - target).max() / scale < CLOSE:
+        gradient = total - target + pull * x
+        if np.abs(total - target).max() < CLOSE * scale or np.abs(gradient).max() < FLAT * scale:
             break
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        history.append(((ahead - target) / scale, (before - 1) / t))
-        last = total
-        total, ahead, _ = _totals(profiles, (step, least, history), k)
-        if np.abs(total - last).max() / scale < STILL:
+        tried = x - LENGTHS[:, None] * np.linalg.solve(second + pull * np.eye(k), gradient)
+        potentials, totals, seconds = _totals(profiles, tried, least)
+        potentials += pull / 2 * (tried * tried).sum(axis=1) - tried @ target
+        best = int(potentials.argmin())
+        if potentials[best] >= potential:
             break
-    return step, least, history
+        x, potential, total, second = tried[best], potentials[best], totals[best], seconds[best]
+    return Fit(least, x, (total - target) / scale)
 
 
 def fit_mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 1.0) -> tuple[list[str], subwords.Model, Fit, DataFrame]:
@@ -127,7 +136,10 @@ def fit_mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     model = subwords.fit(documents, labelled, "domain", tuple(domains))
     profiles = materialize(_profiles(documents, model))
     shares = np.array([max(float(targets[d]), 0.0) for d in domains])
-    return domains, model, fit_rates(profiles, shares / (shares.sum() or 1.0), least), profiles
+    fit = fit_rates(profiles, shares / (shares.sum() or 1.0), least)
+    if np.abs(fit.residual).max(initial=0.0) >= CLOSE:
+        log.warning("targets not met; share of all tokens above the target: %s", dict(zip(domains, fit.residual.tolist())))
+    return domains, model, fit, profiles
 
 
 def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, least: float = 1.0) -> DataFrame:
@@ -144,7 +156,7 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: Mapping[str
     def scan(batches):
         for batch in batches:
             p = _unpacked(batch.column(3), k)
-            rate, _ = rates(p, fit)
+            rate = rates(p, fit)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -172,7 +184,7 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float
 
     def scan(batches):
         for batch in batches:
-            rate, _ = rates(subwords.posteriors(shared.value, batch.column(at).cast(pa.string())), fit)
+            rate = rates(subwords.posteriors(shared.value, batch.column(at).cast(pa.string())), fit)
             copies = np.floor(rate + np.asarray(batch.column(len(names)))).astype(np.int64)
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rate), pa.array(copies)], [*names, "rate", "copies"])
             yield out.filter(pa.array(copies > 0))

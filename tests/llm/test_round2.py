@@ -4,8 +4,10 @@ import re
 import time
 from re import _constants as sre, _parser
 
+import numpy as np
+
 import corpus_pipeline
-from tallyrow.llm import licenses, maintext, neardup
+from tallyrow.llm import licenses, maintext, mixing, neardup
 
 COLUMNS = "doc_id long, text string"
 
@@ -129,3 +131,35 @@ def test_main_text_of_many_open_quotes_takes_linear_time():
     for tag in ('<a b=">" ', "<a b='\">\"' ", '<a b=">'):
         maintext.main_text(tag * 100_000 + "<a b='>")
     assert time.perf_counter() - begin < 30
+
+
+def profiles(spark, p):
+    rows = [(100, r.tobytes()) for r in p]
+    return spark.createDataFrame(rows, "n_tokens long, p binary")
+
+
+def test_mixing_reaches_rare_domains(spark):
+    shares = np.array([0.2, 0.4, 0.2, 0.2])
+    own = np.arange(30_000) % 3
+    for rare in (3_000, 3, 1):
+        own[:rare] = 3
+        p = np.eye(4)[own]
+        # likely, not sure
+        for p in (p, p * 0.99 + np.roll(p, 1, axis=1) * 0.01):
+            fit = mixing.fit_rates(profiles(spark, p), shares, 0.0)
+            total = mixing.rates(p, fit) @ p
+            assert np.abs(total / total.sum() - shares).max() < 1e-3 and np.abs(fit.residual).max() < mixing.CLOSE
+        own[:rare] = np.arange(rare) % 3
+
+
+def test_mixing_says_what_is_lacking(spark, caplog):
+    p = np.eye(3)[np.arange(300) % 2]
+    fit = mixing.fit_rates(profiles(spark, p), np.array([0.2, 0.4, 0.4]), 1.0)
+    # the first domain has 150 tokens at rate 1, a fifth of the 750 aimed at
+    assert np.allclose(mixing.rates(p, fit) @ p, [150, 300, 0], atol=1e-2)
+    assert np.allclose(fit.residual, [0, 0, -0.4], atol=1e-3) and mixing.rates(p, fit).min() >= 1
+    docs = spark.createDataFrame([(i, "the of and to") for i in range(20)], COLUMNS)
+    labelled = spark.createDataFrame([(i, "en") for i in range(20)], "doc_id long, domain string")
+    with caplog.at_level("WARNING"):
+        mixing.fit_mix(docs, labelled, {"de": 0.5, "en": 0.5})
+    assert "targets not met" in caplog.text and "'de': -0." in caplog.text
