@@ -89,7 +89,7 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
                     {
                         "label": pa.array([label], pa.int32()),
                         "buckets": pa.array([buckets.astype(np.int32).tobytes()], pa.binary()),
-                        "counts": pa.array([np.minimum(counts, 65_535).astype(np.uint16).tobytes()], pa.binary()),
+                        "counts": pa.array([counts.astype(np.min_scalar_type(counts.max(initial=0))).tobytes()], pa.binary()),
                     }
                 )
 
@@ -97,7 +97,9 @@ def train(documents: DataFrame, chosen: DataFrame, shares: list[float], classes:
     picked = documents.join(F.broadcast(chosen), "doc_id").select("text", "label")
     docs = []
     for r in picked.mapInArrow(featurize, "label int, buckets binary, counts binary").repartition(4).toLocalIterator():
-        docs.append((r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.uint16)))
+        buckets = np.frombuffer(r.buckets, np.int32)
+        # counts are as wide as the largest of the text needs
+        docs.append((r.label, buckets, np.frombuffer(r.counts, f"u{len(r.counts) // max(1, len(buckets)) or 1}")))
     # an order that does not depend on how the rows were dealt
     docs.sort(key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes()))
     k = len(classes)

@@ -7,7 +7,7 @@ from re import _constants as sre, _parser
 import numpy as np
 
 import corpus_pipeline
-from tallyrow.llm import licenses, maintext, mixing, neardup
+from tallyrow.llm import licenses, maintext, mixing, neardup, subwords
 
 COLUMNS = "doc_id long, text string"
 
@@ -163,3 +163,15 @@ def test_mixing_says_what_is_lacking(spark, caplog):
     with caplog.at_level("WARNING"):
         mixing.fit_mix(docs, labelled, {"de": 0.5, "en": 0.5})
     assert "targets not met" in caplog.text and "'de': -0." in caplog.text
+
+
+def test_training_counts_long_texts_in_full(spark, monkeypatch):
+    monkeypatch.setattr(subwords, "LEAST_STEPS", 20)
+    models = []
+    for n in (1_000, 100_000):
+        docs = spark.createDataFrame([(1, "x " * (3 * n) + "y " * n), (2, ""), (3, "z")], COLUMNS)
+        chosen = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, label int")
+        models.append(subwords.train(docs, chosen, [0.5, 0.5], (0, 1)))
+    # the same shares of features but for some at the one place where the words change
+    (a, c), (b, d) = models
+    assert np.abs(a - b).max() < 0.02 * np.abs(a).max() and np.abs(c - d).max() < 0.02
