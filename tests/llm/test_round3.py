@@ -1,12 +1,16 @@
 """The operators of the third round against plain versions, on small tables with every kind of odd row."""
 
+import hashlib
 import itertools
+import random
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from tallyrow.llm import filteraudit
+from tallyrow.llm import convtrie, filteraudit
 from tallyrow.llm.queries import SQL
 
 LONG = " ".join(f"w{i % 9000}" for i in range(400_000))
@@ -111,3 +115,90 @@ def test_filter_audit_sql_on_odd_rows(spark):
     names, want = sql_rows(SQL["op12_filter_audit"], documents=docs.toArrow(), labels=marks.toArrow())
     found = filteraudit.audit_filters(filteraudit.failed_sets(docs, marks))
     assert found.columns == names and ordered(found.collect()) == ordered(want)
+
+
+def plain_trie(rows):
+    turns = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns.setdefault(c, []).append((turn, role or "", text or ""))
+    sha = lambda r, t: hashlib.sha256(f"{len(r.encode())}:{r}{t}".encode()).hexdigest()
+    plain = {c: [(r, t) for _, r, t in sorted(x, key=lambda y: (y[0] is not None, y[0] or 0, sha(*y[1:])))] for c, x in turns.items()}
+    rebuilt = {}
+    for c in plain:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20 if c >= 0 else -(abs(c) % 20))
+        rebuilt[c] = tuple(plain.get(base, [])[:h] + plain[c][h:])
+    nodes = {}
+    for c, x in rebuilt.items():
+        for d in range(len(x) + 1):
+            nodes.setdefault(x[:d], []).append(c)
+    words = lambda t: len(re.findall(rb"[^\x20\x09-\x0d]+", t.encode()))
+    out = []
+    for x, members in nodes.items():
+        under = [y for y in nodes if y[: len(x)] == x]
+        kids = lambda y: sum(len(z) == len(y) + 1 and z[: len(y)] == y for z in nodes)
+        ends = ",".join(str(c) for c in sorted(c for c in members if rebuilt[c] == x))
+        saved = sum((len(nodes[y]) - 1) * (words(y[-1][1]) if y else 0) for y in under)
+        parent = min(nodes[x[:-1]]) if x else None
+        out.append((min(members), len(x), parent, len(members), kids(x), sum(kids(y) == 0 for y in under), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def talks(seed=3, convs=90):
+    draw = random.Random(seed)
+    rows = []
+    for c in [*range(convs), -3, -25, 200, 201, 1000, 1019]:
+        n = draw.choice([0, 1, 1, 2, 3, 5, 9]) if c != 40 else 60
+        for t in range(n):
+            rows.append((c, t, draw.choice(["user", "user", None]), draw.choice(["a b", "a b", "c", "", None, "d  e\tf g"])))
+    copies = [(c, t, "user", f"same {t}") for c in range(300, 340) for t in range(4)]
+    odd = [(None, 1, "user", "x"), (5, None, "user", "first"), (5, None, "user", "first"), (5, 2, "u", "tie"), (5, 2, "u", "tie two"), (7, 10**12, "é", "ü 漢")]
+    return rows + copies + odd
+
+
+CONV = "conv_id long, turn long, role string, text string, band int, path string, WORDS int"
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, 9, "p", 1) for r in rows], CONV)
+
+
+@pytest.mark.parametrize("band, shard", [(1024, 200_000), (1024, 3), (2, 5), (1, 200_000), (3, 1)])
+def test_prefix_trie(spark, band, shard):
+    rows = talks()
+    turns = convtrie.spliced(convtrie.numbered_turns(conversations(spark, rows)))
+    found = convtrie.prefix_trie(turns, band, shard)
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert ordered(found.collect()) == ordered(plain_trie(rows))
+
+
+def test_prefix_trie_sql_on_odd_rows(spark):
+    rows = talks(5, 60)
+    names, want = sql_rows(SQL["op13_prefix_trie"], conversations=conversations(spark, rows).toArrow())
+    assert ordered(want) == ordered(plain_trie(rows))
+    assert names == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def test_prefix_trie_without_rows(spark):
+    for rows in ([], [(None, 1, "user", "x")]):
+        assert convtrie.prefix_trie(convtrie.spliced(convtrie.numbered_turns(conversations(spark, rows)))).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_parentheses(block):
+    draw = random.Random(block)
+    bits, open_ = [], 0
+    while len(bits) < 700 or open_:
+        up = open_ == 0 or (len(bits) < 700 and draw.random() < 0.55)
+        bits.append(up)
+        open_ += 1 if up else -1
+    parens = convtrie.Parens(np.array(bits), block)
+    at, stack, close = np.flatnonzero(bits), [], {}
+    for i, b in enumerate(bits):
+        if b:
+            stack.append(i)
+        else:
+            close[stack.pop()] = i
+    assert parens.findclose(at).tolist() == [close[i] for i in at]
+    assert parens.leaf_rank()[-1] == sum(a and not b for a, b in zip(bits, bits[1:]))
