@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyrow.llm import convtrie, filteraudit
+from tallyrow.llm import combojoin, convtrie, filteraudit
 from tallyrow.llm.queries import SQL
 
 LONG = " ".join(f"w{i % 9000}" for i in range(400_000))
@@ -202,3 +202,98 @@ def test_parentheses(block):
             close[stack.pop()] = i
     assert parens.findclose(at).tolist() == [close[i] for i in at]
     assert parens.leaf_rank()[-1] == sum(a and not b for a, b in zip(bits, bits[1:]))
+
+
+def shingles(text, size=4):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+
+def plain_links(rows, percent):
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and a and b and 100 * len(a & b) >= percent * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    out = []
+    for k, (doc_id, _) in enumerate(rows):
+        ids = [rows[m][0] for m in range(len(rows)) if group[m] == group[k] and rows[m][0] is not None]
+        out.append((doc_id, len(sets[k]), (min(ids) if ids else None) if sets[k] else doc_id))
+    return out
+
+
+def near_texts():
+    """Families of variants around the threshold, of many sizes, and a template that all of many texts share."""
+    draw = random.Random(11)
+    rows = [(1, None), (2, ""), (3, " \t "), (4, "One two"), (5, "one TWO"), (5, "one TWO"), (None, "one two"), (None, None), (6, "a b c d"), (7, "a b c e")]
+    key = 100
+    for n in (8, 9, 10, 12, 20, 33, 70, 150, 400):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2, 3]) * max(1, n // 100)):
+                at = draw.randrange(len(w))
+                w[at : at + draw.choice([0, 1, 1])] = [f"e{draw.randrange(10**6)}"] * draw.choice([0, 1])
+            rows.append((key, " ".join(w)))
+            key += 1
+    template = [f"t{i}" for i in range(120)]
+    for k in range(30):
+        rows.append((key + k, " ".join(template + [f"u{k}x{i}" for i in range(k)])))
+    return rows
+
+
+def texts(spark, rows):
+    return spark.createDataFrame([(*r, 3, b"k", 1) for r in rows], "doc_id long, text string, n long, KEYS binary, node int")
+
+
+@pytest.mark.parametrize("percent, kind, small, block", [(85, None, 24, 512), (85, "mixed", 2, 4), (80, "pairs", 2, 7), (90, "triples", 24, 512), (85, "rare", 3, 5)])
+def test_combination_join(spark, monkeypatch, percent, kind, small, block):
+    monkeypatch.setattr(combojoin, "SMALL", small)
+    monkeypatch.setattr(combojoin, "BLOCK", block)
+    rows = near_texts()
+    groups = {
+        None: None,
+        "mixed": np.random.default_rng(5).choice([0, 1, 2], 1 << 16, p=[0.1, 0.6, 0.3]).astype(np.uint8),
+        "pairs": np.ones(1 << 16, np.uint8),
+        "triples": np.full(1 << 16, 2, np.uint8),
+        "rare": np.zeros(1 << 16, np.uint8),
+    }[kind]
+    found = combojoin.link_similar(texts(spark, rows), percent, groups)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert ordered(found.collect()) == ordered(plain_links(rows, percent))
+
+
+def test_combination_join_without_rows(spark):
+    assert combojoin.link_similar(texts(spark, [])).count() == 0
+    assert ordered(combojoin.link_similar(texts(spark, [(1, None), (2, " ")])).collect()) == [(1, 0, 1), (2, 0, 2)]
+    with pytest.raises(ValueError):
+        combojoin.link_similar(texts(spark, []), 60)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 93])
+def test_linked_sets_share_a_key(percent):
+    draw = np.random.default_rng(percent)
+    for n in [*range(4, 70), 100, 127, 128, 129, 500]:
+        groups = draw.choice(np.array([0, 1, 2], np.uint8), 1 << 16, p=draw.dirichlet([0.4, 1, 1]))
+        x = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for _ in range(8):
+            gone = draw.integers(0, combojoin.missing(n, percent) + 1)
+            keep = draw.permutation(x)[gone:]
+            y = np.unique(np.concatenate([keep, draw.integers(0, 1 << 63, draw.integers(0, 4) * max(1, n // 20), dtype=np.uint64)]))
+            if not combojoin.similar(x, y, percent) or np.array_equal(x, y):
+                continue
+            a, b = (combojoin.signatures(s, groups, percent)[0] for s in (x, y))
+            assert len(np.intersect1d(a, b))
+            bits = [np.frombuffer(combojoin.parity(s), np.uint64) for s in (x, y)]
+            differ = combojoin._differ(*[v.tobytes() for v in bits])
+            assert differ <= len(np.setxor1d(x, y)) and combojoin.may_link(np.array([differ]), np.array([len(x)]), np.array([len(y)]), percent)[0]
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_prefix_can_always_be_extended(percent):
+    draw = np.random.default_rng(1)
+    for n in range(1, 400):
+        for kind in (1, 2, None):
+            groups = np.full(1 << 16, kind, np.uint8) if kind else draw.integers(0, 3, 1 << 16).astype(np.uint8)
+            combojoin.signatures(np.sort(draw.integers(0, 1 << 63, n, dtype=np.uint64)), groups, percent)
