@@ -33,7 +33,7 @@ SHINGLE = 4
 PERCENT = 85
 LEAST_PERCENT = 80  # below, the classes could lose more tokens than a set has
 SMALL = 24  # nodes of a key that is joined with itself
-BLOCK = 512  # nodes in a block of a larger key, fewer of long texts
+BLOCK = 256  # nodes in a block of a larger key, fewer of long texts
 TRIPLES = 1 << 13  # excess count from which combinations have three tokens
 FEWEST, MOST = 16, 24  # the counters are 2 ** 16 to 2 ** 24
 #: Frequency groups: combination size, and the share of a level's tokens in one class.
@@ -304,15 +304,17 @@ def _blockwise(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("key", "first", "second").applyInArrow(meet, "a bigint, b bigint")
 
 
-def _reaching(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The members with ``whole`` and ``reach``, the greatest size of a partner all of whose rare tokens are indexed.
+def _scored(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, size, score, whole, reach) of the members.
 
-    A rare token whose key has one node is in no such partner, which bounds what the two share.
+    ``score`` says how many others a node meets in all its keys. ``reach`` is the greatest size of a partner all of whose rare tokens are indexed (``whole``):
+    a rare token whose key has one node is in no such partner, which bounds what the two share.
     """
-    seen = members.groupBy("node").agg(F.sum(F.col("key").bitwiseAND(1)).alias("seen"))
-    known = nodes.select("node", "singles", "whole").join(seen, "node")
-    both = members.join(materialize(known), "node").withColumn("most", F.col("n") - F.col("singles") + F.col("seen"))
-    return both.withColumn("reach", F.expr(f"most * {100 + percent} div {percent} - n")).drop("singles", "seen", "most")
+    tie = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    sums = members.groupBy("node").agg((F.sum(F.col("size") * F.col("times")) * (1 << 20) + tie).alias("score"), F.sum("ones").alias("seen"))
+    known = nodes.select("node", "n", "singles", "whole").join(sums, "node").withColumn("most", F.col("n") - F.col("singles") + F.col("seen"))
+    known = known.withColumn("reach", F.expr(f"most * {100 + percent} div {percent} - n")).select("node", "score", "whole", "reach")
+    return members.drop("times", "ones").join(materialize(known), "node")
 
 
 def _open_keys(members: DataFrame, percent: int) -> DataFrame:
@@ -348,8 +350,11 @@ def link_similar(documents: DataFrame, percent: int = PERCENT, groups: np.ndarra
     nodes = materialize(nodes.select("cls", "x.doc_id", "x.row1", "x.row2", "n", "singles", "whole", "keys", F.monotonically_increasing_id().alias("node")))
 
     members = _members(nodes)
+    # of keys with the same nodes, known by 128 bits, one is enough
+    found = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)])
+    found = found.where("size > 1").groupBy("size", "of1", "of2")
     # written, so that the joins are of plain exchanges, of which Spark splits the hot ones
-    shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = materialize(found.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"), F.sum(F.col("key").bitwiseAND(1)).alias("ones")).drop("of1", "of2"))
     members = materialize(members.join(shared, "key"))
 
     wanted = nodes.join(members.select("node").distinct(), "node").select("row1", "row2", "node", "n")
@@ -358,8 +363,7 @@ def link_similar(documents: DataFrame, percent: int = PERCENT, groups: np.ndarra
     texts = materialize(_with_parity(texts))
 
     # one centre for each node: what shares the most keys with others is likest to be the base of its variants
-    score = members.groupBy("node").agg((F.sum("size") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("score"))
-    scored = materialize(members.join(materialize(score), "node"))
+    scored = materialize(_scored(members, nodes, percent))
     centres = scored.groupBy("key").agg(F.max_by("node", "score").alias("centre"), F.max("score").alias("top"), F.max_by("n", "score").alias("nc"))
     fits = 100 * F.least("n", "nc") >= percent * F.greatest("n", "nc")
     offers = scored.join(materialize(centres), "key").where((F.col("node") != F.col("centre")) & fits)
@@ -367,7 +371,7 @@ def link_similar(documents: DataFrame, percent: int = PERCENT, groups: np.ndarra
     linked = materialize(_verified(materialize(_possible(stars, texts, percent)), texts, percent))
 
     roots = materialize(components(linked))
-    labelled = _reaching(members.drop("size"), nodes, percent).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = scored.drop("size", "score").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = materialize(_open_keys(materialize(labelled), percent))
     small = open_.where(F.col("size") <= SMALL)
     sides = [small.select("key", *[F.col(c).alias(s + x) for c, s in (("node", ""), ("n", "n"), ("root", "r"), ("reach", "h"), ("whole", "w"))]) for x in ("a", "b")]
