@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with the SQL it must agree with."""
 
-from tallyrow.catalog import cleaning, evaluation, features, history, pairs, profile, runlog, scans, splits
+from tallyrow.catalog import cleaning, evaluation, features, history, pairs, profile, runlog, scans, sketches, splits, stored
 from tallyrow.catalog.base import REGISTRY
 
 __all__ = [
@@ -13,5 +13,7 @@ __all__ = [
     "profile",
     "runlog",
     "scans",
+    "sketches",
     "splits",
+    "stored",
 ]

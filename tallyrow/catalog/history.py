@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyrow.catalog.base import HISTORY_COLUMNS, query, r6, rows, with_base
 from tallyrow.operators import history
+from tallyrow.operators.history_store import HistoryStore
 from tallyrow.plans.fixed import HOUR
 from tallyrow.session import materialize, scratch_dir
 from tallyrow.streaming.history import history_stream
@@ -122,3 +123,32 @@ def _(spark, sf):
         HOUR,
         lateness_sec=_LATENESS,
     )
+
+
+def _stored_by_days(spark, sf) -> HistoryStore:
+    """The events up to some days stored first, then the later ones appended, five days at a time."""
+    suffix = uuid.uuid4().hex
+    store = HistoryStore(f"history_{suffix}", f"{scratch_dir(spark)}/history-{suffix}", 8)
+    table = rows(spark, sf)
+    first, last = (t // 86400 for t in table.agg(F.min("timestamp"), F.max("timestamp")).first())
+    border = first + (last - first) // 2
+    for start in [None, *range(border, last + 1, 5)]:
+        stop = border if start is None else start + 5
+        part = table.where(_ts() < stop * 86400)
+        if start is not None:
+            part = part.where(_ts() >= start * 86400)
+        bins = history.history_bins(part, HISTORY_COLUMNS, history.event_time(_ts()))
+        store.create(bins) if start is None else store.append(bins)
+    return store
+
+
+@query("history_append", with_base(_bins('"timestamp"') + _CUMULATIVE + " SELECT * FROM store"))
+def _(spark, sf):
+    return _stored_by_days(spark, sf).open(spark)
+
+
+@query("history_lookup_stored", _lookup_sql('"timestamp"'))
+def _(spark, sf):
+    store = _stored_by_days(spark, sf)
+    looked = history.history_lookup(rows(spark, sf), store.open(spark), HISTORY_COLUMNS, buckets=store.buckets)
+    return looked.select("event_id", *[r6(c).alias(c) for c in history.history_columns([11, 12])])

@@ -114,13 +114,15 @@ def history_lookup(
     strength: float = 20.0,
     prior: float | None = None,
     bin_sec: int = HOUR,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``hist_rate``, ``hist_log_count`` and ``hist_rate_<fid>``, ``hist_log_count_<fid>``.
 
     1. the distinct (ids, probe bin) of the rows; 2. of those the distinct (fid, value, bin);
     3. one running maximum per value over stored and probed bins (the cumulative counts
     never fall); 4. equi-joins back to 1 and to the rows. A row without a time has the prior
-    and counts of 0.
+    and counts of 0. ``buckets`` is the number of buckets of a store kept by (fid, value): the probes go there, and
+    the store is not shuffled.
     """
     if prior is None:
         prior = global_prior(store)
@@ -142,25 +144,15 @@ def history_lookup(
         .distinct()
     )
     nothing = F.lit(None).cast("bigint")
-    timeline = store.select("fid", "value", "bin", "cum_cnt", "cum_pos", F.lit(False).alias("_probe")).unionByName(
-        probes.select(
-            "*", nothing.alias("cum_cnt"), nothing.alias("cum_pos"), F.lit(True).alias("_probe")
-        )
-    )
+    probes = probes.select("*", nothing.alias("cum_cnt"), nothing.alias("cum_pos"))
+    if buckets:
+        probes = probes.repartition(buckets, "fid", "value")
+    timeline = store.select("fid", "value", "bin", "cum_cnt", "cum_pos").unionByName(probes)
     upto = W.partitionBy("fid", "value").orderBy("bin").rangeBetween(W.unboundedPreceding, 0)
-    answers = (
-        timeline.select(
-            "fid",
-            "value",
-            F.col("bin").alias("_bin"),
-            F.max("cum_cnt").over(upto).alias("_cnt"),
-            F.max("cum_pos").over(upto).alias("_pos"),
-            "_probe",
-        )
-        .where("_probe")
-        .drop("_probe")
-    )
-    found = asked.join(answers, ["fid", "value", "_bin"], "left")
+    ran = timeline.withColumns({"_cnt": F.max("cum_cnt").over(upto), "_pos": F.max("cum_pos").over(upto)})
+    answers = ran.where(F.col("cum_cnt").isNull()).select("fid", "value", F.col("bin").alias("_bin"), "_cnt", "_pos")
+    # null-safe, since a filter on null keys would hide the store's buckets from the window
+    found = null_safe_join(asked, answers, ["fid", "value", "_bin"], "left")
 
     def of(fid: int, column: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("fid") == fid, F.col(column))), F.lit(0)).cast("double")
