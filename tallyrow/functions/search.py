@@ -24,10 +24,10 @@ def count_below(value: Column, edges: Sequence[float], inclusive: bool = False)
     return tree(0, len(edges))
 
 
-def with_count_below(df: DataFrame, value: str, cuts: str, size: int, name: str) -> DataFrame:
-    """Add ``name``: how many of the sorted array column ``cuts`` are below ``value``.
+def with_count_below(df: DataFrame, value: str, cuts: str, size: int, name: str, inclusive: bool = False) -> DataFrame:
+    """Add ``name``: how many of the sorted array column ``cuts`` are below ``value`` (``inclusive``: not above).
 
-    The array holds ``size`` - 1 entries, ``size`` a power of two. One projection per halving
+    The array holds ``size`` - 1 entries or fewer, ``size`` a power of two. One projection per halving
     step keeps the binary search flat and inside generated code.
     """
     if size < 2 or size & (size - 1):
@@ -36,6 +36,7 @@ def with_count_below(df: DataFrame, value: str, cuts: str, size: int, name: str)
     step = size // 2
     while step:
         probe = F.get(F.col(cuts), F.col(name) + F.lit(step - 1))
-        df = df.withColumn(name, F.col(name) + F.when(probe < F.col(value), F.lit(step)).otherwise(F.lit(0)))
+        under = probe <= F.col(value) if inclusive else probe < F.col(value)
+        df = df.withColumn(name, F.col(name) + F.when(under, F.lit(step)).otherwise(F.lit(0)))
         step //= 2
     return df

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrow.operators.ordered import running, top_per_key
+from tallyrow.functions.search import with_count_below
+from tallyrow.operators.ordered import null_safe_join, running, top_per_key
 from tallyrow.session import materialize
 
 RUN, STEP = "run_id", "step"
@@ -31,42 +32,51 @@ def best_step(runs: DataFrame, metric: str = "val_auc", chunk_rows: int = 1 << 1
     )
 
 
+def _next_accepted(records: DataFrame, delta: float) -> DataFrame:
+    """The records (run, at, score, chunk) with ``next``: the first step whose score is more than ``delta`` higher.
+
+    Scores rise from record to record, so a record's next one lies in the first chunk whose top is high enough, and is found there by order.
+    """
+    tops = records.groupBy(RUN, "chunk").agg(F.max("score").alias("top"))
+    ladder = tops.groupBy(RUN).agg(F.sort_array(F.collect_list(F.struct("chunk", "top"))).alias("ladder"))  # one entry a chunk
+    ladder = materialize(ladder.select(RUN, F.col("ladder.chunk").alias("chunks"), F.col("ladder.top").alias("tops")))
+    longest = ladder.agg(F.max(F.size("tops"))).first()[0] or 1
+    aimed = null_safe_join(records, ladder, [RUN]).withColumn("wanted", F.col("score") + F.lit(float(delta)))
+    aimed = with_count_below(aimed, "wanted", "tops", 1 << longest.bit_length(), "rung", inclusive=True)
+    probes = aimed.select(RUN, F.get("chunks", F.col("rung")).alias("chunk"), F.col("wanted").alias("value"), "at", F.lit(True).alias("probe"))
+    line = records.select(RUN, "chunk", F.col("score").alias("value"), "at", F.lit(False).alias("probe")).unionByName(probes.where("chunk is not null"))
+    # from above: what comes before a probe is higher than it
+    higher = W.partitionBy(RUN, "chunk").orderBy(F.desc("value"), F.desc("probe")).rowsBetween(W.unboundedPreceding, 0)
+    found = line.withColumn("next", F.min(F.when(~F.col("probe"), F.col("at"))).over(higher)).where("probe").select(RUN, "at", "next")
+    return null_safe_join(records.select(RUN, "at"), found, [RUN, "at"], "left")
+
+
 def _stop_with_delta(seen: DataFrame, delta: float, patience: int, chunk_rows: int) -> DataFrame:
     """(run, stop_step) where a score counts only if it beats the last accepted one by more than ``delta``.
 
-    Only new maxima can be accepted. They are folded in chunks of ``chunk_rows`` steps: a round takes
-    one chunk of every run that still goes on, and passes on its last accepted score and step.
+    Only new maxima can be accepted. Each points to the one that would be accepted next, or to itself if that is more than ``patience``
+    steps away; the first step of a run is accepted, and doubling the pointers leads it to the last one before the stop, in as many rounds
+    as the logarithm of the number of accepted steps.
     """
     lead = -F.col("_lead.neg_step") == F.col(STEP)
-    chunk = F.floor((F.col(STEP) - 1) / chunk_rows).alias("_chunk")
-    record = F.struct(F.col(STEP).cast("bigint").alias("at"), F.col("_score").cast("double").alias("score"))
-    pieces = materialize(
-        seen.where(lead).groupBy(RUN, chunk).agg(F.sort_array(F.collect_list(record)).alias("_records"))
-    )
-    none = F.lit(None).cast("bigint")
-    start = F.struct(F.lit(None).cast("double").alias("best"), none.alias("at"), none.alias("stop"))
-    state = materialize(
-        seen.groupBy(RUN).agg(F.max(STEP).cast("bigint").alias("_steps")).withColumn("_state", start)
-    )
-
-    def accept(state: Column, record: Column) -> Column:
-        late = record["at"] - state["at"] > patience
-        stop = F.coalesce(state["stop"], F.when(late, state["at"] + patience))
-        moved = state["best"].isNull() | (record["score"] > state["best"] + F.lit(delta))
-        after = F.struct(record["score"].alias("best"), record["at"].alias("at"), stop.alias("stop"))
-        return F.when(moved, after).otherwise(state)
-
-    for (number,) in pieces.select("_chunk").distinct().orderBy("_chunk").collect():
-        here = pieces.where(F.col("_chunk") == number).select(F.col(RUN).alias("_run"), "_records")
-        going = F.col(RUN).eqNullSafe(F.col("_run")) & F.col("_state.stop").isNull()
-        folded = F.when(F.col("_records").isNull(), F.col("_state")).otherwise(
-            F.aggregate("_records", F.col("_state"), accept)
-        )
-        state = materialize(state.join(here, going, "left").select(RUN, "_steps", folded.alias("_state")))
-    at_end = F.col("_state.at") + patience
-    return state.select(
-        RUN, F.coalesce("_state.stop", F.when(at_end <= F.col("_steps"), at_end)).alias("stop_step")
-    )
+    chunk = F.floor((F.col(STEP) - 1) / chunk_rows).alias("chunk")
+    records = materialize(seen.where(lead).select(RUN, F.col(STEP).cast("bigint").alias("at"), F.col("_score").cast("double").alias("score"), chunk))
+    chain = materialize(_next_accepted(records, delta))
+    ends = F.coalesce(F.col("next") - F.col("at") > patience, F.lit(True))
+    chain = chain.withColumn("to", F.when(ends, F.col("at")).otherwise(F.col("next")))
+    stops = materialize(chain.where(ends).select(RUN, F.col("at").alias("to"), "next"))
+    first = materialize(records.groupBy(RUN).agg(F.min("at").alias("at")))
+    pointers = materialize(chain.select(RUN, "at", "to"))
+    while True:
+        starts = null_safe_join(first, pointers, [RUN, "at"])
+        if null_safe_join(starts, stops, [RUN, "to"], "left_anti").isEmpty():
+            break
+        further = pointers.select(RUN, F.col("at").alias("to"), F.col("to").alias("beyond"))
+        pointers = materialize(null_safe_join(pointers, further, [RUN, "to"]).select(RUN, "at", F.col("beyond").alias("to")))
+    last = null_safe_join(starts, stops, [RUN, "to"]).select(RUN, (F.col("to") + patience).alias("_stop"), F.col("next").isNotNull().alias("_sure"))
+    steps = seen.groupBy(RUN).agg(F.max(STEP).cast("bigint").alias("_steps"))
+    reached = F.col("_sure") | (F.col("_stop") <= F.col("_steps"))
+    return null_safe_join(steps, last, [RUN], "left").select(RUN, F.when(reached, F.col("_stop")).alias("stop_step"))
 
 
 def early_stop_step(

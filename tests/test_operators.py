@@ -609,6 +609,15 @@ def test_early_stop_over_a_long_rise(spark):
     assert got == {9: 10, 10: 100_001, 110: None}
 
 
+def test_early_stop_rounds_are_few(spark, monkeypatch):
+    """A million rising scores, half of which are accepted: the pointers are doubled about twenty times."""
+    written = []
+    monkeypatch.setattr(runlog, "materialize", lambda df, plain=runlog.materialize: written.append(1) or plain(df))
+    df = spark.range(1, 1_000_011).selectExpr("1 AS run_id", "id AS step", "least(id, 1000000) / 8.0D AS val_auc")
+    assert runlog.early_stop_step(df, "val_auc", 5, 0.2).first().stop_step == 1_000_004
+    assert len(written) < 30
+
+
 def test_reservoir_sample_is_uniform_and_repeatable(spark):
     df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END AS k")
     first = profile.reservoir_sample(df, ["k"], 200, "id", seed=3)
