@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyrow.catalog.base import PLAN, query, rounded, rows, with_base
 from tallyrow.operators import pairs
+from tallyrow.plans.features import IntFeature
 
 _USER = [f.column for f in PLAN.user_int]
 _ITEM = [f.column for f in PLAN.item_int]
@@ -97,3 +98,63 @@ _pairwise("pairwise_user_item", _UI)
 )
 def _(spark, sf):
     return rounded(pairs.label_mi(rows(spark, sf), PLAN.int_features(), _CAP), "mi")
+
+
+# As many columns as the impression tables have that this is made for: 46 of users, 14 of items.
+_WIDE = [("user_int", fid, 3 + fid % 7) for fid in range(101, 147)] + [("item_int", fid, 4 + fid % 5) for fid in range(201, 215)]
+
+
+def _wide_column(section: str, fid: int, size: int) -> str:
+    source = "user_id" if section == "user_int" else "item_id"
+    return f"({source} * {2 * fid + 1} + event_id * (event_id % {fid % 11 + 2})) % {size}"
+
+
+def _wide(spark, sf):
+    table = rows(spark, sf).selectExpr("label_type", *[f"{_wide_column(s, f, n)} AS {s}_feats_{f}" for s, f, n in _WIDE])
+    return table, [IntFeature(s, f) for s, f, _ in _WIDE]
+
+
+_WIDE_SQL = (
+    ", long AS ("
+    + " UNION ALL ".join(f"SELECT event_id, y, '{s}' AS s, {i} AS i, '{s}_feats_{f}' AS c, {_wide_column(s, f, n)} AS v FROM impressions" for i, (s, f, n) in enumerate(_WIDE))
+    + """), sizes AS (SELECT c, count(DISTINCT v) AS size FROM long GROUP BY c),
+ones AS (SELECT c, v, count(*)::DOUBLE AS n FROM long GROUP BY c, v)"""
+)
+_WIDE_STATS = """, t AS (SELECT count(*)::DOUBLE AS t FROM impressions),
+m AS (SELECT cells.a, cells.b, sum(cells.n * cells.n / (p.n * q.n)) AS ratio, sum(cells.n / t * ln(cells.n * t / (p.n * q.n))) AS mi
+  FROM cells JOIN ones p ON p.c = cells.a AND p.v = cells.va JOIN {other} q ON q.c = cells.b AND q.v = cells.vb, t GROUP BY 1, 2)"""
+
+
+@query(
+    "pairwise_wide",
+    with_base(
+        _WIDE_SQL
+        + """, cells AS (SELECT x.c AS a, y.c AS b, x.v AS va, y.v AS vb, count(*)::DOUBLE AS n FROM long x JOIN long y ON x.event_id = y.event_id
+  WHERE x.s = 'user_int' AND ((y.s = 'user_int' AND x.i < y.i) OR y.s = 'item_int') GROUP BY ALL)"""
+        + _WIDE_STATS.format(other="ones")
+        + """ SELECT a, b, p.size AS v_a, q.size AS v_b, CAST(t AS BIGINT) AS n_rows, round(sqrt(greatest(ratio - 1, 0) / greatest(least(p.size, q.size) - 1, 1)), 6) AS cramers_v,
+  round(mi, 6) AS mi FROM m JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b, t"""
+    ),
+)
+def _(spark, sf):
+    """All 1,035 pairs of user columns and 644 of a user and an item column, counted in one pass over the codes."""
+    table, features = _wide(spark, sf)
+    user, item = ([f.column for f in features if f.column.startswith(s)] for s in ("user", "item"))
+    found = pairs.user_user_pairs(user) + [(a, b) for a in user for b in item]
+    coded, sizes, _folded = pairs.encoded(table, features, _CAP)
+    return rounded(pairs.association(pairs.contingency(coded, found), sizes), "cramers_v", "mi")
+
+
+@query(
+    "label_mi_wide",
+    with_base(
+        _WIDE_SQL
+        + """, labels_ AS (SELECT 'y' AS c, y AS v, count(*)::DOUBLE AS n FROM impressions GROUP BY 2),
+cells AS (SELECT c AS a, 'y' AS b, v AS va, y AS vb, count(*)::DOUBLE AS n FROM long GROUP BY ALL)"""
+        + _WIDE_STATS.format(other="labels_")
+        + " SELECT a AS column_name, size AS v, round(mi, 6) AS mi FROM m JOIN sizes ON c = a"
+    ),
+)
+def _(spark, sf):
+    table, features = _wide(spark, sf)
+    return rounded(pairs.label_mi(table, features, _CAP), "mi")

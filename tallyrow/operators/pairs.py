@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tallyrow.plans.features import IntFeature, is_list
 from tallyrow.session import materialize
 
 PAIRS_PER_PASS = 64
+BLOCK_ROWS = 1 << 17
 
 
 def encoded(
@@ -49,12 +52,60 @@ def encoded(
     return materialize(coded), sizes, [c for c in columns if c not in tables]
 
 
-def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _named(cells: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    def name(side: int) -> Column:
+        return F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair"))
+
+    return cells.select(name(0).alias("a"), name(1).alias("b"), "code_a", "code_b", "n")
+
+
+def block_cells(codes: np.ndarray, pairs: Sequence[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """Non-empty cells (pair, code_a, code_b, n) of all pairs of rows of a block of codes, one row a column."""
+    found = []
+    width = codes.max(axis=1).astype(np.int64) + 1
+    for i, (a, b) in enumerate(pairs):
+        n = np.bincount(codes[a] * width[b] + codes[b], minlength=1)
+        cells = np.flatnonzero(n)
+        found.append((np.full(len(cells), i, np.int32), cells // width[b], cells % width[b], n[cells]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]], folded: bool = True) -> DataFrame:
     """Non-empty cells (a, b, code_a, code_b, n) of all pairs.
 
-    Every row yields one cell per pair, grouped by a pair number and the codes; of folded codes there
-    are at most cap² per pair. Pairs are handled in passes to bound the state. Names come last.
+    The codes are read once: tasks take blocks of BLOCK_ROWS rows as columns and count every pair of columns in place, so rows are not multiplied;
+    what is shuffled are the blocks' non-empty cells. ``folded`` False is for codes without a bound (exact ids), where each row yields one cell a pair.
+    Codes are whole numbers from 0, without null.
     """
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, code_a bigint, code_b bigint, n bigint")
+    if not folded:
+        return _named(_exploded_cells(df, pairs), pairs)
+    columns = sorted({c for p in pairs for c in p})
+    places = [(columns.index(a), columns.index(b)) for a, b in pairs]
+
+    def count(batches):
+        pending, held = [], 0
+
+        def cells():
+            block = np.concatenate(pending, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in block_cells(block, places)], ["pair", "code_a", "code_b", "n"])
+
+        for batch in batches:
+            pending.append(np.stack([np.asarray(batch.column(i)) for i in range(len(columns))]).astype(np.int64))
+            held += batch.num_rows
+            if held >= BLOCK_ROWS:
+                yield cells()
+                pending, held = [], 0
+        if held:
+            yield cells()
+
+    counted = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns]).mapInArrow(count, "pair int, code_a bigint, code_b bigint, n bigint")
+    return _named(counted.groupBy("pair", "code_a", "code_b").agg(F.sum("n").alias("n")), pairs)
+
+
+def _exploded_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, code_a, code_b, n), a row of ``df`` once for each pair, in passes that bound the state."""
     numbered = list(enumerate(pairs))
     passes = [numbered[i : i + PAIRS_PER_PASS] for i in range(0, len(numbered), PAIRS_PER_PASS)]
 
@@ -74,11 +125,7 @@ def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"))
         )
 
-    def name(side: int) -> Column:
-        return F.get(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair"))
-
-    whole = reduce(DataFrame.unionByName, [one(p) for p in passes])
-    return whole.select(name(0).alias("a"), name(1).alias("b"), "code_a", "code_b", "n")
+    return reduce(DataFrame.unionByName, [one(p) for p in passes])
 
 
 def association(cells: DataFrame, sizes: dict[str, int]) -> DataFrame:
@@ -125,7 +172,7 @@ def pairwise(
     """All pairs, strongest Cramér's V first; ``top`` None keeps all. ``folded``: a column was hashed."""
     used = {c for p in pairs for c in p}
     coded, sizes, folded = encoded(df, [f for f in features if f.column in used], cap)
-    measured = association(contingency(coded, pairs), sizes)
+    measured = association(contingency(coded, pairs, cap is not None), sizes)
     hashed = F.col("a").isin(folded) | F.col("b").isin(folded) if folded else F.lit(False)
     ranked = measured.withColumn("folded", hashed).orderBy(F.desc(F.round("cramers_v", 9)), "a", "b")
     return ranked if top is None else ranked.limit(top)
@@ -134,7 +181,7 @@ def pairwise(
 def label_mi(df: DataFrame, features: Sequence[IntFeature], cap: int | None = 256) -> DataFrame:
     """Mutual information of each feature with the conversion label."""
     coded, sizes, _folded = encoded(df, features, cap)
-    cells = contingency(coded, [(f.column, "label") for f in features])
+    cells = contingency(coded, [(f.column, "label") for f in features], cap is not None)
     result = association(cells, {**sizes, "label": 2})
     return result.select(F.col("a").alias("column_name"), F.col("v_a").alias("v"), "mi").orderBy(
         F.desc(F.round("mi", 9)), "column_name"

@@ -476,7 +476,7 @@ def _cramers(a, b, va, vb):
 
 
 def test_association_equals_definition_and_is_symmetric(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "PAIRS_PER_PASS", 2)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 50)
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"a": rng.integers(0, 3, 500), "b": rng.integers(0, 40, 500), "label_type": rng.choice([0, 2], 500)})
     pdf["c"] = (pdf.a * 2 + (rng.random(500) < 0.2)) % 5
@@ -495,6 +495,30 @@ def test_association_equals_definition_and_is_symmetric(spark, monkeypatch):
     assert got["a", "b"].cramers_v == pytest.approx(got["b", "a"].cramers_v)
 
 
+def test_pair_counts_read_the_codes_once(spark, monkeypatch):
+    """46 + 14 columns: 1,035 pairs inside the first, 644 between both; both ways of counting agree."""
+    rng = np.random.default_rng(2)
+    names = [f"c{i}" for i in range(60)]
+    codes = np.minimum(rng.integers(0, 40, (60, 400)), rng.integers(1, 40, (60, 1)))
+    df = spark.createDataFrame(pd.DataFrame({n: codes[i] for i, n in enumerate(names)}))
+    found = pairs.user_user_pairs(names[:46]) + [(a, b) for a in names[:46] for b in names[46:]]
+    assert len(found) == 1035 + 644
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 150)
+    counted = pairs.contingency(df, found)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Scan ") == 1
+    got = {tuple(r)[:4]: r.n for r in counted.where("a in ('c0', 'c7') or b = 'c59'").collect()}
+    want = {}
+    for a, b in found:
+        if a in ("c0", "c7") or b == "c59":
+            for x, y in zip(codes[names.index(a)], codes[names.index(b)]):
+                want[a, b, x, y] = want.get((a, b, x, y), 0) + 1
+    assert got == want
+    few = found[:9]
+    assert sorted(pairs.contingency(df, few).collect()) == sorted(pairs.contingency(df, few, folded=False).collect())
+    assert pairs.contingency(df.where("c0 < 0"), few).count() == 0 == pairs.contingency(df, []).count()
+
+
 def test_encoding_clamps_negatives_and_truncates_lists(spark):
     rows = [(-4, [0, 3, 9]), (None, [0, 0, 9]), (5, None), (7, [2, -1])]
     df = spark.createDataFrame([(a, b, 0) for a, b in rows], "user_int_feats_1 bigint, user_int_feats_2 array<bigint>, label_type int")
