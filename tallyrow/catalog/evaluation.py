@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tallyrow.catalog.base import PLAN, SEQ_SQL, per_domain, query, r6, rounded, with_scored, with_seqs
+from tallyrow.catalog.base import PLAN, SEQ_SQL, per_domain, query, r6, rounded, rows, with_base, with_scored, with_seqs
 from tallyrow.catalog.features import CLEAN_SQL, item_nonzero, user_nonzero
 from tallyrow.functions import sequences as s
 from tallyrow.functions.cleaning import binary_label
-from tallyrow.operators import assemble, metrics, scoring, splits, training, weights
+from tallyrow.operators import assemble, joint, metrics, scoring, splits, training, weights
 from tallyrow.plans.windows import TimeWindow, local_epoch
 from tallyrow.session import materialize
 from tallyrow.sources import event_log
@@ -292,3 +294,57 @@ def _(spark, sf):
     return scoring.last_predictions(scored_rows, "prob").select(
         "user_id", F.coalesce(F.col("prob").between(0.0, 1.0), F.lit(False)).alias("in_range")
     )
+
+
+# Labels that two ids explain: user_int_feats_1 is 0 to 6, item_int_feats_12 is 0 to 9.
+_CLICK = "user_int_feats_1 + item_int_feats_12 >= 9"
+_PLANTED = with_base(
+    f""", n AS (SELECT count(*) AS n FROM impressions),
+cut AS (SELECT "timestamp" AS c FROM (SELECT "timestamp", row_number() OVER (ORDER BY "timestamp") - 1 AS r FROM impressions), n
+  WHERE r = n - greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT))),
+valid AS (SELECT ({_CLICK})::INT AS click, ({_CLICK} AND item_int_feats_12 >= 7)::INT AS conversion FROM impressions, cut WHERE "timestamp" >= c),
+heads AS (SELECT 'click' AS head, click AS y FROM valid UNION ALL SELECT 'conversion', conversion FROM valid)"""
+)
+
+
+def _planted(spark, sf):
+    table = rows(spark, sf)
+    ids = ["user_int_feats_1", "user_int_feats_2", "item_int_feats_11", "item_int_feats_12"]
+    named = [F.when(F.col(c).isNotNull(), F.concat_ws("=", F.lit(c), F.col(c).cast("string"))) for c in ids]
+    click = F.expr(_CLICK)
+    planted = table.select(
+        "event_id",
+        "timestamp",
+        F.array_compact(F.array(*named)).alias("tokens"),
+        F.col("user_dense_feats_61").alias("dense"),
+        click.cast("int").alias("click"),
+        (click & (F.col("item_int_feats_12") >= 7)).cast("int").alias("conversion"),
+    )
+    stored = materialize(planted)
+    cutoff = splits.row_cutoff(stored, 0.1)
+    return stored.where(F.col("timestamp") < cutoff), stored.where(F.col("timestamp") >= cutoff)
+
+
+def _ranking(scored_rows, head):
+    found = metrics.auc(scored_rows.select(F.col(head).alias("label"), F.col(f"{head}_logit").alias("logit")))
+    return found.select(F.lit(head).alias("head"), "n", "n_pos", (F.col("auc") >= 0.95).alias("ranked"))
+
+
+@query("joint_heads", _PLANTED + " SELECT head, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, true AS ranked, true AS learned FROM heads GROUP BY 1")
+def _(spark, sf):
+    """One fit of both heads on labels that two ids explain; ``ranked``: an AUC of 0.95 or more on later rows, ``learned``: a loss below that of both constant rates."""
+    train, valid = _planted(spark, sf)
+    model = joint.fit_heads(joint.hashed_rows(train, ["click", "conversion"], 1 << 12), 1 << 12, (1.0, 2.0), most_steps=25)
+    rates = train.agg(F.avg("click"), F.avg("conversion")).first()
+    constant = sum(weight * -(p * math.log(p) + (1 - p) * math.log(1 - p)) for weight, p in zip((1.0, 2.0), rates))
+    scored_rows = materialize(joint.score_heads(valid, model, ["click_logit", "conversion_logit"]))
+    both = _ranking(scored_rows, "click").unionByName(_ranking(scored_rows, "conversion"))
+    return both.withColumn("learned", F.lit(bool(model.loss < constant)))
+
+
+@query("baseline_ranks", _PLANTED + " SELECT head, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, true AS ranked FROM heads WHERE head = 'click' GROUP BY 1")
+def _(spark, sf):
+    """The linear baseline on the same planted label."""
+    train, valid = _planted(spark, sf)
+    found = scoring.score(scoring.train_baseline(train, "click"), valid, "click_logit")
+    return _ranking(materialize(found), "click")
