@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyrow.llm import combojoin, convtrie, filteraudit
+from tallyrow.llm import combojoin, convtrie, filteraudit, maintext
 from tallyrow.llm.queries import SQL
 
 LONG = " ".join(f"w{i % 9000}" for i in range(400_000))
@@ -297,3 +297,61 @@ def test_prefix_can_always_be_extended(percent):
         for kind in (1, 2, None):
             groups = np.full(1 << 16, kind, np.uint8) if kind else draw.integers(0, 3, 1 << 16).astype(np.uint8)
             combojoin.signatures(np.sort(draw.integers(0, 1 << 63, n, dtype=np.uint64)), groups, percent)
+
+
+# --- main text of pages that are built otherwise ------------------------------------------------
+
+TEXT = "This is the text of the page, which is long enough and has the stop words that a main text has, as it is to be kept."
+MORE = "And this is the other text of the page, of which it is to be said that it has the stop words and is a part of it too."
+ITALIAN = "Il governo ha presentato ieri il nuovo programma; secondo gli esperti, nei prossimi mesi molte famiglie potranno risparmiare parecchio denaro."
+CHINESE = "昨天政府公布了新的经济计划，专家认为，未来几个月许多家庭将能够节省大量开支，同时企业也会得到更多支持。"
+NAV = '<nav><a href="/a">Home</a> <a href="/b">News</a></nav>'
+
+
+@pytest.mark.parametrize("name", ['class="social-science"', 'class="search-results-article"', 'class="share-holder"', 'id="ad-hoc-networks"', 'id="header-fixed-page"', 'class="Related-Work"'])
+def test_names_that_only_begin_like_a_mark(name):
+    assert maintext.main_text(f"<body>{NAV}<article {name}><p>{TEXT}</p></article></body>") == TEXT
+    assert maintext.main_text(f"<body>{NAV}<div {name}><h1>Title here</h1><p>{TEXT}</p></div></body>") == f"Title here\n{TEXT}"
+
+
+@pytest.mark.parametrize("name", ["comments", "comments-list", "site-footer", "siteFooter", "ad-box-2", "adBanner", "cookie-notice", "page_header", "left-sidebar", "related widget", "third-party-ads"])
+def test_names_that_are_marks(name):
+    page = f'<body><div><p>{TEXT}</p></div><div class="{name}"><p>{MORE}</p></div></body>'
+    assert maintext.main_text(page) == TEXT and maintext.main_text(page.replace("class=", "id=")) == TEXT
+
+
+def test_forms_and_wrappers_around_the_page():
+    hidden = '<input type="hidden" name="state" value="x">'
+    assert maintext.main_text(f"<body><form>{hidden}{NAV}<div><h1>Title</h1><p>{TEXT}</p><p>{MORE}</p></div></form></body>") == f"Title\n{TEXT}\n{MORE}"
+    controls = '<input name="a"><input name="b"><textarea></textarea><button>Send</button>'
+    assert maintext.main_text(f"<body><div><p>{TEXT}</p></div><form><p>{MORE}</p>{controls}</form></body>") == TEXT
+    assert maintext.main_text(f'<body><div class="widget"><main><h1>Title</h1><p>{TEXT}</p></main></div></body>') == f"Title\n{TEXT}"
+    # comments may be longer than the article
+    assert maintext.main_text(f'<article><p>{TEXT}</p></article><div class="comments"><article><p>{MORE}</p><p>{MORE}</p></article></div>') == TEXT
+    assert maintext.main_text(f"<body>{NAV}<aside><p>{TEXT}</p></aside></body>") == ""
+
+
+@pytest.mark.parametrize("text", [ITALIAN, CHINESE])
+def test_languages_without_stop_words(text):
+    other = text[::-1] + text[-1]
+    assert maintext.main_text(f"<body>{NAV}<div><p>{text}</p><p>{text}</p></div><div class=ad>{text}</div><ul><li><a href=x>{other}</a></ul></body>") == f"{text}\n{text}"
+
+
+def test_comments_and_open_links():
+    for empty in ("<!-->", "<!--->", "<!---->", "<!-- x --!>", "<!-- a > b -->"):
+        assert maintext.main_text(f"<article>{empty}<p>{TEXT}</p><!-- y --><p>{MORE}</p></article>") == f"{TEXT}\n{MORE}"
+    assert maintext.main_text(f"<article><p>{TEXT}</p><!-- open <p>{MORE}</p>") == TEXT
+    assert maintext.main_text(f'<div><p>{TEXT} <a href="x">see</p><p>{MORE}</p><p>{TEXT}</p></div>') == f"{TEXT} see\n{MORE}\n{TEXT}"
+    assert maintext.main_text(f'<div><p>{TEXT}</p><a href="x"><p>{MORE}</p></a></div>') == TEXT
+
+
+def test_main_text_of_the_pages_without_article(spark, sf_dir):
+    """The same pages with a plain div in place of the article."""
+    lost = kept = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = maintext.main_text(r.html).split("\n")
+        found = maintext.main_text(r.html.replace("<article>", '<div class="entry">').replace("</article>", "</div>")).split("\n")
+        assert set(found) - {""} <= set(want)
+        kept += sum(map(len, found))
+        lost += sum(map(len, want))
+    assert kept > 0.97 * lost
