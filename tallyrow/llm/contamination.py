@@ -1,163 +1,250 @@
-"""Benchmark decontamination with a positional inverted index of the training texts.
+"""Benchmark decontamination with a stored positional inverted index of the training texts.
 
-The index is partitioned by documents: each task cuts its texts into segments and stores, for every term of
-the benchmark, the sorted list of places where the segment has it. A test phrase starts from its rarest term in
-the segment (the shortest list; an empty one rules the phrase out), and its list is intersected with the lists of
-the other terms, rarest first, each moved by the term's offset in the phrase. What is left are exact places of
-the phrase. Nothing is shuffled, and a text is always searched whole.
+The index is written once, partitioned by documents: a row holds one segment of some consecutive texts, with its sorted terms and for each
+the sorted list of its places. It does not depend on the benchmark. The benchmark's distinct phrases are dealt by hash to blocks of a bounded number and
+searched one block at a time: a first pass adds up the sizes of the lists of the block's terms, a second one starts from each phrase's rarest
+term, and intersects its list with those of the other terms, rarest first, each moved by the term's offset in the phrase. What is
+left are exact places. A segment only looks at phrases whose rarest term it has, so phrases that do not occur cost nothing.
 
-The benchmark is broadcast in blocks of about ``BLOCK_WORDS`` words, as many as it needs, one pass over the
-documents each.
+Proximity matches have every term within reach of a place of the rarest one, in any order. Which items a phrase belongs to is joined to the hits at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrow.llm.base import register, table
-from tallyrow.llm.bytescan import ALNUM, LOWER, Words, words
+from tallyrow.llm.base import free, register, table
+from tallyrow.llm.bytescan import ALNUM, LOWER, U64, words
 from tallyrow.session import materialize
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000  # phrases in a block, one a word of the benchmark
 CANDIDATES = 1 << 21  # places intersected at once
+SPANS = "array<struct<first:bigint,behind:bigint>>"
+PHRASES = "array<struct<p1:bigint,p2:bigint>>"
 
-#: One block: sorted term hashes, and by phrase length (phrases as term numbers, their item numbers), item ids.
-Block = tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[str | None]]
 
+# --- the index ----------------------------------------------------------------------------------
 
-def _block(rows: list[tuple[str | None, np.ndarray]], window: int) -> Block:
-    terms = np.unique(np.concatenate([h for _, h in rows])) if rows else np.zeros(0, np.uint64)
-    by_length: dict[int, tuple[list, list]] = {}
-    for number, (_, hashes) in enumerate(rows):
-        numbers = np.searchsorted(terms, hashes).astype(np.int32)
-        size = min(window, len(numbers))
-        if size:
-            phrases, items = by_length.setdefault(size, ([], []))
-            spans = np.lib.stride_tricks.sliding_window_view(numbers, size)
-            phrases.append(spans)
-            items.append(np.full(len(spans), number, np.int32))
-    groups = [(np.concatenate(p), np.concatenate(i)) for _, (p, i) in sorted(by_length.items())]
-    return terms, groups, [item for item, _ in rows]
 
+def row_ids() -> list[Column]:
+    """128 bits that name a row by id and text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64("doc_id", text).alias("row1"), F.xxhash64(text, F.lit(31), "doc_id").alias("row2")]
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The phrases of the items, block by block; items without words have none."""
 
-    def hashes(batches):
+def build_index(documents: DataFrame) -> DataFrame:
+    """(segment, ids, row1, row2, first, terms, sizes, places): one row for each segment of some consecutive texts, stored.
+
+    ``ids``, ``row1`` and ``row2`` are lists with one entry a text, ``first`` has one more, the segment's number of words. ``terms`` are
+    sorted 64-bit hashes, ``sizes`` the lengths of their lists, and ``places`` the lists, one behind the other.
+    """
+
+    def scan(batches):
         for batch in batches:
-            out = [w.hashes()[w.first[i] : w.first[i + 1]].tobytes() for w in words(batch.column(1), ALNUM, LOWER) for i in range(len(w.rows))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["item_id", "hashes"])
+            for w in words(batch.column(3), ALNUM, LOWER):
+                h = w.hashes()
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                begin = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+                lists = [batch.column(i).slice(w.rows.start, len(w.rows)).to_pylist() for i in range(3)]
+                packed = [h[begin], np.diff(np.append(begin, len(h))).astype(np.int32), order.astype(np.int32)]
+                columns = [pa.array([x], pa.list_(batch.column(i).type)) for i, x in enumerate(lists)]
+                columns += [pa.array([w.first.astype(np.int64).tolist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in packed]]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "row1", "row2", "first", "terms", "sizes", "places"])
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string"))
-    items = items.mapInArrow(hashes, "item_id string, hashes binary").where(F.length("hashes") > 0)
-    total = items.agg(F.sum(F.length("hashes")) / 8).first()[0] or 0
-    parts = max(1, -(-int(total) // block_words))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(parts)) == part).collect()
-        yield _block(sorted(((r.item_id, np.frombuffer(bytes(r.hashes), np.uint64)) for r in rows), key=lambda r: (r[0] or "", r[1].tobytes())), window)
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"ids array<{id_type}>, row1 array<bigint>, row2 array<bigint>, first array<bigint>, terms binary, sizes binary, places binary"
+    rows = documents.select("doc_id", *row_ids(), F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(scan, schema).withColumn("segment", F.monotonically_increasing_id()))
 
 
 class Segment:
-    """Positional postings of the benchmark's terms in some consecutive texts."""
-
-    def __init__(self, w: Words, terms: np.ndarray) -> None:
-        hashes = w.hashes()
-        at = np.searchsorted(terms, hashes)
-        at[at == len(terms)] = 0
-        self.term = np.where(terms[at] == hashes, at, -1).astype(np.int32) if len(terms) else np.full(len(hashes), -1, np.int32)
-        places = np.flatnonzero(self.term >= 0)
-        order = np.argsort(self.term[places], kind="stable")
-        self.places = places[order]
-        self.sizes = np.bincount(self.term[places], minlength=len(terms))
+    """The stored lists of one segment."""
+
+    def __init__(self, first: list[int], terms: bytes, sizes: bytes, places: bytes) -> None:
+        self.first = np.asarray(first)
+        self.terms = np.frombuffer(terms, U64)
+        self.sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.text = np.repeat(np.arange(len(w.rows)), np.diff(w.first))
-
-    def phrase_places(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase number, first word) of every exact occurrence."""
-        length = phrases.shape[1]
-        sizes = self.sizes[phrases]
-        alive = np.flatnonzero(sizes.min(axis=1) > 0)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        heavy = np.cumsum(sizes[alive].min(axis=1))
-        for cut in np.split(alive, np.searchsorted(heavy, np.arange(CANDIDATES, heavy[-1], CANDIDATES))) if len(alive) else []:
-            if not len(cut):
-                continue
-            rarest_first = np.argsort(sizes[cut], axis=1, kind="stable")
-            offset = rarest_first[:, 0]
-            anchor = phrases[cut, offset]
-            times = self.sizes[anchor]
-            which = np.repeat(np.arange(len(cut)), times)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-            start = self.places[self.begin[anchor][which] + nth] - offset[which]
-            keep = (start >= 0) & (start + length <= len(self.term))
-            which, start = which[keep], start[keep]
-            keep = self.text[start] == self.text[start + length - 1]
-            which, start = which[keep], start[keep]
-            for j in range(1, length):
-                offset = rarest_first[which, j]
-                keep = self.term[start + offset] == phrases[cut[which], offset]
-                which, start = which[keep], start[keep]
-            found.append((cut[which], start))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    def near_places(self, phrases: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase number, place of its rarest term) where every term has a place of the same text in reach.
-
-        In reach is at most the phrase's length plus ``slop`` words away from the rarest term, in any order.
-        """
-        reach = phrases.shape[1] + slop
-        numbers, places = [], []
-        for number in np.flatnonzero(self.sizes[phrases].min(axis=1) > 0):
-            terms = phrases[number][np.argsort(self.sizes[phrases[number]], kind="stable")]
-            lists = [self.places[self.begin[t] : self.begin[t] + self.sizes[t]] for t in terms]
-            at = lists[0]
-            for other in lists[1:]:
-                after = np.searchsorted(other, at)
-                ok = np.zeros(len(at), bool)
-                for near in (np.minimum(after, len(other) - 1), np.maximum(after - 1, 0)):
-                    ok |= (np.abs(other[near] - at) < reach) & (self.text[other[near]] == self.text[at])
-                at = at[ok]
-            numbers.append(np.full(len(at), number))
-            places.append(at)
-        if not numbers:
+        self.places = np.frombuffer(places, np.int32).astype(np.int64)
+        self.n = int(self.first[-1])
+        # term and place in one sorted number
+        self.keys = np.repeat(np.arange(len(self.terms)), self.sizes) * max(self.n, 1) + self.places
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, place, side="right") - 1
+
+    def present(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers in ``terms``, own numbers) of the terms that both have; both are sorted."""
+        if not len(terms) or not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(numbers), np.concatenate(places)
-
-
-def search(column: pa.Array, block: Block, slop: int | None = None):
-    """For each text: (number of words, hit words as (first, behind) pairs, item numbers, near item numbers)."""
-    terms, groups, _ = block
-    for w in words(column, ALNUM, LOWER):
-        segment = Segment(w, terms)
-        spans, of_text, items, near = [], [], [], []
-        for phrases, owner in groups:
-            number, start = segment.phrase_places(phrases)
-            spans.append(np.stack([start, start + phrases.shape[1]], axis=1))
-            of_text.append(segment.text[start])
-            items.append(owner[number])
-            if slop is not None:
-                number, place = segment.near_places(phrases, slop)
-                near.append(np.stack([segment.text[place], owner[number]], axis=1))
-        spans = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-        of_text = np.concatenate(of_text) if of_text else np.zeros(0, np.int64)
-        items = np.concatenate(items) if items else np.zeros(0, np.int32)
-        near = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
-        hits = {}
-        for i in np.unique(of_text):
-            own = of_text == i
-            hits[i] = (spans[own] - w.first[i], np.unique(items[own]))
-        empty = (np.zeros((0, 2), np.int64), np.zeros(0, np.int32))
-        for i in range(len(w.rows)):
-            own_spans, own_items = hits.get(i, empty)
-            yield int(w.first[i + 1] - w.first[i]), own_spans, own_items, np.unique(near[near[:, 0] == i, 1])
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        own = np.flatnonzero(terms[at] == self.terms)
+        return at[own], own
+
+    def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the term's list has a place from ``low`` to ``high``."""
+        base = term * max(self.n, 1)
+        at = np.searchsorted(self.keys, base + low)
+        return (low <= high) & (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= base + high)
+
+
+class Group(NamedTuple):
+    """Phrases of one length: rows of term numbers of the block, their offsets rarest first, sorted by the rarest term."""
+
+    phrases: np.ndarray
+    offsets: np.ndarray
+    anchors: np.ndarray
+    keys: np.ndarray
+
+
+class Block(NamedTuple):
+    terms: np.ndarray
+    groups: list[Group]
+
+
+def _candidates(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(phrase numbers, their terms' numbers in the segment, place of the rarest term) of phrases whose terms the segment all has, some at a time."""
+    known, own = both
+    low, high = np.searchsorted(group.anchors, known), np.searchsorted(group.anchors, known, side="right")
+    times = high - low
+    alive = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+    if not len(alive):
+        return
+    terms = group.phrases[alive]
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    whole = (known[at] == terms).all(axis=1)
+    alive, local = alive[whole], own[at[whole]]
+    if not len(alive):
+        return
+    rare = local[np.arange(len(alive)), group.offsets[alive, 0]]
+    heavy = np.cumsum(segment.sizes[rare])
+    for cut in np.split(np.arange(len(alive)), np.searchsorted(heavy, np.arange(CANDIDATES, heavy[-1], CANDIDATES))):
+        if len(cut):
+            n = segment.sizes[rare[cut]]
+            which = np.repeat(cut, n)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            yield alive[which], local[which], segment.places[segment.begin[rare[which]] + nth]
+
+
+def exact_places(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase number, first word) of every exact occurrence inside one text."""
+    length, found = group.phrases.shape[1], []
+    for number, local, place in _candidates(segment, group, both):
+        start = place - group.offsets[number, 0]
+        ok = (start >= 0) & (start + length <= segment.n)
+        number, local, start = number[ok], local[ok], start[ok]
+        ok = segment.text_of(start) == segment.text_of(start + length - 1)
+        number, local, start = number[ok], local[ok], start[ok]
+        for j in range(1, length):
+            offset = group.offsets[number, j]
+            there = start + offset
+            ok = segment.holds(local[np.arange(len(number)), offset], there, there)
+            number, local, start = number[ok], local[ok], start[ok]
+        found.append((number, start))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def near_places(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase number, place of its rarest term) where every term has a place of the same text in reach.
+
+    In reach is less than the phrase's length plus ``slop`` words away from the rarest term, in any order.
+    """
+    length, found = group.phrases.shape[1], []
+    reach = length + slop - 1
+    for number, local, place in _candidates(segment, group, both):
+        text = segment.text_of(place)
+        low, high = np.maximum(place - reach, segment.first[text]), np.minimum(place + reach, segment.first[text + 1] - 1)
+        for j in range(1, length):
+            ok = segment.holds(local[np.arange(len(number)), group.offsets[number, j]], low, high)
+            number, local, place, low, high = number[ok], local[ok], place[ok], low[ok], high[ok]
+        found.append((number, place))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+# --- the benchmark ------------------------------------------------------------------------------
+
+
+def item_phrases(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, phrase, p1, p2): the distinct phrases of each distinct item as bytes of word hashes; stored."""
+
+    def scan(batches):
+        for batch in batches:
+            for w in words(batch.column(1), ALNUM, LOWER):
+                h = w.hashes()
+                for i in range(len(w.rows)):
+                    own = h[w.first[i] : w.first[i + 1]]
+                    size = min(window, len(own))
+                    if not size:
+                        continue
+                    spans = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, size))
+                    item = batch.column(0).slice(w.rows.start + i, 1)
+                    for a in range(0, len(spans), 1 << 14):
+                        part = spans[a : a + (1 << 14)]
+                        ids = pa.array(item.to_pylist() * len(part), pa.string())
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([p.tobytes() for p in part], pa.binary())], ["item_id", "phrase"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    phrases = items.mapInArrow(scan, "item_id string, phrase binary").distinct()
+    return materialize(phrases.select("*", F.xxhash64("phrase").alias("p1"), F.xxhash64("phrase", F.lit(37)).alias("p2")))
+
+
+def _block(rows: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(sorted terms, by length (phrases as term numbers, keys)) of some distinct phrases."""
+    raw = rows.column("phrase").to_pylist()
+    keys = np.column_stack([np.asarray(rows.column(c)) for c in ("p1", "p2")])
+    size = np.array([len(p) // 8 for p in raw])
+    terms = np.unique(np.frombuffer(b"".join(raw), U64))
+    groups = []
+    for s in np.unique(size):
+        chosen = np.flatnonzero(size == s)
+        hashes = np.frombuffer(b"".join(raw[i] for i in chosen), U64).reshape(-1, s)
+        groups.append((np.searchsorted(terms, hashes), keys[chosen]))
+    return terms, groups
+
+
+def _ranked(terms: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray) -> Block:
+    """The block's phrases that can occur, with their terms in the order of the whole index' list sizes."""
+    out = []
+    for phrases, keys in groups:
+        there = (totals[phrases] > 0).all(axis=1)
+        phrases, keys = phrases[there], keys[there]
+        offsets = np.argsort(totals[phrases], axis=1, kind="stable")
+        anchors = phrases[np.arange(len(phrases)), offsets[:, 0]]
+        order = np.argsort(anchors, kind="stable")
+        out.append(Group(phrases[order], offsets[order], anchors[order], keys[order]))
+    return Block(terms, out)
+
+
+def _list_sizes(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Sizes of the terms' lists in the whole index."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+
+    def scan(batches):
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for own, sizes in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                held = np.frombuffer(own, U64)
+                at = np.minimum(np.searchsorted(shared.value, held), len(shared.value) - 1)
+                ok = shared.value[at] == held
+                total[at[ok]] += np.frombuffer(sizes, np.int32)[ok]
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["at", "n"])
+
+    found = index.select("terms", "sizes").mapInArrow(scan, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(len(terms), np.int64)
+    totals[np.asarray(found.column(0))] = np.asarray(found.column(1))
+    return totals
+
+
+# --- search -------------------------------------------------------------------------------------
 
 
 def covered(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -171,77 +258,127 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def segment_hits(segment: Segment, block: Block, slop: int | None) -> Iterator[tuple[int, list, list, list]]:
+    """(text, spans, keys of exact phrases, keys of near ones) of the segment's texts with a hit."""
+    both = segment.present(block.terms)
+    exact, near = [], []
+    for group in block.groups:
+        number, start = exact_places(segment, group, both)
+        length = np.full(len(start), group.phrases.shape[1])
+        exact.append(np.column_stack([segment.text_of(start), start, start + length, group.keys[number]]))
+        if slop is not None:
+            number, place = near_places(segment, group, both, slop)
+            near.append(np.column_stack([segment.text_of(place), group.keys[number]]))
+    exact = np.concatenate(exact) if exact else np.zeros((0, 5), np.int64)
+    near = np.concatenate(near) if near else np.zeros((0, 3), np.int64)
+    for text in np.union1d(exact[:, 0], near[:, 0]):
+        own = exact[exact[:, 0] == text]
+        spans = covered(own[:, 1:3] - segment.first[text])
+        yield int(text), spans, np.unique(own[:, 3:], axis=0).tolist(), np.unique(near[near[:, 0] == text][:, 1:], axis=0).tolist()
+
+
+def _hits(index: DataFrame, block: Block, slop: int | None) -> DataFrame:
+    """(segment, at, spans, exact, near) of the texts with a hit; ``at`` is the text's place in its segment."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
+    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))
+    phrases_type = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())]))
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for name, first, terms, sizes, places in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                rows += [(name, *hit) for hit in segment_hits(Segment(first, terms, sizes, places), shared.value, slop)]
+            pairs = lambda k, a, b: [[{a: x, b: y} for x, y in r[k]] for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array(pairs(2, "first", "behind"), spans_type),
+                    pa.array(pairs(3, "p1", "p2"), phrases_type),
+                    pa.array(pairs(4, "p1", "p2"), phrases_type),
+                ],
+                ["segment", "at", "spans", "exact", "near"],
+            )
+
+    return index.select("segment", "first", "terms", "sizes", "places").mapInArrow(scan, f"segment bigint, at int, spans {SPANS}, exact {PHRASES}, near {PHRASES}")
+
+
+def all_hits(index: DataFrame, phrases: DataFrame, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The hits of all blocks, each searched and written before the next one is fetched; a text has a row for each block that hits it."""
+    distinct = materialize(phrases.select("phrase", "p1", "p2").distinct())
+    parts = max(1, -(-distinct.count() // block_words))
+    found = []
+    for part in range(parts):
+        rows = distinct.where(F.pmod("p2", F.lit(parts)) == part).toArrow()
+        if not rows.num_rows:
+            continue
+        terms, groups = _block(rows)
+        found.append(materialize(_hits(index, _ranked(terms, groups, _list_sizes(index, terms)), slop)))
+    if not found:
+        return index.sparkSession.createDataFrame([], f"segment bigint, at int, spans {SPANS}, exact {PHRASES}, near {PHRASES}")
+    result = found[0]
+    for more in found[1:]:
+        result = result.union(more)
+    return result
+
+
+def _merged_spans(hits: DataFrame) -> DataFrame:
+    """(segment, at, spans) with the spans of all blocks put together."""
+    grouped = hits.groupBy("segment", "at").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    ordered = F.array_sort("spans")
+
+    def add(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["behind"], span["behind"]).alias("behind"))
+        apart = (F.size(done) == 0) | (span["first"] > F.try_element_at(done, F.lit(-1))["behind"])
+        return F.when(apart, F.concat(done, F.array(span))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)))
+
+    return grouped.select("segment", "at", F.when(F.size("spans") < 2, F.col("spans")).otherwise(F.aggregate(ordered, F.array().cast(SPANS), add)).alias("spans"))
+
+
+def _items_of(hits: DataFrame, phrases: DataFrame, column: str, name: str) -> DataFrame:
+    """(segment, at, name): the sorted ids of the items with one of the phrases; items without id are not listed."""
+    asked = hits.select("segment", "at", F.explode(column).alias("p")).select("segment", "at", "p.p1", "p.p2")
+    listed = asked.join(phrases.where("item_id is not null").select("p1", "p2", "item_id"), ["p1", "p2"])
+    return listed.groupBy("segment", "at").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+
+
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans, item_ids, near_item_ids) for every row.
 
     ``spans`` are the disjoint runs of hit words as (first, behind), ``item_ids`` the sorted distinct ids of items
-    with an exact phrase, ``near_item_ids`` those with a proximity match when ``slop`` is given. A null or empty
+    with an exact phrase, ``near_item_ids`` those with a proximity match when ``slop`` is given: every word of a phrase less than its
+    length plus ``slop`` words away from one of its word that is rarest in all documents (the first of those in the phrase). A null or empty
     text has no words and no hits, and a null or empty item no phrase; an item without id can hit, but is not
     listed. Repeated rows are searched one by one; items that repeat count once. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    spans_type = "array<struct<first:bigint,behind:bigint>>"
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(spans_type).alias("spans"), *(F.array().cast("array<string>").alias(n) for n in ("item_ids", "near_item_ids")))
-    schema = f"doc_id {id_type}, text string, n_words bigint, spans {spans_type}, item_ids array<string>, near_item_ids array<string>"
-
-    def passing(shared):
-        def scan(batches):
-            block = shared.value
-            ids = block[2]
-
-            def merged(old, new):
-                return sorted({*old, *(ids[i] for i in new if ids[i] is not None)})
-
-            for batch in batches:
-                done = list(search(batch.column(1), block, slop))
-                names = batch.schema.names
-                old = {n: batch.column(names.index(n)).to_pylist() for n in ("spans", "item_ids", "near_item_ids")}
-                spans = [
-                    [{"first": a, "behind": b} for a, b in covered(np.array([*((s["first"], s["behind"]) for s in before), *map(tuple, found.tolist())]).reshape(-1, 2))]
-                    if before or len(found)
-                    else []
-                    for before, (_, found, _, _) in zip(old["spans"], done)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array([d[0] for d in done], pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))),
-                        pa.array([merged(a, d[2]) for a, d in zip(old["item_ids"], done)], pa.list_(pa.string())),
-                        pa.array([merged(a, d[3]) for a, d in zip(old["near_item_ids"], done)], pa.list_(pa.string())),
-                    ],
-                    names,
-                )
-
-        return scan
-
-    blocks = list(benchmark_blocks(benchmark, window, block_words))
-    for i, block in enumerate(blocks):
-        rows = rows.mapInArrow(passing(spark.sparkContext.broadcast(block)), schema)
-        if i + 1 < len(blocks):
-            rows = materialize(rows)
-    return rows.drop("text")
+    index = build_index(documents)
+    phrases = item_phrases(benchmark, window)
+    hits = all_hits(index, phrases, slop, block_words)
+    sizes = F.expr("transform(ids, (x, i) -> first[i + 1] - first[i])")
+    texts = index.select("segment", F.posexplode(F.arrays_zip(F.col("ids").alias("doc_id"), sizes.alias("n_words"))).alias("at", "x"))
+    texts = texts.select("segment", "at", "x.doc_id", "x.n_words")
+    key = ["segment", "at"]
+    parts = [_merged_spans(hits), _items_of(hits, phrases, "exact", "item_ids"), _items_of(hits, phrases, "near", "near_item_ids")]
+    for part in parts:
+        texts = texts.join(materialize(part), key, "left")
+    empty = {"spans": SPANS, "item_ids": "array<string>", "near_item_ids": "array<string>"}
+    return texts.select("doc_id", "n_words", *[F.coalesce(n, F.array().cast(kind)).alias(n) for n, kind in empty.items()])
 
 
 def clean_rows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows, unchanged, that hold no phrase of the benchmark."""
-    spark = documents.sparkSession
-    at = documents.columns.index("text")
-
-    def passing(shared):
-        def scan(batches):
-            for batch in batches:
-                yield batch.filter(pa.array([not len(spans) for _, spans, _, _ in search(batch.column(at).cast(pa.string()), shared.value)], pa.bool_()))
-
-        return scan
-
-    for block in benchmark_blocks(benchmark, window, block_words):
-        documents = documents.mapInArrow(passing(spark.sparkContext.broadcast(block)), documents.schema)
-    return documents
+    """The rows, unchanged, that hold no phrase of the benchmark.
 
+    Texts and items are read as in :func:`find_matches`: rows with null or empty texts stay, a row that repeats stays or goes as a whole, and
+    rows with null ids are judged by their texts. Columns may have any names. Empty documents, or a benchmark without words, change nothing.
+    """
+    index = build_index(documents)
+    hits = all_hits(index, item_phrases(benchmark, window), None, block_words).select("segment", "at").distinct()
+    named = index.select("segment", F.posexplode(F.arrays_zip("row1", "row2")).alias("at", "x")).select("segment", "at", "x.row1", "x.row2")
+    one, two = free(documents, "__row1"), free(documents, "__row2")
+    gone = materialize(named.join(hits, ["segment", "at"]).select(F.col("row1").alias(one), F.col("row2").alias(two)).distinct())
+    first, second = row_ids()
+    return documents.withColumns({one: first, two: second}).join(gone, [one, two], "left_anti").select(*documents.columns)
 
 
 SQL = """
@@ -280,3 +417,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@register("benchmark_proximity")
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose phrases a document has word by word, and those whose words it has close together, with five words in between at most."""
+    found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=5)
+    return found.select("doc_id", "n_words", *[F.array_join(c, ",").alias(c) for c in ("item_ids", "near_item_ids")])
