@@ -25,7 +25,7 @@ from tallyrow.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # phrases in a block, one a word of the benchmark
-CANDIDATES = 1 << 21  # places intersected at once
+CANDIDATES = 1 << 18  # places intersected at once
 SPANS = "array<struct<first:bigint,behind:bigint>>"
 PHRASES = "array<struct<p1:bigint,p2:bigint>>"
 
@@ -110,8 +110,11 @@ class Block(NamedTuple):
     groups: list[Group]
 
 
-def _candidates(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(phrase numbers, their terms' numbers in the segment, place of the rarest term) of phrases whose terms the segment all has, some at a time."""
+def _candidates(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(phrase numbers, their terms' numbers in the segment, the phrase and the place of each of the rarest term's places), some places at a time.
+
+    Only phrases whose terms the segment all has are among them.
+    """
     known, own = both
     low, high = np.searchsorted(group.anchors, known), np.searchsorted(group.anchors, known, side="right")
     times = high - low
@@ -131,24 +134,25 @@ def _candidates(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarr
             n = segment.sizes[rare[cut]]
             which = np.repeat(cut, n)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            yield alive[which], local[which], segment.places[segment.begin[rare[which]] + nth]
+            yield alive, local, which, segment.places[segment.begin[rare[which]] + nth]
 
 
 def exact_places(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(phrase number, first word) of every exact occurrence inside one text."""
     length, found = group.phrases.shape[1], []
-    for number, local, place in _candidates(segment, group, both):
-        start = place - group.offsets[number, 0]
+    for alive, local, which, place in _candidates(segment, group, both):
+        offsets = group.offsets[alive]
+        start = place - offsets[which, 0]
         ok = (start >= 0) & (start + length <= segment.n)
-        number, local, start = number[ok], local[ok], start[ok]
+        which, start = which[ok], start[ok]
         ok = segment.text_of(start) == segment.text_of(start + length - 1)
-        number, local, start = number[ok], local[ok], start[ok]
+        which, start = which[ok], start[ok]
         for j in range(1, length):
-            offset = group.offsets[number, j]
+            offset = offsets[which, j]
             there = start + offset
-            ok = segment.holds(local[np.arange(len(number)), offset], there, there)
-            number, local, start = number[ok], local[ok], start[ok]
-        found.append((number, start))
+            ok = segment.holds(local[which, offset], there, there)
+            which, start = which[ok], start[ok]
+        found.append((alive[which], start))
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
 
 
@@ -159,13 +163,13 @@ def near_places(segment: Segment, group: Group, both: tuple[np.ndarray, np.ndarr
     """
     length, found = group.phrases.shape[1], []
     reach = length + slop - 1
-    for number, local, place in _candidates(segment, group, both):
+    for alive, local, which, place in _candidates(segment, group, both):
         text = segment.text_of(place)
         low, high = np.maximum(place - reach, segment.first[text]), np.minimum(place + reach, segment.first[text + 1] - 1)
         for j in range(1, length):
-            ok = segment.holds(local[np.arange(len(number)), group.offsets[number, j]], low, high)
-            number, local, place, low, high = number[ok], local[ok], place[ok], low[ok], high[ok]
-        found.append((number, place))
+            ok = segment.holds(local[which, group.offsets[alive[which], j]], low, high)
+            which, place, low, high = which[ok], place[ok], low[ok], high[ok]
+        found.append((alive[which], place))
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
 
 
