@@ -25,6 +25,7 @@ from tallyrow.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # phrases in a block, one a word of the benchmark
+SEGMENT_WORDS = 1 << 15  # a segment ends with the text that reaches them
 CANDIDATES = 1 << 18  # places intersected at once
 SPANS = "array<struct<first:bigint,behind:bigint>>"
 PHRASES = "array<struct<p1:bigint,p2:bigint>>"
@@ -49,15 +50,22 @@ def build_index(documents: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for w in words(batch.column(3), ALNUM, LOWER):
-                h = w.hashes()
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                begin = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
-                lists = [batch.column(i).slice(w.rows.start, len(w.rows)).to_pylist() for i in range(3)]
-                packed = [h[begin], np.diff(np.append(begin, len(h))).astype(np.int32), order.astype(np.int32)]
-                columns = [pa.array([x], pa.list_(batch.column(i).type)) for i, x in enumerate(lists)]
-                columns += [pa.array([w.first.astype(np.int64).tolist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in packed]]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "row1", "row2", "first", "terms", "sizes", "places"])
+                hashes = w.hashes()
+                a = 0
+                while a < len(w.rows):
+                    b = int(np.searchsorted(w.first, w.first[a] + SEGMENT_WORDS, side="left"))
+                    b = min(max(b, a + 1), len(w.rows))
+                    h = hashes[w.first[a] : w.first[b]]
+                    order = np.argsort(h, kind="stable")
+                    h = h[order]
+                    begin = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+                    lists = [batch.column(i).slice(w.rows.start + a, b - a) for i in range(3)]
+                    packed = [h[begin], np.diff(np.append(begin, len(h))).astype(np.int32), order.astype(np.int32)]
+                    columns = [pa.array([x.to_pylist()], pa.list_(x.type)) for x in lists]
+                    columns += [pa.array([(w.first[a : b + 1] - w.first[a]).tolist()], pa.list_(pa.int64()))]
+                    columns += [pa.array([x.tobytes()], pa.binary()) for x in packed]
+                    yield pa.RecordBatch.from_arrays(columns, ["ids", "row1", "row2", "first", "terms", "sizes", "places"])
+                    a = b
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     schema = f"ids array<{id_type}>, row1 array<bigint>, row2 array<bigint>, first array<bigint>, terms binary, sizes binary, places binary"
