@@ -2,12 +2,12 @@
 
 A classifier trained on a labelled table gives every document its posteriors over the domains. A document with n tokens
 and posteriors p adds rate * n * p to the expected token totals of the domains. The rates, none below ``least``, minimise
-the squared distance of the totals from their targets and, with a weight too small to matter for it, their own distance
-from 1. So rates are max(least, 1 + p . x) for a vector x with one number a domain, and x is fitted by gradient steps that
-are preconditioned by the sum of n p p' over the rows off the bound; a domain moves as fast however rare it is. Each step
-is one distributed sum over (n, p) for some lengths of the step, of which the best is taken; no rate is stored.
+the squared distance of the totals from their targets by projected gradient descent: r <- max(least, r - p . g), where g is the residual of
+each domain over the sum of n p ** 2 of that domain, so a domain moves as fast however rare it is, times a step
+length that the domains' overlap bounds, with momentum that is dropped when it points uphill. All rates start at 1. Each round is one distributed sum over
+(n, p): a document's rate is folded anew from the few numbers of the rounds so far, so no rate is stored or shuffled.
 
-The fit ends at the targets, or where the gradient vanishes because the bound or the posteriors keep them out of reach.
+The fit ends at the targets, or where projected steps move nothing because the bound or the posteriors keep the targets out of reach.
 What is lacking then is part of the fit and is logged.
 """
 
@@ -31,25 +31,33 @@ from tallyrow.session import materialize
 
 #: Target shares of the corpus' tokens by language, for the registered query and the pipeline.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
-MOST_STEPS = 80
+MOST_STEPS = 200
 CLOSE = 1e-4  # the targets are met at a largest residual of this share of all tokens
-FLAT = 1e-7  # the gradient vanishes below this share of all tokens
-PULL = 1e-10  # weight of the rates' distance from 1, in all tokens
-LENGTHS = 4.0 ** -np.arange(12)
+STILL = 1e-8  # a projected step that moves less than this share of all tokens is none
 
 log = logging.getLogger(__name__)
 
 
 class Fit(NamedTuple):
     least: float
-    x: np.ndarray
+    #: rounds x (momentum, one number a domain), from which rates are folded
+    steps: np.ndarray
     #: what each domain has above its target, as a share of all tokens aimed at
     residual: np.ndarray
 
 
+def folded(p: np.ndarray, least: float, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p`` after the steps, and before the last one."""
+    now = before = np.full(len(p), max(1.0, least))
+    for momentum, *g in steps:
+        ahead = now + momentum * (now - before)
+        now, before = np.maximum(least, ahead - p @ np.asarray(g)), now
+    return now, before
+
+
 def rates(p: np.ndarray, fit: Fit) -> np.ndarray:
     """Rates of documents with posteriors ``p``."""
-    return np.maximum(fit.least, 1 + p @ fit.x)
+    return folded(p, fit.least, fit.steps)[0]
 
 
 def _profiles(documents: DataFrame, model: subwords.Model) -> DataFrame:
@@ -76,29 +84,25 @@ def _unpacked(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, k)
 
 
-def _totals(profiles: DataFrame, xs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of the vectors: a potential whose gradient are the domain totals, these totals, and the sum of n p p' off the bound."""
-    count, k = xs.shape
+def _totals(profiles: DataFrame, steps: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over all rows after the steps: the domains' totals, the same one step ahead with full momentum, n p p', and the tokens the last step moved."""
 
     def scan(batches):
-        out = np.zeros((count, 1 + k + k * k))
+        out = np.zeros(2 * k + k * k + 1)
         for batch in batches:
-            p = _unpacked(batch.column(1), k)
-            n = np.asarray(batch.column(0)).astype(np.float64)
-            for i, x in enumerate(xs):
-                free_rate = 1 + p @ x
-                rate = np.maximum(least, free_rate)
-                out[i, 0] += n @ (rate * free_rate - rate * rate / 2)
-                out[i, 1 : 1 + k] += (rate * n) @ p
-                out[i, 1 + k :] += ((p * (n * (free_rate >= least))[:, None]).T @ p).ravel()
-        yield pa.RecordBatch.from_pydict({"at": pa.array(range(out.size), pa.int32()), "x": pa.array(out.ravel())})
+            p, n = _unpacked(batch.column(1), k), np.asarray(batch.column(0)).astype(np.float64)
+            now, before = folded(p, least, steps)
+            out[:k] += (now * n) @ p
+            out[k : 2 * k] += ((now - before) * n) @ p
+            out[2 * k : -1] += ((p * n[:, None]).T @ p).ravel()
+            out[-1] += n @ np.abs(now - before)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(out.size), pa.int32()), "x": pa.array(out)})
 
     rows = profiles.select("n_tokens", "p").mapInArrow(scan, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(count * (1 + k + k * k))
+    out = np.zeros(2 * k + k * k + 1)
     for r in rows:
         out[r["at"]] = r["x"]
-    out = out.reshape(count, -1)
-    return out[:, 0], out[:, 1 : 1 + k], out[:, 1 + k :].reshape(count, k, k)
+    return out[:k], out[k : 2 * k], out[2 * k : -1].reshape(k, k), float(out[-1])
 
 
 def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_steps: int = MOST_STEPS) -> Fit:
@@ -107,27 +111,33 @@ def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_
     The total aimed at is the smallest at which no domain has to shrink, so with ``least`` 1 every document stays.
     """
     k = len(shares)
-    x = np.zeros(k)
-    potential, total, second = (out[0] for out in _totals(profiles, x[None], least))
+    steps = np.zeros((0, 1 + k))
+    total, drift, second, _ = _totals(profiles, steps, least, k)
     tokens = total.sum()
     if not tokens:
-        return Fit(least, x, np.zeros(k))
+        return Fit(least, steps, np.zeros(k))
     wanted = shares > 0
     target = shares * (total[wanted] / shares[wanted]).max() if wanted.any() else total
     scale = target.sum() or 1.0
-    pull = PULL * scale
+    own = np.maximum(np.diag(second), 1e-300)
+    # the largest share of a step that overlapping domains cannot overshoot
+    length = 1 / np.linalg.eigvalsh(second / np.sqrt(np.outer(own, own))).max()
+    speed = 1.0
     for _ in range(most_steps):
-        gradient = total - target + pull * x
-        if np.abs(total - target).max() < CLOSE * scale or np.abs(gradient).max() < FLAT * scale:
+        if np.abs(total - target).max() < CLOSE * scale:
             break
-        tried = x - LENGTHS[:, None] * np.linalg.solve(second + pull * np.eye(k), gradient)
-        potentials, totals, seconds = _totals(profiles, tried, least)
-        potentials += pull / 2 * (tried * tried).sum(axis=1) - tried @ target
-        best = int(potentials.argmin())
-        if potentials[best] >= potential:
+        grown = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        momentum = (speed - 1) / grown
+        ahead = total + momentum * drift
+        # momentum that leads away from the targets is dropped
+        if momentum and ((total - target) * drift / own).sum() > 0:
+            momentum, grown, ahead = 0.0, 1.0, total
+        speed = grown
+        steps = np.vstack([steps, np.concatenate([[momentum], length * (ahead - target) / own])])
+        total, drift, _, moved = _totals(profiles, steps, least, k)
+        if moved < STILL * scale:
             break
-        x, potential, total, second = tried[best], potentials[best], totals[best], seconds[best]
-    return Fit(least, x, (total - target) / scale)
+    return Fit(least, steps, (total - target) / scale)
 
 
 def fit_mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 1.0) -> tuple[list[str], subwords.Model, Fit, DataFrame]:
@@ -174,11 +184,15 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: Mapping[str
 
 
 def mixed(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, least: float = 1.0) -> DataFrame:
-    """The rows with their ``rate`` and ``copies``; a row with no copies is dropped (none is with ``least`` 1)."""
+    """The rows with their ``rate`` and ``copies``; a row with no copies is dropped (none is with ``least`` 1).
+
+    Columns of these names, in upper or lower case, are replaced. Null and empty texts, repeated rows and null ids are treated as
+    in :func:`mixing_rates`; other columns stay as they are. No rows, no result.
+    """
     spark = documents.sparkSession
     _, model, fit, _ = fit_mix(documents, labelled, targets, least)
     shared = spark.sparkContext.broadcast(model)
-    names = [n for n in documents.columns if n not in ("rate", "copies")]
+    names = [n for n in documents.columns if n.lower() not in ("rate", "copies")]
     documents = documents.select(*names)
     at = names.index("text")
 
@@ -193,9 +207,14 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float
     return documents.withColumn(free(documents, "__u"), _draw(documents)).mapInArrow(scan, schema)
 
 
+def by_column(documents: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """A labelled table: a column, such as the source, of the documents that ``labels`` covers."""
+    return labels.select("doc_id").distinct().join(documents.select("doc_id", F.col(column).alias("domain")), "doc_id")
+
+
 def by_language(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table of the query and the pipeline: languages of the documents that ``labels`` covers."""
-    return labels.select("doc_id").distinct().join(documents.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    """The labelled table of the query and the pipeline."""
+    return by_column(documents, labels, "lang")
 
 
 @register("op5_mixing")

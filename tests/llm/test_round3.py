@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyrow.llm import combojoin, contamination, convtrie, filteraudit, maintext
+from tallyrow.llm import combojoin, contamination, convtrie, filteraudit, maintext, mixing, quality, subwords
 from tallyrow.llm.queries import SQL
 
 LONG = " ".join(f"w{i % 9000}" for i in range(400_000))
@@ -443,3 +443,100 @@ def test_clean_rows_of_empty_tables(spark):
     kept = contamination.clean_rows(docs, hit)
     assert kept.columns == docs.columns and ordered(kept.collect()) == ordered([(None, None, "y"), (2, "", "z")])
     assert contamination.clean_rows(docs.where("false"), hit).count() == 0
+
+
+# --- mixing and training ------------------------------------------------------------------------
+
+
+def plain_rates(p, n, target, least, steps):
+    """Projected gradient with fixed rates in memory, without momentum."""
+    rate = np.ones(len(p))
+    second = (p * n[:, None]).T @ p
+    own = np.diag(second)
+    length = 1 / np.linalg.eigvalsh(second / np.sqrt(np.outer(own, own))).max()
+    for _ in range(steps):
+        rate = np.maximum(least, rate - p @ (length * ((rate * n) @ p - target) / own))
+    return rate
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_mixing_equals_a_plain_projected_gradient(spark, least):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3, 0.5, 0.2], 2000)
+    n = rng.integers(0, 300, 2000)
+    shares = np.array([0.5, 0.3, 0.2])
+    profiles = spark.createDataFrame([(int(a), b.tobytes()) for a, b in zip(n, p)], "n_tokens long, p binary")
+    fit = mixing.fit_rates(profiles, shares, least)
+    total = (n[:, None] * p).sum(axis=0)
+    target = shares * (total / shares).max()
+    rate = plain_rates(p, n, target, least, 20_000)
+    found = mixing.rates(p, fit)
+    assert found.min() >= least - 1e-12
+    # with the bound the posteriors overlap so much that the plain fit needs thousands of rounds
+    assert np.abs(((found - rate) * n) @ p).max() < (5e-3 if least else 2e-4) * target.sum()
+    assert np.abs((rate * n) @ p - target).max() < 1e-3 * target.sum()
+
+
+def test_mixing_of_a_domain_of_one_in_ten_thousand(spark):
+    own = np.arange(30_000) % 3
+    own[:3] = 3
+    p = np.eye(4)[own] * 0.98 + 0.005
+    shares = np.array([0.2, 0.4, 0.2, 0.2])
+    profiles = spark.createDataFrame([(100, r.tobytes()) for r in p], "n_tokens long, p binary")
+    fit = mixing.fit_rates(profiles, shares, 0.0)
+    total = mixing.rates(p, fit) @ p
+    assert np.abs(total / total.sum() - shares).max() < 1e-3 and len(fit.steps) <= mixing.MOST_STEPS
+
+
+def test_mixed_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(i, "the of and", "x", 1.0, "k") for i in range(12)], "doc_id long, text string, Rate string, copies double, p string")
+    labelled = spark.createDataFrame([(i, "en") for i in range(12)], "doc_id long, domain string")
+    out = mixing.mixed(docs, labelled, {"en": 1.0})
+    assert out.columns == ["doc_id", "text", "p", "rate", "copies"] and out.select("Rate", "copies").distinct().count() == 1
+    assert mixing.mixed(docs.where("false"), labelled, {"en": 1.0}).count() == 0
+
+
+def test_one_row_for_a_labelled_id_that_repeats(spark, monkeypatch):
+    monkeypatch.setattr(subwords, "LEAST_STEPS", 50)
+    seen = []
+    plain = subwords.materialize
+    monkeypatch.setattr(subwords, "materialize", lambda df: seen.append(plain(df)) or seen[-1])
+    docs = spark.range(10_000).selectExpr("1L AS doc_id", "'the same text' AS text").union(spark.createDataFrame([(2, "another one"), (3, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    models = [subwords.fit(docs, labels, "quality", (0, 1)), subwords.fit(docs.distinct(), labels, "quality", (0, 1))]
+    assert [t.count() for t in seen] == [3, 3]
+    assert all((a == b).all() for a, b in zip(*models))
+
+
+def test_model_does_not_depend_on_what_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(subwords, "LEAST_STEPS", 60)
+    docs = spark.createDataFrame([(i, f"w{i % 7} junk *** {i}" if i % 2 else f"a plain text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = []
+    for held in (subwords.HELD_BYTES, 0):
+        monkeypatch.setattr(subwords, "HELD_BYTES", held)
+        models.append(subwords.fit(docs, labels, "quality", (0, 1)))
+    assert all((a == b).all() for a, b in zip(*models))
+
+
+def test_grams_stay_inside_words(spark):
+    import pyarrow as pa
+
+    def grams(text):
+        (w,) = subwords.words(pa.array([text]), subwords.SPACED)
+        return sorted(x for b, s, e in list(subwords._features(w))[1 if len(w.starts) < 2 else 2 :] for x in b[s[0] : e[0]])
+
+    assert grams("über den") == sorted(grams("über") + grams("den"))
+    assert len(grams("漢字漢字漢")) == 3 + 2 and grams("ab cd") == [] and len(grams("\n abc ")) == 1
+    (w,) = subwords.words(pa.array(["abcd", "ef", "", "ghi"]), subwords.SPACED)
+    kinds = list(subwords._features(w))[2:]
+    assert [[int(e - s) for s, e in zip(k[1], k[2])] for k in kinds] == [[2, 0, 0, 1], [1, 0, 0, 0]]
+
+
+def test_quality_on_held_out_rows(spark, sf_dir):
+    """Accuracy on the rows that were not learnt from, of the larger test table."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels)).where("held_out").join(labels, "doc_id")
+    right, n = scored.selectExpr("avg(cast(predicted = quality AS double))", "count(*)").first()
+    assert n > 50 and right >= 0.9
