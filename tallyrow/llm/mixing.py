@@ -33,6 +33,7 @@ from tallyrow.session import materialize
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 MOST_STEPS = 200
 CLOSE = 1e-4  # the targets are met at a largest residual of this share of all tokens
+MOST_ROOM = 1.5
 STILL = 1e-8  # a projected step that moves less than this share of all tokens is none
 
 log = logging.getLogger(__name__)
@@ -108,7 +109,8 @@ def _totals(profiles: DataFrame, steps: np.ndarray, least: float, k: int) -> tup
 def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_steps: int = MOST_STEPS) -> Fit:
     """The rates with totals in the given shares, or as near to them as can be.
 
-    The total aimed at is the smallest at which no domain has to shrink, so with ``least`` 1 every document stays.
+    The total aimed at is the smallest at which no domain has to shrink, so with ``least`` 1 every document stays. It is raised, by a factor of MOST_ROOM at
+    most, to where the domains' overlap makes no document's best rate fall below ``least``.
     """
     k = len(shares)
     steps = np.zeros((0, 1 + k))
@@ -118,6 +120,10 @@ def fit_rates(profiles: DataFrame, shares: np.ndarray, least: float = 0.0, most_
         return Fit(least, steps, np.zeros(k))
     wanted = shares > 0
     target = shares * (total[wanted] / shares[wanted]).max() if wanted.any() else total
+    # best rates are p . (room * growth) as long as none falls below the bound
+    growth = np.linalg.lstsq(second, target, rcond=None)[0].min()
+    room = least / growth if growth > 0 else 1.0
+    target = target * (room if 1 < room <= MOST_ROOM else 1.0)
     scale = target.sum() or 1.0
     own = np.maximum(np.diag(second), 1e-300)
     # the largest share of a step that overlapping domains cannot overshoot
