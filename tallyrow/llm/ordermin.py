@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.base import register, table
+from tallyrow.session import materialize
 
 SIZE = 32
-MOST_BLOCKS = 4096
+MOST_BLOCKS = 1 << 20
 ROWS_PER_BLOCK = 500
+BLOCKS_PER_TASK, MOST_TASKS = 4, 1 << 15
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,30 +91,45 @@ def printed(signature: Column | str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "-")
 
 
+def range_ends(keys: DataFrame, blocks: int) -> DataFrame:
+    """One row (ends): the greatest key of each of ``blocks`` ranges with about as many keys, sorted. Spark samples the keys for them."""
+    dealt = keys.repartitionByRange(blocks, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.max("key").alias("end"))
+    return dealt.agg(F.array_sort(F.collect_set("end")).alias("ends"))
+
+
 def with_next(rows: DataFrame, order: str, tie: Column, names: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Adds next_<name> for the row that follows in descending ``order`` (nulls last; after the last row, the first).
+    """Adds next_<name> for the row that follows in descending order of ``order`` and ``tie`` (nulls last; after the last row, the first).
 
-    The ids are cut into at most ``MOST_BLOCKS`` ranges of equal width. The row that heads a range is also copied to
-    the range before it, behind that range's rows, so every window holds the follower of its last row: rows are shuffled
-    once and no window spans the table. The heads, one row a range, are broadcast.
+    The rows are cut into ranges by sampled quantiles of (order, tie), a range for each ``rows_per_block`` rows, so neither outlying nor null or repeated ids
+    make one large. The ranges' ends, MOST_BLOCKS at most, are the only thing broadcast; a binary search finds a row's range. The row
+    at the end of a range is also copied to the range above it, behind that range's rows, so every window holds the follower of its last row: rows are
+    shuffled once, to a number of tasks that grows with them, and no window spans the table. ``order`` may have any type that can be sorted.
     """
-    stats = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
-    blocks = min(MOST_BLOCKS, -(-stats["n"] // rows_per_block)) or 1
-    low = stats["low"] if stats["low"] is not None else 0
-    high = stats["high"] if stats["high"] is not None else 0
-    width = (high - low) // blocks + 1
-    block = F.coalesce(F.floor((F.col(order).cast("decimal(20,0)") - low) / width).cast("bigint"), F.lit(-1))
-    heads = rows.select(block.alias("block"), F.col(order).alias("head")).groupBy("block").agg(F.max("head").alias("head")).collect()
-    heads = sorted(heads, key=lambda r: -r["block"])
-    follows = [(h["head"], heads[i - 1]["block"]) for i, h in enumerate(heads)]
-    id_type = rows.schema[order].dataType.simpleString()
-    follows = F.broadcast(rows.sparkSession.createDataFrame(follows, f"__head {id_type}, __before bigint"))
-    dealt = rows.join(follows, F.col(order).eqNullSafe(F.col("__head")), "left")
-    places = F.array(F.struct(block.alias("block"), F.lit(0).alias("copy")), F.struct(F.col("__before").alias("block"), F.lit(1).alias("copy")))
-    dealt = dealt.withColumn("__place", F.explode(F.filter(places, lambda p: p["block"].isNotNull()))).withColumn("__tie", tie)
-    along = Window.partitionBy("__place.block").orderBy("__place.copy", F.col(order).desc_nulls_last(), "__tie")
-    dealt = dealt.withColumns({f"next_{n}": F.lead(n).over(along) for n in names})
-    return dealt.where("__place.copy = 0").drop("__head", "__before", "__place", "__tie")
+    spark = rows.sparkSession
+    keyed = rows.withColumn("__key", F.struct(F.col(order).alias("id"), tie.alias("tie")))
+    n = rows.count()
+    blocks = min(MOST_BLOCKS, -(-n // rows_per_block)) or 1
+    # a single row; joined on a number that is 0 in every row
+    zero = F.pmod("__key.tie", F.lit(1))
+    ends = materialize(range_ends(keyed.select(F.col("__key").alias("key")), blocks)).select("ends", F.lit(0).alias("__zero"))
+    held = keyed.withColumn("__one", zero).join(F.broadcast(ends), F.col("__one") == F.col("__zero"))
+    # ends below the key, halving the step
+    held = held.withColumn("__block", F.lit(0))
+    step = 1 << (blocks.bit_length() - 1)
+    while step:
+        probe = F.get(F.col("ends"), F.col("__block") + F.lit(step - 1))
+        held = held.withColumn("__block", F.col("__block") + F.when(probe < F.col("__key"), F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    ended = F.col("__key") == F.get("ends", F.col("__block"))
+    above = F.pmod(F.col("__block") + 1, F.size("ends"))
+    own = F.struct(F.col("__block").alias("block"), F.lit(0).alias("copy"))
+    copy = F.struct(above.alias("block"), F.lit(1).alias("copy"))
+    dealt = held.withColumn("__place", F.explode(F.when(ended, F.array(own, copy)).otherwise(F.array(own))))
+    dealt = dealt.select(*rows.columns, "__key", F.col("__place.block").alias("__at"), F.col("__place.copy").alias("__copy"))
+    tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // BLOCKS_PER_TASK), MOST_TASKS)
+    along = Window.partitionBy("__at").orderBy("__copy", F.col("__key").desc())
+    dealt = dealt.repartition(tasks, "__at").withColumns({f"next_{x}": F.lead(x).over(along) for x in names})
+    return dealt.where("__copy = 0").drop("__key", "__at", "__copy")
 
 
 def fingerprint(documents: DataFrame, size: int = SIZE) -> DataFrame:
@@ -120,8 +137,8 @@ def fingerprint(documents: DataFrame, size: int = SIZE) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document's, in descending order of the id, from the last one to the first. A null text is empty; an empty text has the
-    signature of one empty word. Rows with one id follow each other by a hash of their texts, null ids come last; a single
-    row is its own successor. Equal texts have equal fingerprints. Other columns are ignored.
+    signature of one empty word. Rows with one id follow each other by a hash of their texts, from the greatest down, null ids come last; a single
+    row is its own successor. Ids may be numbers or strings. Equal texts have equal fingerprints. Other columns are ignored.
     """
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = add_signature(rows, "text", "signature", size)

@@ -10,8 +10,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallyrow.llm import combojoin, contamination, convtrie, filteraudit, maintext, mixing, quality, subwords
+from tallyrow.llm import combojoin, contamination, convtrie, filteraudit, maintext, mixing, ordermin, quality, subwords
 from tallyrow.llm.queries import SQL
 
 LONG = " ".join(f"w{i % 9000}" for i in range(400_000))
@@ -540,3 +541,31 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     scored = quality.score_quality(docs, quality.fit_quality(docs, labels)).where("held_out").join(labels, "doc_id")
     right, n = scored.selectExpr("avg(cast(predicted = quality AS double))", "count(*)").first()
     assert n > 50 and right >= 0.9
+
+
+# --- the next document --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["outlying", "null", "repeated", "string", "one", "none"])
+def test_next_document_in_even_ranges(spark, kind):
+    draw = random.Random(7)
+    ids = {
+        "outlying": [*range(300), 10**15, -(10**17)],
+        "null": [None] * 200 + list(range(100)),
+        "repeated": [5] * 200 + list(range(60)),
+        "string": [f"k{draw.randrange(10**6)}" for _ in range(300)] + [None],
+        "one": [3],
+        "none": [],
+    }[kind]
+    rows = [(i, f"text {k} of {draw.random()}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"id {'string' if kind == 'string' else 'long'}, text string")
+    tie = F.xxhash64("text")
+    hashes = {r.text: r.h for r in df.select("text", tie.alias("h")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, hashes[r[1]]) if kind != "string" else (r[0] is not None, r[0] or "", hashes[r[1]]), reverse=True)
+    want = [(*r, line[(k + 1) % len(line)][1]) for k, r in enumerate(line)]
+    found = ordermin.with_next(df, "id", tie, ["text"], rows_per_block=10)
+    assert ordered(found.collect()) == ordered(want)
+    if len(rows) > 100:
+        ends = ordermin.range_ends(df.select(F.struct("id", tie.alias("tie")).alias("key")), 30).first().ends
+        assert len(ends) > 15
+
