@@ -109,13 +109,13 @@ def with_next(rows: DataFrame, order: str, tie: Column, names: list[str], rows_p
     keyed = rows.withColumn("__key", F.struct(F.col(order).alias("id"), tie.alias("tie")))
     n = rows.count()
     blocks = min(MOST_BLOCKS, -(-n // rows_per_block)) or 1
-    # a single row; joined on a number that is 0 in every row
-    zero = F.pmod("__key.tie", F.lit(1))
-    ends = materialize(range_ends(keyed.select(F.col("__key").alias("key")), blocks)).select("ends", F.lit(0).alias("__zero"))
-    held = keyed.withColumn("__one", zero).join(F.broadcast(ends), F.col("__one") == F.col("__zero"))
+    # a single list, held by two rows of which each row finds one by an equi-join
+    ends = materialize(range_ends(keyed.select(F.col("__key").alias("key")), blocks).select("ends", F.explode(F.array(F.lit(0), F.lit(1))).alias("__half")))
+    most = ends.agg(F.max(F.size("ends"))).first()[0] or 1
+    held = keyed.withColumn("__side", F.pmod("__key.tie", F.lit(2)).cast("int")).join(F.broadcast(ends), F.col("__side") == F.col("__half"))
     # ends below the key, halving the step
     held = held.withColumn("__block", F.lit(0))
-    step = 1 << (blocks.bit_length() - 1)
+    step = 1 << (most.bit_length() - 1)
     while step:
         probe = F.get(F.col("ends"), F.col("__block") + F.lit(step - 1))
         held = held.withColumn("__block", F.col("__block") + F.when(probe < F.col("__key"), F.lit(step)).otherwise(F.lit(0)))
