@@ -1,9 +1,10 @@
 """License scan with ordered signature rules.
 
 Hand-written patterns of license names are put into sentence forms, which gives some hundreds of rules, ordered
-by priority: an explicit identifier or grant comes before a bare name. The rules are matched on a copy of the text in
-which white space, with the comment leaders around a line break, is one blank; places are given in the text itself. A
-rule is only tried on a copy that holds one of its keywords, which are derived from its pattern. Of all detections, one whose interval lies inside the interval of a detection of higher priority
+by priority: an explicit identifier or grant comes before a bare name. Others know whole license texts by their opening
+sentences; of an expression such as "MIT OR Apache-2.0" each operand is found by a rule of its own. The rules are
+matched on a copy of the text in which white space, with the comment leaders around a line break, is one blank; places
+are given in the text itself. A rule is only tried on a copy that holds one of its keywords, which are derived from its pattern. Of all detections, one whose interval lies inside the interval of a detection of higher priority
 (or of the same priority and longer) is dropped; what stays gives labels and score.
 
 The base phrases are searched apart from the rules, word by word, and their labels always stay.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 from re import _constants as sre, _parser
 
 import numpy as np
@@ -78,14 +80,42 @@ NAMES = {
     "cc-by-nc-sa-4.0": (r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike) 4\.0", r"cc-by-nc-sa-4\.0", r"creativecommons\.org/licenses/by-nc-sa/4\.0"),
     "cc-by-nc-nd-4.0": (r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderiv(?:ative)?s) 4\.0", r"cc-by-nc-nd-4\.0", r"creativecommons\.org/licenses/by-nc-nd/4\.0"),
 }
-#: form: (pattern around {name}, {spdx} or {url}, priority, score)
+_UNDER = r"under (?:the (?:terms of the )?)?"
+_OR = r"\)? (?:and/or|and|or) \(?"
+#: form: (pattern around {name}, {spelled} (the name in its spellings), {spdx}, {url} or {any} identifier, priority, score)
 FORMS = {
-    "identifier": (r"spdx-license-identifier: {{0,4}}{spdx}(?![a-z0-9.-])", 60, 1.0),
-    "grant": (r"(?:dual-|re)?licen[cs]ed (?:to you )?under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95),
-    "release": (r"(?:released|distributed|published|provided|(?:made )?available) under (?:the (?:terms of the )?)?{name}(?![a-z0-9-])", 50, 0.95),
+    "identifier": (r"spdx-license-identifier: {{0,4}}\(?{spdx}(?![a-z0-9.-])", 60, 1.0),
+    "field": (r"(?<![a-z0-9-])licen[cs]e[\"']? ?[:=] ?(?:\{{ ?text = )?[\"'(]?{spdx}(?![a-z0-9.-])", 55, 0.95),
+    "grant": (rf"(?:dual-|re)?licen[cs]ed (?:to you )?{_UNDER}(?:{{name}}|{{spdx}})(?![a-z0-9-])", 50, 0.95),
+    "release": (rf"(?:released|distributed|published|provided|(?:made )?available) {_UNDER}(?:{{name}}|{{spdx}})(?![a-z0-9-])", 50, 0.95),
     "address": (r"{url}(?![a-z0-9-])", 40, 0.9),
-    "name": (r"(?<![a-z0-9-]){name}(?![a-z0-9-])", 30, 0.8),
+    "first operand": (rf"(?<![a-z0-9.+-]){{spdx}}{_OR}{{any}}(?![a-z0-9.-])", 35, 0.9),
+    "second operand": (rf"(?<![a-z0-9.+-]){{any}}{_OR}{{spdx}}(?![a-z0-9.-])", 35, 0.9),
+    "name": (r"(?<![a-z0-9-]){spelled}(?![a-z0-9-])", 30, 0.8),
 }
+#: Opening sentences and other fixed wording of license texts, (label, pattern): priority 45, score 0.9.
+TEXTS = (
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl-1.0", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl-1.1", r"permission is hereby granted, free of charge, to any person obtaining a copy of the font software"),
+    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("0bsd", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
+    ("bsd", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", r"nor the names of (?:its|their|the|any) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-1.1", r"the end-user documentation included with the redistribution, if any, must include the following acknowledge?ment"),
+    ("apache-2.0", r"terms and conditions for use, reproduction, and distribution"),
+    ("gpl", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("agpl-3.0", r"the gnu affero general public license is a free, copyleft license for software and other kinds of works"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", r"this software is provided ['\"]?as-is['\"]?, without any express or implied warranty\. in no event will the authors be held liable"),
+    ("wtfpl", r"you just do what the fuck you want to"),
+    ("ms-pl", r"if you use the software, you accept this license\. if you do not accept the license, do not use the software"),
+    ("psf-2.0", r"this license agreement is between the python software foundation"),
+    ("cc0-1.0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed\. preamble this license establishes the terms"),
+)
 #: label: (pattern, priority, score)
 SINGLE = {
     "gpl": (r"(?:gnu general public license|gnu gpl)", 20, 0.6),
@@ -102,6 +132,13 @@ SINGLE = {
     "copyright": (r"(?:copyright (?:\(c\)|©) ?[0-9]{4}|\(c\) copyright)", 10, 0.3),
     "reserved": (r"all rights reserved", 10, 0.5),
 }
+#: family: (label without the number, pattern of its name, numbers); they are named with the version apart from the name.
+GNU = (
+    ("gpl", r"general public license", (r"1", r"2", r"3")),
+    ("lgpl", r"(?:library|lesser) general public license", (r"2", r"2\.1", r"3")),
+    ("agpl", r"affero general public license", (r"3",)),
+    ("gfdl", r"free documentation license", (r"1\.2", r"1\.3")),
+)
 _BREAK = rb"[\r\n][\t\x0b\x0c ]*+(?://[/!]*+|/\*++!?|\*++(?!/)|#++!?|;++|--++|%++|[>|][>| \t]*+|\"++|'|!++|<!--++|\.\.(?=[\t ])|(?:dnl|rem)(?=[\t ]))"
 _EDGE = rb"[*#|](?<=[\t ].)[*#|]*+(?=[\t\x0b\x0c ]*+[\r\n])"
 #: Comment leaders at the begin of a line, and the right edge of a box of them.
@@ -120,8 +157,15 @@ class Signature:
 
 
 def keywords(items) -> frozenset[bytes]:
-    """Texts of which every match of a parsed pattern holds at least one; empty if there are none."""
+    """Texts of which every match of a parsed pattern holds at least one; empty if there are none.
+
+    Of several such sets the one with the longest shortest text, then the one with the fewest texts.
+    """
     best: frozenset[bytes] = frozenset()
+
+    def worth(option: frozenset[bytes]) -> tuple[int, int]:
+        return min(map(len, option), default=0), -len(option)
+
     run = b""
     for op, value in [*items, (None, None)]:
         found: frozenset[bytes] = frozenset()
@@ -136,19 +180,38 @@ def keywords(items) -> frozenset[bytes]:
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
             found = keywords(value[2])
         for option in (frozenset([run] if run else []), found):
-            if min(map(len, option), default=0) > min(map(len, best), default=0):
+            if option and (not best or worth(option) > worth(best)):
                 best = option
         run = b""
     return best
 
 
+def spelled(name: str) -> str:
+    """A name's pattern with "license", "licence" and "licensed" as its last word."""
+    return re.sub(r"(?<!un)license(?!s)", "licen[cs]ed?", name)
+
+
+@cache
 def signatures() -> tuple[Signature, ...]:
     """All rules, highest priority first."""
-    rules = [(label, p, priority, score) for label, (p, priority, score) in SINGLE.items()]
+    rules = [(label, spelled(p), priority, score) for label, (p, priority, score) in SINGLE.items()]
+    rules += [(label, p, 45, 0.9) for label, p in TEXTS]
+    for family, name, numbers in GNU:
+        for number in numbers:
+            label = f"{family}-{number}".replace("\\", "") + ("" if "." in number else ".0")
+            version = number + ("" if "." in number else r"(?:\.0)?") + r"(?![a-z0-9-]|\.[0-9])"
+            rules.append((label, rf"(?:gnu )?{name} as published by the free software foundation[,;:]? (?:either )?version {version}", 45, 0.9))
+            rules.append((label, rf"(?:version |v\.? ?){version} of the (?:gnu )?{name}", 45, 0.9))
+    identifiers = "|".join(spdx for _, spdx, _ in NAMES.values())
     for label, (name, spdx, url) in NAMES.items():
+        parts = {"name": f"(?:{name})", "spelled": f"(?:{spelled(name)})", "spdx": f"(?:{spdx})", "url": f"(?:{url})", "any": f"(?:{identifiers})"}
         for pattern, priority, score in FORMS.values():
-            rules.append((label, pattern.format(name=f"(?:{name})", spdx=f"(?:{spdx})", url=f"(?:{url})"), priority, score))
-    out = [Signature(label, p.encode(), priority, score, keywords(_parser.parse(p.encode()))) for label, p, priority, score in rules]
+            rules.append((label, pattern.format(**parts), priority, score))
+    same: dict[frozenset[bytes], frozenset[bytes]] = {}  # equal sets are one object, which makes looking them up cheap
+    out = []
+    for label, p, priority, score in rules:
+        keys = keywords(_parser.parse(p.encode()))
+        out.append(Signature(label, p.encode(), priority, score, same.setdefault(keys, keys)))
     return tuple(sorted(out, key=lambda s: (-s.priority, s.label, s.pattern)))
 
 
