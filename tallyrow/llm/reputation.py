@@ -166,7 +166,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # bounds per distinct host first, so that the pages are joined once
     known = with_levels(rows.select(key_of(F.col("host")).alias("key")).distinct(), suffixes)
-    known = (
+    # written, so that the join's both sides come straight from a scan or shuffle and a hot host's pages can be split
+    known = materialize(
         known.join(hosts.select("key", F.col("bound").alias("by_host")), "key", "left")
         .join(domains.select("domain", F.col("bound").alias("by_domain")), "domain", "left")
         .join(by_suffix.select("suffix", F.col("bound").alias("by_suffix")), "suffix", "left")
