@@ -21,7 +21,16 @@ from tallyrow.functions import dense
 from tallyrow.functions import sequences as s
 from tallyrow.operators import assemble, profile, training, weights
 from tallyrow.operators.ranks import exact_quantiles
-from tallyrow.plans.fixed import COUNT_FID, TIME_BUCKET_EDGES, TIME_OF_DAY_FID
+from tallyrow.plans.fixed import (
+    COUNT_FID,
+    HOUR_ONLY_FID,
+    LOCAL_TIME_FID,
+    LOCAL_TIME_V2_FID,
+    MISSING_FID,
+    SEQ_STATS_FID,
+    TIME_BUCKET_EDGES,
+    TIME_OF_DAY_FID,
+)
 from tallyrow.plans.windows import local_day_number
 
 def _ts():
@@ -418,3 +427,59 @@ def _(spark, sf):
         F.size("user_dense").cast("bigint").alias("dense_len"),
         F.round(F.aggregate("user_dense", F.lit(0.0), lambda a, x: a + x), 5).alias("dense_sum"),
     )
+
+
+_SEQ_CELLS = ["ln(1 + least(len({item}), {L}))", "ln(1 + " + _SPREAD + ")"]
+#: (fid, cells) of the whole dense vector in its order; fid 0 stands for the sample weight.
+_SLOTS = [
+    (61, ["user_dense_feats_61[1]", "user_dense_feats_61[2]", "0"]),
+    (62, ["ln(1 + greatest(user_dense_feats_62[1], 0))"]),
+    (
+        COUNT_FID,
+        ["ln(1 + (r1 <> 0)::INT + (r2 <> 0)::INT + (u3a <> 0)::INT + (u3b <> 0)::INT)", "ln(1 + (i11 <> 0)::INT + (i12 <> 0)::INT)"],
+    ),
+    (SEQ_STATS_FID, per_domain("\n".join(_SEQ_CELLS), "\n").split("\n")),
+    (TIME_OF_DAY_FID, _TOD_SQL),
+    (LOCAL_TIME_FID, _LOCAL_SQL),
+    (LOCAL_TIME_V2_FID, _V2_SQL),
+    (HOUR_ONLY_FID, _TOD_SQL[:2]),
+    (MISSING_FID, ["m1", "m2"]),
+    (0, [_HOURS]),
+]
+
+
+@query(
+    "training_table_slots",
+    with_seqs(
+        CLEAN_SQL
+        + _CLOCK_SQL
+        + """, routed AS (SELECT * EXCLUDE (user_dense_feats_61, user_dense_feats_62), coalesce(user_int_feats_1, 0) <= 0 AS m1, coalesce(user_int_feats_2, 0) <= 0 AS m2,
+  CASE WHEN coalesce(user_int_feats_1, 0) <= 0 THEN 7 WHEN user_int_feats_1 < 8 THEN user_int_feats_1 ELSE 0 END AS r1,
+  CASE WHEN coalesce(user_int_feats_2, 0) <= 0 THEN 250 WHEN user_int_feats_2 < 251 THEN user_int_feats_2 ELSE 0 END AS r2
+  FROM seqs),
+wide AS (SELECT routed.*, h, d, lh, ld, lday, u3a, u3b, i11, i12, cleaned.user_dense_feats_61, cleaned.user_dense_feats_62
+  FROM routed JOIN cleaned USING (event_id) JOIN clock USING (event_id))
+SELECT event_id, CAST(fid AS BIGINT) AS fid, CAST(pos AS BIGINT) AS pos, round(v, 6) AS v FROM wide, LATERAL (VALUES """
+        + ", ".join(f"({fid}, {i}, CAST({cell} AS DOUBLE))" for fid, cells in _SLOTS for i, cell in enumerate(cells))
+        + ") x(fid, pos, v)"
+    ),
+)
+def _(spark, sf):
+    options = training.TableOptions(
+        routed_user=[1, 2, 3],
+        count_features=True,
+        seq_stats=True,
+        time_of_day=True,
+        local_time=True,
+        local_time_v2=(_TARGET, _FESTIVAL),
+        hour_only=True,
+    )
+    weight = weights.hours(_ts(), 9, 14, 2.0)
+    table, layout = training.training_table(seqs(spark, sf), PLAN, "event_id", options, weight)
+    pieces = [(fid, F.slice("user_dense", offset + 1, length)) for fid, offset, length in layout]
+    pieces.append((0, F.array("sample_weight")))
+    parts = F.array(*[F.struct(F.lit(fid).cast("bigint").alias("fid"), values.alias("values")) for fid, values in pieces])
+    split = table.select("event_id", F.explode(parts).alias("p"))
+    return split.select("event_id", "p.fid", F.posexplode("p.values").alias("pos", "v")).select(
+        "event_id", "fid", F.col("pos").cast("bigint").alias("pos"), r6("v").alias("v")
+    )
