@@ -19,6 +19,7 @@ from tallyrow.plans.features import (
     SequenceDomain,
     column_roles,
 )
+from tallyrow.plans.fixed import DEFAULT_SEQ_LEN
 
 # Thresholds of the derived catalog flags.
 TIMESTAMP_FLOOR = 1_000_000_000
@@ -161,7 +162,7 @@ def plan_from_catalog(catalog: DataFrame, max_lens: dict[str, int] | None = None
             if row.is_ts:
                 ts_fids[row.section] = row.fid
     domains = tuple(
-        SequenceDomain(name.removeprefix("seq_"), vocabs[name], ts_fids.get(name), lens.get(name, 256))
+        SequenceDomain(name.removeprefix("seq_"), vocabs[name], ts_fids.get(name), lens.get(name, DEFAULT_SEQ_LEN))
         for name in sorted(vocabs)
     )
     return FeaturePlan(tuple(ints[USER_INT]), tuple(ints[ITEM_INT]), tuple(dense), domains)

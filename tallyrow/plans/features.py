@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyrow.plans.fixed import DEFAULT_SEQ_LEN
+
 USER_INT = "user_int"
 ITEM_INT = "item_int"
 USER_DENSE = "user_dense"
@@ -53,7 +55,7 @@ class SequenceDomain:
     letter: str
     vocabs: dict[int, int]
     ts_fid: int | None = None
-    max_len: int = 256
+    max_len: int = DEFAULT_SEQ_LEN
 
     @property
     def name(self) -> str:
@@ -108,7 +110,7 @@ class FeaturePlan:
                     letter,
                     {int(fid): int(vocab) for fid, vocab in entry["features"]},
                     entry.get("ts_fid"),
-                    lens.get(name, 256),
+                    lens.get(name, DEFAULT_SEQ_LEN),
                 )
             )
         return cls(
