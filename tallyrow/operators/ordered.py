@@ -141,20 +141,25 @@ def top_per_key(
     rank: str | None = None,
     salts: int | None = None,
 ) -> DataFrame:
-    """First ``k`` rows per key, in two rounds: a hot key is first cut down in many parts.
+    """First ``k`` rows per key: a hot key is first cut down in many parts.
 
-    The number of parts is chosen so that the second round gets at most some million rows
-    of a key.
+    The number of parts is chosen so that the last round gets at most some million rows of a key. Where ``k`` is
+    too large for that, parts are merged by fours in rounds of their own, and the last one gets at most 4 k rows.
     """
     salts = salts or max(16, min(4096, SECOND_ROUND_ROWS // max(k, 1)))
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).alias("_salt")
-    parts = W.partitionBy(*keys, "_salt").orderBy(*order)
-    kept = (
-        df.select("*", salt)
-        .withColumn("_rank", F.row_number().over(parts))
-        .where(F.col("_rank") <= k)
-        .drop("_rank", "_salt")
-    )
+    rounds = [salts]
+    while rounds[-1] > 4 and rounds[-1] * k > SECOND_ROUND_ROWS:
+        rounds.append(-(-rounds[-1] // 4))
+    kept = df
+    for parts in rounds:
+        salt = F.pmod(F.xxhash64(*spread_on), F.lit(parts)).alias("_salt")
+        inside = W.partitionBy(*keys, "_salt").orderBy(*order)
+        kept = (
+            kept.select("*", salt)
+            .withColumn("_rank", F.row_number().over(inside))
+            .where(F.col("_rank") <= k)
+            .drop("_rank", "_salt")
+        )
     whole = W.partitionBy(*keys).orderBy(*order)
     name = rank or "_rank"
     ranked = kept.withColumn(name, F.row_number().over(whole).cast("bigint")).where(F.col(name) <= k)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrow.operators import assemble, blocks, history, metrics, pairs, profile, runlog, schema, scoring, splits, weights
+from tallyrow.operators import assemble, blocks, history, metrics, ordered, pairs, profile, runlog, schema, scoring, splits, weights
 from tallyrow.operators.ordered import number_rows, preceding_lists, running, top_per_key
 from tallyrow.operators.ranks import exact_quantiles, narrow_quantiles, select_ranks
 from tallyrow.operators.windows import scoreboard_decision, window_scoreboard
@@ -713,3 +713,15 @@ def test_last_prediction_and_bounds(spark):
     df = spark.createDataFrame(rows, "user_id string, timestamp bigint, event_id bigint, p double")
     got = {r.user_id: r.prob for r in scoring.last_predictions(df, "p").collect()}
     assert got == {"u": 0.0, "v": 1.0, "w": 0.0}
+
+
+@pytest.mark.parametrize("bound, windows", [(4_000_000, 2), (100, 3)])
+def test_top_per_key_merges_parts_when_k_is_large(spark, monkeypatch, bound, windows):
+    monkeypatch.setattr(ordered, "SECOND_ROUND_ROWS", bound)
+    rows = [(None if i % 3 == 0 else i % 2, (i * 7919) % 1009, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, v long, id long")
+    top = ordered.top_per_key(df, ["k"], [F.col("v"), F.col("id")], 20, ["id"], rank="r", salts=16)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(" Window [" in line or line.startswith("Window [") for line in plan.splitlines()) == windows
+    want = [(k, v, i, r) for key in (None, 0, 1) for r, (k, v, i) in enumerate(sorted((x for x in rows if x[0] == key), key=lambda x: x[1:])[:20], 1)]
+    assert sorted(map(tuple, top.collect()), key=repr) == sorted(want, key=repr)
