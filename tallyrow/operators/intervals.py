@@ -23,6 +23,16 @@ def binned_windows(windows: DataFrame, start: str = "start", end: str = "end") -
     return leveled.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
+def checked_windows(windows: DataFrame, start: str = "start", end: str = "end") -> tuple[DataFrame, int | None, int | None]:
+    """The windows, stored once, their first start and their last end; one without an end or a positive length is a ValueError."""
+    windows = materialize(windows)
+    bad = F.col(start).isNull() | F.col(end).isNull() | (F.col(end) <= F.col(start))
+    low, high, broken = windows.agg(F.min(start), F.max(end), F.count_if(bad)).first()
+    if broken:
+        raise ValueError(f"{broken} windows without a start, an end or a length")
+    return windows, low, high
+
+
 def window_join(df: DataFrame, windows: DataFrame, ts: str = "timestamp", start: str = "start", end: str = "end") -> DataFrame:
     """Each row of ``df`` with each window that has ``start <= ts < end``; all columns of both.
 
@@ -32,11 +42,7 @@ def window_join(df: DataFrame, windows: DataFrame, ts: str = "timestamp", start:
     both = {c.lower() for c in df.columns} & {c.lower() for c in windows.columns}
     if both:
         raise ValueError(f"columns of rows and windows: {sorted(both)}")
-    windows = materialize(windows)
-    bad = F.col(start).isNull() | F.col(end).isNull() | (F.col(end) <= F.col(start))
-    low, high, broken = windows.agg(F.min(start), F.max(end), F.count_if(bad)).first()
-    if broken:
-        raise ValueError(f"{broken} windows without a start, an end or a length")
+    windows, low, high = checked_windows(windows, start, end)
     binned = materialize(binned_windows(windows, start, end))
     levels = sorted(r[0] for r in binned.select("_level").distinct().collect())
     if levels:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrow.operators import blocks
+from tallyrow.operators import window_totals as totals_of
 from tallyrow.operators.intervals import window_join
 from tallyrow.sources import row_groups
 from tallyrow.sources.row_groups import row_group_catalog, rows_of_row_groups
@@ -171,3 +172,53 @@ def test_window_edges(spark):
             window_join(rows, make(bad))
     with pytest.raises(ValueError):
         window_join(rows.withColumn("Name", F.lit(1)), make(("a", 1, 2)))
+
+
+@pytest.mark.parametrize("slot_rows, part_windows", [(1 << 14, 1 << 17), (64, 50)])
+def test_window_totals_equal_the_joined_rows(spark, monkeypatch, slot_rows, part_windows):
+    """One slot and many, one task a slot and several; hot seconds, null users and keys, users that come back after longer than a chunk."""
+    monkeypatch.setattr(totals_of, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(totals_of, "PART_WINDOWS", part_windows)
+    monkeypatch.setattr(totals_of, "CHUNK_BITS", 10)
+    rng = np.random.default_rng(4)
+    n, m = 3000, 600
+    ts = pd.array(np.where(rng.random(n) < 0.1, 5000, rng.integers(-20_000, 60_000, n)), dtype="Int64")
+    ts[:5] = None
+    user = pd.array(np.where(rng.random(n) < 0.3, 0, rng.integers(0, 200, n)), dtype="Int64")
+    user[100:200] = None
+    id = pd.array(rng.permutation(n), dtype="Int64")
+    id[50:60] = None
+    columns = [[None if v is pd.NA else int(v) for v in c] for c in (id, ts, user, rng.integers(0, 3, n))]
+    rows = spark.createDataFrame(list(zip(*columns)), "id long, timestamp long, user long, kind int")
+    start = rng.integers(-30_000, 70_000, m)
+    length = np.where(rng.random(m) < 0.1, 40_000, rng.integers(1, 3000, m))
+    windows = spark.createDataFrame(pd.DataFrame({"w": np.arange(m), "start": start, "end": start + length}))
+    found = totals_of.window_totals(rows, windows, F.col("kind") == 1, "user", "id")
+    assert found.columns == ["w", "start", "end", "n_rows", "n_pos", "n_users", "first"]
+    want = window_join(rows, windows).groupBy("w", "start", "end").agg(
+        F.count(F.lit(1)), F.count_if(F.col("kind") == 1), F.countDistinct("user"), F.min("id")
+    )
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and 100 < want.count() < m
+    assert totals_of.window_totals(rows, windows.where("false"), F.col("kind") == 1, "user", "id").count() == 0
+    assert totals_of.window_totals(rows.where("false"), windows, F.col("kind") == 1, "user", "id").count() == 0
+
+
+def test_window_query_lists_no_matches(spark, sf_dir):
+    from tallyrow.catalog import REGISTRY
+
+    plan = plan_of(REGISTRY["window_table_join"].run(spark, sf_dir))
+    assert "_level" not in plan and "count(distinct" not in plan
+
+
+def test_windows_of_one_name_count_together(spark, tmp_path):
+    """An event that is stored twice."""
+    from oracle import duck
+
+    from tallyrow.catalog import REGISTRY
+
+    source = "/root/testdata/sf0.001/events.parquet"
+    duckdb.sql(f"COPY (SELECT * FROM '{source}' UNION ALL SELECT * FROM '{source}' WHERE event_id < 200) TO '{tmp_path}/events.parquet'")
+    item = REGISTRY["window_table_join"]
+    result = duck(str(tmp_path)).execute(item.sql)
+    names = [d[0] for d in result.description]
+    assert sorted(map(tuple, item.run(spark, str(tmp_path)).select(*names).collect())) == sorted(result.fetchall())
