@@ -136,6 +136,28 @@ def test_sample_split_and_limit_open_their_files_only(spark, store):
         assert found.count() == chosen.agg(F.sum("n_rows")).first()[0]
 
 
+@pytest.mark.parametrize("key, most", [("event_id", 300), (None, 900)])
+def test_scan_skips_the_groups_between_the_chosen_ones(spark, tmp_path, key, most):
+    """Two files in order of id; by time the chosen groups lie at both ends of their file."""
+    for i in range(2):
+        n = 2000
+        table = pa.table({"event_id": pa.array(np.arange(n) * 2 + i), "timestamp": pa.array(np.arange(n) * 7 + i)})
+        pq.write_table(table, tmp_path / f"part-{i}.parquet", row_group_size=50)
+    catalog = row_group_catalog(spark, str(tmp_path), key=key)
+    chosen = catalog.where("file like '%part-1%' and row_group in (0, 39)")
+    found = rows_of_row_groups(scan_impressions(spark, str(tmp_path)), chosen, time="timestamp", key=key)
+    assert sorted(r.event_id for r in found.collect()) == [2 * k + 1 for k in [*range(50), *range(1950, 2000)]]
+    (scan,) = [leaf for leaf in leaves(found) if leaf.metrics().contains("numFiles") and "/table-" not in leaf.toString()]
+    assert 100 <= scan.metrics().get("numOutputRows").get().value() <= most
+
+
+def test_ranges_are_few_and_cover_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(row_groups, "MOST_RANGES", 3)
+    spans = spark.createDataFrame([(0, 9), (5, 7), (100, 110), (120, 130), (300, 310), (311, 320)], "low long, high long")
+    assert row_groups._ranges(spans, "low", "high", F.lit(False)) == [(0, 9), (100, 130), (300, 320)]
+    assert row_groups._ranges(spans, "low", "high", F.col("low") == 5) == []
+
+
 # --- windows ----------------------------------------------------------------------------------
 
 
