@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyrow.plans.features import FeaturePlan
 
+TASK_ROWS = 1 << 16
+
 
 def bounded_probability(prob: Column) -> Column:
     """NaN and minus infinity become 0, plus infinity 1."""
@@ -64,12 +67,24 @@ def _with_numbers(df: DataFrame) -> DataFrame:
 def train_baseline(
     df: DataFrame, label: str, weight: str | None = None, buckets: int = 1 << 12, max_iter: int = 20
 ) -> PipelineModel:
-    """Logistic regression for one label on all assembled features (see :func:`model_inputs`)."""
+    """Logistic regression for one label on all assembled features (see :func:`model_inputs`).
+
+    Vectors are much larger than the stored rows they come from, and the fit keeps them. So they are dealt out by number of rows, about TASK_ROWS a task.
+    """
     hasher = HashingTF(inputCol="tokens", outputCol="hashed", numFeatures=buckets, binary=True)
     assembler = VectorAssembler(inputCols=["hashed", "numbers"], outputCol="features")
     options = {"weightCol": weight} if weight else {}
-    model = LogisticRegression(labelCol=label, regParam=0.01, maxIter=max_iter, **options)
-    return Pipeline(stages=[hasher, assembler, model]).fit(_with_numbers(df))
+    inputs = PipelineModel([hasher, assembler])
+    vectors = inputs.transform(_with_numbers(df)).select("features", label, *options.values())
+    tasks = -(-df.count() // TASK_ROWS)
+    if tasks > 1:
+        # the fit goes over its input several times before it has its own copy
+        vectors = vectors.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.DISK_ONLY)
+    try:
+        model = LogisticRegression(labelCol=label, regParam=0.01, maxIter=max_iter, **options).fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel([hasher, assembler, model])
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:

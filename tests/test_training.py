@@ -105,3 +105,24 @@ def test_rows_without_a_time_or_block_stay(spark, table):
     events = spark.createDataFrame([(None, 5, 1), (None, 70, 2), (3, None, 3), (3, 1, 4)], "k bigint, t bigint, e bigint")
     numbered = ordered.number_rows(events, "k", "t", ["e"], "pos")
     assert sorted(map(tuple, numbered.select("e", "pos").collect())) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+
+
+def test_fit_deals_out_its_vectors_by_rows(spark, tmp_path, monkeypatch):
+    """Rows that are much smaller in their file than as vectors, all in one split."""
+    from tallyrow.operators import scoring
+
+    monkeypatch.setattr(scoring, "TASK_ROWS", 100)
+    tokens = F.array(*[F.concat(F.lit(f"t{i}="), (F.col("id") % (i + 2)).cast("string")) for i in range(5)])
+    spark.range(4000).select(tokens.alias("tokens"), F.array(F.col("id") % 3 * 1.0).alias("dense"), (F.col("id") % 2).cast("int").alias("y")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sizes, fit = [], scoring.LogisticRegression.fit
+
+    def seen(self, vectors):
+        sizes.extend(vectors.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+        return fit(self, vectors)
+
+    monkeypatch.setattr(scoring.LogisticRegression, "fit", seen)
+    model = scoring.train_baseline(df, "y")
+    assert sum(sizes) == 4000 and len(sizes) == 40 and max(sizes) <= 150
+    found = scoring.score(model, df).agg(F.corr("y", "prob").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    assert found.n == 4000 and found.r > 0.9
