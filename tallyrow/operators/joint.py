@@ -70,21 +70,37 @@ def batch_sums(batch: pa.RecordBatch, point: np.ndarray, buckets: int, scale: np
     return loss, float(w.sum()), grad
 
 
-def _distributed_sums(rows: DataFrame, buckets: int, scale: np.ndarray, head_weights: np.ndarray) -> Callable:
+def packed_batches(rows: DataFrame) -> DataFrame:
+    """The rows as serialized Arrow batches, stored once: every step of the fit reads them again, and lists are slow to turn into Arrow."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.schema.serialize().to_pybytes()]), pa.array([batch.serialize().to_pybytes()])], ["schema", "batch"])
+
+    return materialize(rows.mapInArrow(pack, "schema binary, batch binary"))
+
+
+def _unpacked(batches):
+    for packed in batches:
+        for schema, batch in zip(packed.column(0), packed.column(1)):
+            yield pa.ipc.read_record_batch(batch.as_buffer(), pa.ipc.read_schema(schema.as_buffer()))
+
+
+def _distributed_sums(packed: DataFrame, buckets: int, scale: np.ndarray, head_weights: np.ndarray) -> Callable:
     """The function from a point to the sums over all rows."""
 
     def at(point: np.ndarray) -> tuple[float, float, np.ndarray]:
         def sums(batches):
             loss, weight, grad = 0.0, 0.0, np.zeros_like(point)
-            for batch in batches:
-                if batch.num_rows:
-                    more, heavy, pull = batch_sums(batch, point, buckets, scale, head_weights)
-                    loss, weight, grad = loss + more, weight + heavy, grad + pull
+            for batch in _unpacked(batches):
+                more, heavy, pull = batch_sums(batch, point, buckets, scale, head_weights)
+                loss, weight, grad = loss + more, weight + heavy, grad + pull
             flat = np.concatenate([[loss, weight], grad.ravel()])
             used = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["at", "v"])
 
-        found = rows.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        found = packed.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         flat = np.zeros(2 + point.size)
         flat[np.asarray(found.column(0))] = np.asarray(found.column(1))
         return flat[0], flat[1], flat[2:].reshape(point.shape)
@@ -148,7 +164,7 @@ def fit_heads(rows: DataFrame, buckets: int, head_weights: Sequence[float] = (1.
     scale = np.array([m or 1.0 for m in rows.agg(*top).first()]) if sizes else np.ones(0)
     width, weights = buckets + sizes, np.asarray(head_weights, float)
     start = np.zeros((1 + HEADS) * width + HEADS)
-    flat, loss, steps = minimise(penalised(_distributed_sums(rows, buckets, scale, weights), width, l2), start, most_steps, close)
+    flat, loss, steps = minimise(penalised(_distributed_sums(packed_batches(rows), buckets, scale, weights), width, l2), start, most_steps, close)
     parts = flat[:-HEADS].reshape(1 + HEADS, width)
     heads = parts[0] + parts[1:]
     return JointModel(heads[:, :buckets], heads[:, buckets:], flat[-HEADS:], scale, loss, steps)

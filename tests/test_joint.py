@@ -85,3 +85,12 @@ def test_slope_is_the_derivative():
         step = np.zeros(len(x))
         step[i] = 1e-6
         assert slope[i] == pytest.approx((at(x + step)[0] - value) / 1e-6, abs=1e-4)
+
+
+def test_steps_read_packed_batches(spark):
+    """All rows once, in batches and not one by one, with every value as it was."""
+    rows = joint.hashed_rows(planted(spark), ["click", "sale"], 64, "w")
+    packed = joint.packed_batches(rows)
+    assert 0 < packed.count() < 50
+    back = [tuple(r.values()) for b in joint._unpacked(packed.toArrow().to_batches()) for r in b.to_pylist()]
+    assert sorted(map(repr, back)) == sorted(repr(tuple(r)) for r in rows.collect()) and len(back) == 900
