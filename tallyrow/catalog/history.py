@@ -100,6 +100,7 @@ def _(spark, sf):
 
 
 _LATENESS = 3 * 86400
+_PIECE_FILES = 12
 
 
 @query(
@@ -157,14 +158,14 @@ def _(spark, sf):
 
 @query("history_lookup_stream", _lookup_sql(_WHEN))
 def _(spark, sf):
-    """The events in shuffled files, one of which comes twice; the last answers are those of the batch look-up."""
+    """The events in shuffled pieces, one of which comes twice; the last answers are those of the batch look-up."""
     kept = ["event_id", "timestamp", "label_type", "label_time", *HISTORY_COLUMNS.values()]
     table = materialize(rows(spark, sf).select(*kept))
     folder = f"{scratch_dir(spark)}/lookups-{uuid.uuid4().hex}"
     pieces = [table.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)]
     for piece in [*pieces, pieces[0]]:
-        piece.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        piece.repartition(_PIECE_FILES, "event_id").write.mode("append").parquet(f"{folder}/in")
     prior = history.global_prior(history.history_build(table, HISTORY_COLUMNS, "available"))
     late = lambda: history.available_time(_ts(), F.col("label_type"), F.col("label_time"))
     stream = LookupStream(spark, f"{folder}/in", table.schema, f"{folder}/state", HISTORY_COLUMNS, late, prior, compact_every=2)
-    return stream.run(files_per_batch=1).select("event_id", *[r6(c).alias(c) for c in history.history_columns([11, 12])])
+    return stream.run(files_per_batch=_PIECE_FILES).select("event_id", *[r6(c).alias(c) for c in history.history_columns([11, 12])])
